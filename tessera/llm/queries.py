@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import contamination, mixing, quality, sharding, urlfilter
+from tessera.llm import contamination, linededup, mixing, neardup, quality, sharding, substrings, tokencount, urlfilter, warc
 
 #: Fixed values of the contract for URL rules: (host, path, verdict).
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -19,6 +19,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.round_trip(table(spark, sf_dir, "pages"))
+    return index.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, sha1(encode(coalesce(html, ''))) AS digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+h AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS head FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND head <> page_id THEN head END AS refers_to FROM h
+"""
+
+
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+# Texts as hexadecimal digits, two a byte; windows by the digest of their 800 digits.
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS m FROM (SELECT doc_id, x, unnest(range(0, CAST(length(x) / 2 AS BIGINT) - 399)) AS i FROM d WHERE length(x) >= 800)),
+r AS (SELECT doc_id, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM r)),
+s AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM g GROUP BY doc_id, s),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS last FROM s GROUP BY doc_id),
+c AS (SELECT s.doc_id, string_agg(substr(x, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept FROM (SELECT *, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS before FROM s) AS s JOIN d USING (doc_id) GROUP BY s.doc_id)
+SELECT doc_id, CAST(length(x) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN x ELSE kept || substr(x, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+OP3_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {SPACED_SQL}) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM g AS a JOIN g AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+r AS (SELECT doc_id AS id, doc_id AS seen FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a),
+k AS (SELECT id, min(seen) AS root FROM r GROUP BY id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, root AS component_id, doc_id = root AS kept FROM documents JOIN k ON k.id = doc_id LEFT JOIN n USING (doc_id)
+"""
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end_word"] - x["first_word"])
@@ -58,6 +107,35 @@ SELECT *, {quality.BASE} AS base_failed, NOT ({quality.BASE} OR {" OR ".join(f"(
 """
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
+    """The vocabulary file's path is a parameter; by default the public 32,000 piece model's."""
+    if vocabulary_path is None:
+        import public_tokenizers
+
+        vocabulary_path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    out = tokencount.count_tokens(table(spark, sf_dir, "documents"), tokencount.load_vocabulary(vocabulary_path), keep=["doc_id"])
+    return out.select("row.doc_id", "n_words", "n_tokens", "score")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return out.select(F.col("id").alias("doc_id"), F.col("n_units").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, text IS NULL AS gone FROM documents),
+l AS (SELECT doc_id, gone, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d),
+o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS pos,
+  trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+', ' ', 'g'), ' ') AS norm FROM l),
+r AS (SELECT *, len(string_split(norm, ' ')) >= 5 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS dup FROM o)
+SELECT doc_id, CAST(sum(CASE WHEN gone THEN 0 ELSE 1 END) AS BIGINT) AS n_lines, CAST(sum(dup::INT) AS BIGINT) AS n_removed,
+  coalesce(string_agg(CAST(CAST(pos AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos + length(line) AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (dup), '') AS removed_spans,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT dup), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+"""
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.mix(table(spark, sf_dir, "documents"))
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -101,5 +179,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    pairs = {"op4_benchmark_decontamination": OP4_SQL, "op5_quality_rules": OP5_SQL, "op8_source_mixing": OP8_SQL, "op10_url_filters": OP10_SQL}
+    pairs = {"op1_warc": OP1_SQL, "op2_suffix_array_dedup": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op7_substring_dedup": OP7_SQL}
+    pairs |= {"op4_benchmark_decontamination": OP4_SQL, "op5_quality_rules": OP5_SQL, "op8_source_mixing": OP8_SQL, "op10_url_filters": OP10_SQL}
     return pairs
