@@ -264,7 +264,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     # from the end of each span to the start of the next, and before the first
     ends = F.concat(F.array(F.lit(0)), F.col("spans.end"))
     kept = F.transform(ends, lambda a, i: F.substring(raw, a + 1, F.coalesce(F.get(F.col("spans.start"), i), F.octet_length(raw)) - a))
-    clean = F.when(F.size("spans") > 0, F.array_join(F.transform(kept, lambda x: F.decode(x, F.lit("UTF-8"))), "")).otherwise(F.col(f"row.`{text_col}`"))
+    clean = F.when(F.size("spans") > 0, F.array_join(F.transform(kept, lambda x: F.decode(x, "UTF-8")), "")).otherwise(F.col(f"row.`{text_col}`"))
     columns = []
     for name, kind in docs.dtypes:
         if name == text_col:

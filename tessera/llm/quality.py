@@ -34,29 +34,35 @@ def sorted_windows(w: Column) -> Column:
     return F.sort_array(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
 
 
-def with_counts(docs: DataFrame, text_col: str = "text", lead: str = "") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (each after `lead`) of whole texts.
-
-    Repeating words: of the sorted windows those with an equal neighbour repeat; in order of place each
-    adds the words not yet counted.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    c = lambda name: F.col(f"{lead}{name}")
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeat_words(w: Column) -> Column:
+    """Words in 3-word windows found twice or more: of the sorted windows those with an equal neighbour repeat; in order of place each adds the words not yet counted."""
+    same = lambda g, x, i: F.coalesce(x["h"] == F.get(g, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(g, i + 1)["h"], F.lit(False))
+    places = lambda g: F.sort_array(F.transform(F.filter(g, lambda x, i: same(g, x, i)), lambda x: x["i"]))
+    added = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+    return let(sorted_windows(w), lambda g: let(places(g), added))
+
+
+def counts(text: Column) -> Column:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a whole text, as a struct."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
-    out = docs.withColumn(f"{lead}_w", words(text)).withColumn(f"{lead}_l", lines)
-    out = out.withColumns({
-        f"{lead}n_words": F.size(c("_w")).cast("long"),
-        f"{lead}word_chars": F.char_length(F.translate(text, BLANKS, "")).cast("long"),
-        f"{lead}n_symbols": _removed(text, SYMBOLS).cast("long"),
-        f"{lead}n_dup_lines": (F.size(c("_l")) - F.size(F.array_distinct(c("_l")))).cast("long"),
-    })
-    out = out.withColumn(f"{lead}_g", sorted_windows(c("_w")))
-    same = lambda x, i: (x["h"] == F.get(c("_g"), i - 1)["h"]) | (x["h"] == F.get(c("_g"), i + 1)["h"])
-    out = out.withColumn(f"{lead}_p", F.array_sort(F.transform(F.filter(c("_g"), lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"])))
-    covered = F.aggregate(
-        F.transform(c("_p"), lambda p, i: F.least(F.lit(3), F.coalesce(F.get(c("_p"), i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x
-    )
-    return out.withColumn(f"{lead}n_repeat_words", covered.cast("long")).drop(*[f"{lead}{x}" for x in ("_w", "_l", "_g", "_p")])
+    return let(words(text), lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"),
+        F.char_length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
+        _removed(text, SYMBOLS).cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        repeat_words(w).cast("long").alias("n_repeat_words"),
+    ))
+
+
+def with_counts(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """The kept columns and the counts. A generator yields them, so that later filters use them and don't compute them again."""
+    return docs.select(*keep, F.inline(F.array(counts(F.col(text_col)))))
 
 
 @dataclass(frozen=True)
@@ -79,9 +85,9 @@ RULES = (
 )
 
 
-def order_rules(counts: DataFrame, rules=RULES, sample_rows: int = 2000) -> list[Rule]:
+def order_rules(counted: DataFrame, rules=RULES, sample_rows: int = 2000) -> list[Rule]:
     """Rules by rejected share per cost, both from a sample of at most sample_rows rows; ties keep the given order."""
-    part = counts.limit(sample_rows)
+    part = counted.limit(sample_rows)
     row = part.agg(F.count("*").alias("n"), *[F.avg(F.expr(r.rejects).cast("double")).alias(f"share_{i}") for i, r in enumerate(rules)], *[F.avg(F.col(r.units)).alias(f"units_{i}") for i, r in enumerate(rules)]).first()
     gain = lambda i: (row[f"share_{i}"] or 0.0) / (rules[i].weight * max(row[f"units_{i}"] or 0.0, 1.0))
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-gain(i), i))]
@@ -97,7 +103,7 @@ def cascade(rules) -> Column:
 
 def judge(docs: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = 2000) -> DataFrame:
     """Input columns in `row`, the counts, base_failed, rejected_by (rule or null) and kept."""
-    counts = with_counts(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("_text")), "_text").drop("_text")
+    counted = with_counts(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("_text")), "_text", "row")
     ordered = order_rules(with_counts(docs.select(docs[text_col].alias("_text")).limit(sample_rows), "_text"), rules, sample_rows)
     base = F.expr(BASE)
-    return counts.select("*", base.alias("base_failed"), F.when(base, F.lit("base")).otherwise(cascade(ordered)).alias("rejected_by")).withColumn("kept", F.col("rejected_by").isNull())
+    return counted.select("*", base.alias("base_failed"), F.when(base, F.lit("base")).otherwise(cascade(ordered)).alias("rejected_by")).withColumn("kept", F.col("rejected_by").isNull())

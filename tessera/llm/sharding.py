@@ -95,12 +95,25 @@ def even_out(state: DataFrame, shards: int) -> DataFrame:
     return ranked.withColumn("shard", new.cast("int")).drop("_rank", "_held")
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4) -> DataFrame:
+def with_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", name: str = "shard") -> DataFrame:
+    """docs with a shard column. Rows find their shard by id and text; equal rows are numbered apart."""
+    key = lambda df, i, t: df.withColumns({"_i": i, "_t": t}).withColumn("_k", F.row_number().over(Window.partitionBy("_i", "_t").orderBy(F.lit(0))))
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("_id"), F.substring(F.sha2(docs[text_col], 256), 1, 32).alias("_grp"))
+    left = key(own, F.coalesce(F.col("_id").cast("string"), F.lit("")), F.coalesce("_grp", F.lit("")))
+    right = assign_shards(docs, shards, id_col, text_col, groups=True)
+    right = key(right, F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce("grp", F.lit("")))
+    both = left.join(right.select("_i", "_t", "_k", "shard"), ["_i", "_t", "_k"])
+    return both.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != name], F.col("shard").alias(name))
+
+
+def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4, groups: bool = False) -> DataFrame:
     """id, size (UTF-8 bytes plus 1), text_crc32 (0 for null), shard, slot (gapless from 0 in a shard); counts of rows at most one apart."""
     text = docs[text_col]
     base = docs.select(docs[id_col].alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"), F.when(text.isNotNull(), F.substring(F.sha2(text, 256), 1, 32)).alias("grp"))
     # a node number that is unique as long as the file stands: repeated rows are numbered apart
     nodes = materialize(base.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     state = materialize(even_out(propagate(nodes, shards, rounds), shards), "shards")
+    if groups:
+        return nodes.select("nid", "id", "grp").join(state.select("nid", "shard"), "nid").select("id", "grp", "shard")
     slots = spread_rank(state, ["shard"], [], [F.col("nid")], "slot")
     return slots.select("id", (F.col("bytes") + 1).alias("size"), F.col("crc").alias("text_crc32"), "shard", "slot")
