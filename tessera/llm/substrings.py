@@ -6,12 +6,12 @@ same occurrence form one context; a context is the bytes of its windows, and its
 So equal windows always meet under one key, and only keys seen twice go on. Contexts that are equal byte
 for byte are one context with a count before anything is gathered, which keeps hot passages small.
 
-Construction. The contexts of a block, cut into 8-byte symbols from the picked k-gram outwards, are
+Construction. The contexts of a block, cut into 16-byte symbols from the picked k-gram outwards, are
 inserted right to left, one symbol a context and round. A round reads the transform, the common
 prefixes, first symbols and successors of all suffixes from sequential files, merges the new suffixes
-in and writes the next files. In the end suffixes with a common prefix of length - d bytes, d < 8,
+in and writes the next files. In the end suffixes with a common prefix of length - d bytes, d < 16,
 whose preceding symbols end in the same d bytes are windows that repeat; so every byte offset is judged,
-though only every eighth suffix is sorted.
+though only every sixteenth suffix is sorted.
 
 A key with more than `most` different contexts is too hot for one block: its windows are counted one by
 one by digest instead, an exact way that pre-aggregates and has no large group.
@@ -111,92 +111,122 @@ def range_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
     return out
 
 
+WIDE = 16
+
+
+def symbols_of(room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16-byte symbols as order-keeping numbers from 1, and their two 8-byte halves by number (0: none)."""
+    halves = room.view(">u8").astype(np.uint64).reshape(-1, 2)
+    order = np.lexsort([halves[:, 1], halves[:, 0]])
+    ordered = halves[order]
+    number = np.empty(len(halves), np.uint64)
+    number[order] = np.cumsum(np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(axis=1)]))
+    values = np.zeros((int(number.max()) + 1, 2), np.uint64)
+    values[number.astype(np.int64)] = halves
+    return number, values
+
+
 def common_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal leading bytes of big-endian 8-byte symbols."""
+    """Equal leading bytes of pairs of 16-byte symbols."""
     x = a ^ b
     out = np.zeros(len(x), np.int64)
     for k in range(1, 9):
-        out += (x >> np.uint64(64 - 8 * k)) == 0
+        out += (x[:, 0] >> np.uint64(64 - 8 * k)) == 0
+    for k in range(1, 9):
+        out += (x[:, 0] == 0) & ((x[:, 1] >> np.uint64(64 - 8 * k)) == 0)
     return out
 
 
-def build(symbols: np.ndarray, offs: np.ndarray, files: Files) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def build(number: np.ndarray, values: np.ndarray, offs: np.ndarray, files: Files) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Context, symbol place, preceding symbol (0 for none) and common prefix with the suffix before (bytes) of all suffixes in order.
 
     Column-wise: suffixes of all contexts grow by one symbol a round; a suffix's place follows from its
-    first symbol and the place of what follows it.
+    first symbol and the place of what follows it, held together as one key.
     """
     n = len(offs) - 1
     sizes = np.diff(offs)
-    values, ids = np.unique(symbols, return_inverse=True)
-    ids = ids.astype(np.uint64) + np.uint64(1)
-    values = np.concatenate([[np.uint64(0)], values])
+    low, shift = np.uint64(0xFFFFFFFF), np.uint64(32)
     # round 0: the empty suffixes, in order of contexts
     place = np.arange(n)
-    files.write(first=np.zeros(n, np.uint64), next=np.arange(n, dtype=np.int64), lcp=np.zeros(n, np.int32), context=np.arange(n, dtype=np.int32), at=sizes.astype(np.int32), bwt=np.zeros(n, np.uint64))
+    files.write(key=np.arange(n, dtype=np.uint64), lcp=np.zeros(n, np.int32), bwt=np.zeros(n, np.uint32))
     for turn in range(int(sizes.max(initial=0))):
         who = np.flatnonzero(sizes > turn)
-        symbol = ids[offs[1:][who] - 1 - turn]
-        first, follow, lcp = files.read("first", np.uint64), files.read("next", np.int64), files.read("lcp", np.int32)
-        context, at, bwt = files.read("context", np.int32), files.read("at", np.int32), files.read("bwt", np.uint64)
+        symbol = number[offs[1:][who] - 1 - turn]
+        key, lcp, bwt = files.read("key", np.uint64), files.read("lcp", np.int32), files.read("bwt", np.uint32)
         bwt[place[who]] = symbol  # what stands before the suffixes of the last round is known now
-        key = (first << np.uint64(32)) | follow.astype(np.uint64)
-        fresh = (symbol << np.uint64(32)) | place[who].astype(np.uint64)
+        fresh = (symbol << shift) | place[who].astype(np.uint64)
         order = np.argsort(fresh)
-        who, symbol, fresh = who[order], symbol[order], fresh[order]
+        who, fresh = who[order], fresh[order]
         gap = np.searchsorted(key, fresh)
-        m, k = len(first), len(who)
-        moved = np.arange(m) + np.cumsum(np.bincount(gap, minlength=m + 1))[:m]
+        m, k = len(key), len(who)
         there = gap + np.arange(k)
-
-        def merged(old: np.ndarray, new: np.ndarray, moved=moved, there=there, size=m + k) -> np.ndarray:
-            out = np.empty(size, old.dtype)
-            out[moved], out[there] = old, new
+        old = np.ones(m + k, bool)
+        old[there] = False
+        moved = np.flatnonzero(old)
+
+        def merged(x: np.ndarray, new, moved=moved, there=there, size=m + k) -> np.ndarray:
+            out = np.empty(size, x.dtype)
+            out[moved] = x
+            out[there] = new
             return out
 
-        first2, old_next = merged(first, symbol), merged(follow, place[who])
+        key2 = merged(key, fresh)
+        lcp2 = merged(lcp, 0)
         # common prefixes change at new suffixes and just after them
-        lcp2 = merged(lcp, np.zeros(k, np.int32))
         touched = np.unique(np.concatenate([there, there + 1]))
         touched = touched[(touched > 0) & (touched < m + k)]
-        a, b = first2[touched - 1], first2[touched]
+        before, here = key2[touched - 1], key2[touched]
+        a, b = (before >> shift).astype(np.int64), (here >> shift).astype(np.int64)
+        fill = np.where((a > 0) & (b > 0), common_bytes(values[a], values[b]), 0)
         same = (a == b) & (a > 0)
-        fill = np.where((a > 0) & (b > 0), common_bytes(values[a.astype(np.int64)], values[b.astype(np.int64)]), 0)
         if same.any():
-            fill[same] = 8 + range_minima(lcp, old_next[touched[same] - 1] + 1, old_next[touched[same]] + 1)
+            fill[same] = WIDE + range_minima(lcp, (before[same] & low).astype(np.int64) + 1, (here[same] & low).astype(np.int64) + 1)
         lcp2[touched] = fill
-        files.write(first=first2, next=moved[old_next], lcp=lcp2, context=merged(context, who.astype(np.int32)), at=merged(at, (sizes[who] - 1 - turn).astype(np.int32)), bwt=merged(bwt, np.zeros(k, np.uint64)))
+        files.write(key=(key2 & ~low) | moved[(key2 & low).astype(np.int64)].astype(np.uint64), lcp=lcp2, bwt=merged(bwt, 0))
         place = moved[place]
         place[who] = there
-    bwt = files.read("bwt", np.uint64)
-    return files.read("context", np.int32), files.read("at", np.int32), values[bwt.astype(np.int64)], files.read("lcp", np.int32)
+    # which suffix is whose: from each whole context along what follows
+    follow = (files.read("key", np.uint64) & low).astype(np.int64)
+    context, at = np.empty(len(follow), np.int64), np.empty(len(follow), np.int64)
+    spot = place.copy()
+    for turn in range(int(sizes.max(initial=0)) + 1):
+        who = np.flatnonzero(sizes >= turn)
+        context[spot[who]], at[spot[who]] = who, turn
+        spot[who] = follow[spot[who]]
+    return context, at, files.read("bwt", np.uint32).astype(np.int64), files.read("lcp", np.int32)
 
 
 def repeats(texts: list[bytes], places: np.ndarray, windows: np.ndarray, counts: np.ndarray, length: int, files: Files) -> np.ndarray:
     """(context, window) rows, sorted, of all windows that are found at least twice. places: of the k-gram in each context."""
-    lead = -places % 8  # so that symbols are cut from the k-gram outwards
+    lead = -places % WIDE  # so that symbols are cut from the k-gram outwards
     size = np.array([len(t) for t in texts])
-    n_symbols = (lead + size + 7) // 8
-    offs = np.concatenate([[0], np.cumsum(n_symbols)])
-    room = np.zeros(int(offs[-1]) * 8, np.uint8)
-    for t, o in zip(texts, (offs[:-1] * 8 + lead).tolist(), strict=True):
+    offs = np.concatenate([[0], np.cumsum((lead + size + WIDE - 1) // WIDE)])
+    room = np.zeros(int(offs[-1]) * WIDE, np.uint8)
+    for t, o in zip(texts, (offs[:-1] * WIDE + lead).tolist(), strict=True):
         room[o : o + len(t)] = np.frombuffer(t, np.uint8)
-    context, at, before, lcp = build(room.view(">u8").astype(np.uint64), offs, files)
+    number, values = symbols_of(room)
+    context, at, before, lcp = build(number, values, offs, files)
+    # only suffixes that a window starts in, or up to 15 bytes before
+    some = np.flatnonzero(at * WIDE - lead[context] - WIDE < windows[context])
+    first = at[some] * WIDE - lead[context[some]]
     found = []
-    for d in range(8):
+    for d in range(WIDE):
         run = np.cumsum(lcp < length - d)
-        window = at.astype(np.int64) * 8 - lead[context] - d
-        valid = np.flatnonzero((window >= 0) & (window < windows[context]) & (at > 0 if d else True))
+        window = first - d
+        pick = (window >= 0) & (window < windows[context[some]])
+        valid, w = some[pick], window[pick]
         if not len(valid):
             continue
-        tail = before[valid] & ((np.uint64(1) << np.uint64(8 * d)) - np.uint64(1))
-        order = np.lexsort([tail, run[valid]])
-        r, w = run[valid][order], tail[order]
-        new = np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])])
+        high, lo = values[before[valid], 0], values[before[valid], 1]
+        mask = lambda n: np.uint64((1 << (8 * n)) - 1)
+        high, lo = high & mask(max(0, d - 8)), lo & mask(min(d, 8))
+        order = np.lexsort([lo, high, run[valid]] if d > 8 else [lo, run[valid]])
+        r, x, y = run[valid][order], high[order], lo[order]
+        new = np.concatenate([[True], (r[1:] != r[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
         group = np.cumsum(new) - 1
         n = np.bincount(group, weights=counts[context[valid]][order])
-        hit = valid[order][n[group] > 1]
-        found.append(np.stack([context[hit].astype(np.int64), window[hit]], 1))
+        hit = n[group] > 1
+        found.append(np.stack([context[valid][order][hit], w[order][hit]], 1))
     out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
     return out[np.lexsort([out[:, 1], out[:, 0]])]
 
