@@ -44,34 +44,36 @@ def _loads(df: DataFrame, shards: int) -> list[int]:
 
 
 def propagate(nodes: DataFrame, shards: int, rounds: int = 4, slack: float = 0.02) -> DataFrame:
-    """nodes: id, nid (unique), grp (null: unlinked). Adds shard after balanced label propagation."""
+    """nodes: id, nid (unique), grp (null: unlinked). Adds shard after balanced label propagation. Only linked rows take part in the rounds."""
     n = nodes.count()
     capacity = max(1, n // shards)
     part = max(1, capacity // 2)
     sizes = nodes.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
-    state = nodes.join(sizes, "grp", "left").withColumns({
+    apart = nodes.withColumn("grp", F.coalesce("grp", F.concat(F.lit("none "), F.col("nid").cast("string"))))  # no hot null key
+    state = apart.join(sizes, "grp", "left").withColumns({
         # groups over half a shard are cut into parts by id
         "link": F.when(F.col("size").isNotNull(), F.xxhash64("grp", F.when(F.col("size") > part, F.pmod(F.xxhash64("nid"), F.ceil(F.col("size") / part))).otherwise(F.lit(0)))),
         "shard": F.pmod(F.xxhash64("nid", F.lit(17)), F.lit(shards)).cast("int"),
     }).drop("grp", "size")
     state = materialize(state, "labels")
+    alone, linked = state.where("link IS NULL"), state.where("link IS NOT NULL")
+    fixed = _loads(alone, shards)
     for turn in range(rounds):
-        linked = state.where("link IS NOT NULL")
         votes = linked.groupBy("link", "shard").agg(F.count("*").alias("votes"))
         wish = votes.groupBy("link").agg(F.max(F.struct("votes", F.xxhash64("link", "shard").alias("tie"), "shard"))["shard"].alias("to"))
-        asks = linked.join(wish, "link").where("shard <> to")
-        flows = {(r[0], r[1]): r[2] for r in asks.groupBy("shard", "to").agg(F.count("*")).collect()}  # at most shards squared
-        if not flows:
+        flows = {(r[0], r[1]): r[2] for r in votes.join(wish, "link").groupBy("shard", "to").agg(F.sum("votes")).collect()}  # at most shards squared
+        load = [fixed[s] + sum(v for (a, _), v in flows.items() if a == s) for s in range(shards)]
+        asks = {k: v for k, v in flows.items() if k[0] != k[1]}
+        if not asks:
             break
-        load = _loads(state, shards)
-        leave = [sum(v for (a, _), v in flows.items() if a == s) for s in range(shards)]
-        come = [sum(v for (_, b), v in flows.items() if b == s) for s in range(shards)]
+        leave = [sum(v for (a, _), v in asks.items() if a == s) for s in range(shards)]
+        come = [sum(v for (_, b), v in asks.items() if b == s) for s in range(shards)]
         quota = [1.0 if not come[s] else max(0.0, min(1.0, (capacity * (1 + slack) - load[s] + leave[s]) / come[s])) for s in range(shards)]
         limit = F.element_at(F.array(*[F.lit(q) for q in quota]), F.col("to") + 1)
         draw = F.pmod(F.xxhash64("link", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
-        state = state.join(wish, "link", "left").withColumn("shard", F.when((F.col("to") != F.col("shard")) & (draw < limit), F.col("to")).otherwise(F.col("shard"))).drop("to")
-        state = materialize(state, "labels")
-    return state
+        linked = linked.join(wish, "link").withColumn("shard", F.when(draw < limit, F.col("to")).otherwise(F.col("shard"))).drop("to")
+        linked = materialize(linked, "labels")
+    return alone.unionByName(linked)
 
 
 def even_out(state: DataFrame, shards: int) -> DataFrame:
