@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.shared import materialize, partitions
 from tessera.llm.bytetext import LOWER, SPACED, blocks, find_words, mix, prefix_hash, span_hash
+from tessera.llm.prefilter import only_maybe
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -235,7 +236,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = near.groupBy("root").agg(F.count("*").alias("size"))
     blocks_of = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / (block_docs / 2)))
     units = near.join(sizes, "root").select(F.col("node").alias("id"), "root", F.when(F.col("size") > block_docs, blocks_of).otherwise(F.lit(0)).alias("part"), (F.col("size") > block_docs).alias("cut"))
-    member = materialize(slim.join(units, "id"), "members")  # reps are few; texts of other rows go no further
+    maybe = only_maybe(slim, near.select(F.col("node").alias("id")), "id")  # texts without candidates aren't shuffled
+    member = materialize(maybe.join(units, "id"), "members")
     by_unit = member.withColumn("unit", F.xxhash64("root", "part")).select("unit", "id", "text")
     dealt = lambda df, *order: df.repartition(partitions(spark), "unit").sortWithinPartitions("unit", *order)
     solved = materialize(dealt(by_unit, "id").mapInArrow(lambda b: _solve_groups(b, width, num, den), "id long, label long"), "solved")
