@@ -13,9 +13,7 @@ FIELDS = ("display_name", "qualified_name", "signature", "path")
 
 def compile_query(query: str) -> list[list[str]]:
     """Tokens of letters, digits, `_` and `$`; each is a phrase of the index's words whose last is a prefix. All must match; none gives no result."""
-    tokens = re.findall(r"[^\W]+|\$+", query.lower(), re.UNICODE)
     joined = re.findall(r"(?:\w|\$)+", query.lower(), re.UNICODE)
-    del tokens
     return [p for p in ([w for w in re.split(r"[_$]+", t) if w] for t in joined) if p]
 
 
@@ -47,6 +45,7 @@ def phrase_hits(words: Column, phrase: list[str]) -> Column:
 
 def bm25(index: DataFrame, phrases: list[list[str]], key: str, words: str = "words") -> DataFrame:
     """key and score (greater is better) of the rows that hold all phrases. Corpus statistics span every row of the index; a phrase in over half of them counts 1e-6."""
+    index = index.select(key, F.explode(F.array(words)).alias(words))  # words once a row: a generator isn't merged with what follows
     hits = index.select(key, F.size(words).alias("len"), *[phrase_hits(F.col(words), p).alias(f"f{i}") for i, p in enumerate(phrases)])
     total = index.sparkSession.range(1).crossJoin(hits.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])).drop("id")  # one row
     rows = hits.where(" AND ".join(f"f{i} > 0" for i in range(len(phrases)))).crossJoin(total)

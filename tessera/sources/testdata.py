@@ -51,7 +51,8 @@ def claims(spark: SparkSession, sf_dir: str, snapshot: str = HEAD) -> DataFrame:
     test = F.col("o_orderstatus") == "F"
     src = model.node_key(F.when(test, "test").otherwise("method"), _name("order:", "o_orderkey"))
     part, supplier = model.node_key(F.lit("function"), _name("part:", "l_partkey")), model.node_key(F.lit("file"), _name("s/", "l_suppkey"))
-    targets = F.array(F.struct(F.lit("calls").alias("relation"), part.alias("dst")), F.struct(F.lit("imports"), supplier), F.when(test, F.struct(F.lit("tests"), part)))
+    end = lambda relation, dst: F.struct(F.lit(relation).alias("relation"), dst.alias("dst"))
+    targets = F.array(end("calls", part), end("imports", supplier), F.when(test, end("tests", part)))
     return line.select(
         src.alias("src"), F.inline(F.filter(targets, lambda x: x.isNotNull())),
         F.expr("CASE l_linestatus WHEN 'F' THEN 'compiler' ELSE 'heuristic' END").alias("origin"),
