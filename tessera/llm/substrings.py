@@ -235,8 +235,8 @@ MARKS = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("spans", pa.lis
 SPANS = "array<struct<lo:int,hi:int>>"
 
 
-def _mark(batches: Iterator[pa.RecordBatch], length: int, most: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: marks of all contexts, in blocks of whole keys; hot keys give their windows' digests instead."""
+def _mark(batches: Iterator[pa.RecordBatch], length: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, hot ones last: marks of all contexts, in blocks of whole keys; contexts of hot keys give their windows' digests instead."""
     folder = tempfile.mkdtemp()
     rows: list[tuple] = []
     try:
@@ -260,26 +260,20 @@ def _mark(batches: Iterator[pa.RecordBatch], length: int, most: int, block: int)
                 own = [hashlib.blake2b(text[i : i + length], digest_size=16).digest() for i in range(windows)]
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([digest], pa.int64()), pa.array([None], MARKS.field("spans").type), pa.array([own], MARKS.field("hot").type)], schema=MARKS)
 
-        since, held, hot = 0, 0, None
+        held = 0
         for batch in batches:
             data, offs = batch_text(batch.column("bytes"))
-            columns = [batch.column(c).to_pylist() for c in ("key", "digest", "windows", "place", "n")]
-            for k, (key, digest, windows, place, n) in enumerate(zip(*columns, strict=True)):
+            columns = [batch.column(c).to_pylist() for c in ("key", "digest", "windows", "place", "n", "hot")]
+            for k, (key, digest, windows, place, n, hot) in enumerate(zip(*columns, strict=True)):
                 row = (key, digest, windows, place, n, data[offs[k] : offs[k + 1]].tobytes())
-                if key == hot:
+                if hot:
                     yield from windows_of([row])
                     continue
-                if rows and rows[-1][0] != key:
-                    since, hot = len(rows), None
-                    if held > block:
-                        yield from solve(rows)
-                        rows, since, held = [], 0, 0
+                if held > block and rows[-1][0] != key:
+                    yield from solve(rows)
+                    rows, held = [], 0
                 rows.append(row)
                 held += len(row[5])
-                if len(rows) - since > most:
-                    yield from windows_of(rows[since:])
-                    held -= sum(len(r[5]) for r in rows[since:])
-                    rows, hot = rows[:since], key
         yield from solve(rows)
     finally:
         shutil.rmtree(folder, ignore_errors=True)
@@ -287,13 +281,13 @@ def _mark(batches: Iterator[pa.RecordBatch], length: int, most: int, block: int)
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the contexts listed for each text."""
-    names = ["key", "digest", "windows", "place", "n", "bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    names = ["key", "digest", "windows", "place", "n", "hot", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
     for batch, data, offs in blocks(batches, "text"):
         raw, out = data.tobytes(), [[] for _ in names]
         for o, own in zip(offs[:-1].tolist(), batch.column("contexts").to_pylist(), strict=True):
             for c in own or ():
-                for column, v in zip(out, (c["key"], c["digest"], c["windows"], c["place"], c["n"], raw[o + c["start"] : o + c["start"] + c["windows"] - 1 + length]), strict=True):
+                for column, v in zip(out, (c["key"], c["digest"], c["windows"], c["place"], c["n"], c["hot"], raw[o + c["start"] : o + c["start"] + c["windows"] - 1 + length]), strict=True):
                     column.append(v)
         for lo in range(0, len(out[0]), 2000):
             yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 2000], k) for c, k in zip(out, kinds, strict=True)], names)
@@ -327,16 +321,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     slim = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).alias("th"), docs[text_col].alias("text"))
     found = materialize(slim.where(F.octet_length("text") >= length).mapInArrow(lambda b: _find(b, length, gram), "key long, digest long, id long, th long, start long, windows int, place int"), "contexts")
-    twice = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # written first, so that the join has exchanges of its own on both sides and a hot key can be split
+    twice = materialize(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
     again = materialize(found.join(twice, "key", "left_semi"), "repeated")
     distinct = again.groupBy("key", "digest").agg(F.min(F.struct("id", "th", "start", "windows", "place")).alias("x"), F.count("*").alias("n")).select("key", "digest", "x.*", "n")
-    listed = distinct.groupBy("id", "th").agg(F.collect_list(F.struct("key", "digest", "start", "windows", "place", "n")).alias("contexts"))
+    distinct = materialize(distinct, "distinct")
+    hot_keys = materialize(distinct.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > most).select("key", F.lit(True).alias("hot")), "hot")
+    distinct = distinct.join(hot_keys, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    listed = distinct.groupBy("id", "th").agg(F.collect_list(F.struct("key", "digest", "start", "windows", "place", "n", "hot")).alias("contexts"))
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
     # a repeated row would give its contexts twice: counts are taken, so one of them is enough
     texts = slim.join(listed, same(slim, listed)).select("text", "contexts", slim["id"], slim["th"])
-    cut = texts.mapInArrow(lambda b: _cut(b, length), "key long, digest long, windows int, place int, n long, bytes binary")
-    dealt = cut.repartition(partitions(spark), "key").sortWithinPartitions("key", "digest")
-    marks = materialize(dealt.mapInArrow(lambda b: _mark(b, length, most, block), f"key long, digest long, spans {SPANS}, hot array<binary>"), "marks")
+    cut = texts.mapInArrow(lambda b: _cut(b, length), "key long, digest long, windows int, place int, n long, hot boolean, bytes binary")
+    # contexts of a key meet; those of hot keys needn't
+    dealt = cut.withColumn("deal", F.when(F.col("hot"), F.col("digest")).otherwise(F.col("key"))).repartition(partitions(spark), "deal").sortWithinPartitions("hot", "key", "digest").drop("deal")
+    marks = materialize(dealt.mapInArrow(lambda b: _mark(b, length, block), f"key long, digest long, spans {SPANS}, hot array<binary>"), "marks")
     usual = marks.where("size(spans) > 0").select("key", "digest", F.explode("spans").alias("s")).select("key", "digest", "s.*")
     hot = marks.where("hot IS NOT NULL").select("key", "digest", F.posexplode("hot").alias("lo", "window"))
     counts = hot.join(again.groupBy("key", "digest").agg(F.count("*").alias("n")), ["key", "digest"]).groupBy("window").agg(F.sum("n").alias("n")).where("n > 1")
