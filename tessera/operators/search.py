@@ -8,19 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-FIELDS = ("display_name", "qualified_name", "signature", "path")
+# Letters that count as another without their accent.
+ACCENTS, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def compile_query(query: str) -> list[list[str]]:
     """Tokens of letters, digits, `_` and `$`; each is a phrase of the index's words whose last is a prefix. All must match; none gives no result."""
-    joined = re.findall(r"(?:\w|\$)+", query.lower(), re.UNICODE)
+    joined = re.findall(r"(?:\w|\$)+", query.lower().translate(str.maketrans(ACCENTS, PLAIN)))
     return [p for p in ([w for w in re.split(r"[_$]+", t) if w] for t in joined) if p]
 
 
 def fold(text: Column) -> Column:
     """Lower-case without accents."""
-    accents, plain = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.translate(F.lower(text), accents, plain)
+    return F.translate(F.lower(text), ACCENTS, PLAIN)
 
 
 def words_of(text: Column) -> Column:

@@ -16,6 +16,7 @@ from tessera.operators import search as S
 from tessera.operators import store
 from tessera.operators import textlines as X
 from tessera.operators import traverse as G
+from tessera.operators import views as V
 from tessera.sources import captures as C
 from tessera.sources import testdata as T
 
@@ -488,6 +489,74 @@ def hunk_overlap(spark, sf):
     return R.overlaps(hunks, _spans(spark, sf)).select("hunk", "node")
 
 
+# views
+
+_WALK = """, u AS (SELECT src, dst, edge_key FROM edges WHERE relation IN ('calls', 'imports') UNION ALL SELECT dst, src, edge_key FROM edges WHERE relation IN ('calls', 'imports')), a AS (SELECT sha256('node|function|part:1') AS node),
+l1 AS (SELECT dst AS node, min(edge_key) AS seat, a.node AS parent FROM u JOIN a ON src = a.node WHERE dst <> a.node GROUP BY dst, a.node),
+l2 AS (SELECT dst AS node, min(struct_pack(seat := seat || edge_key, parent := l1.node)) AS b FROM u JOIN l1 ON src = l1.node WHERE dst NOT IN (SELECT node FROM l1) AND dst NOT IN (SELECT node FROM a) GROUP BY dst)"""
+
+
+def _walk(spark, sf) -> DataFrame:
+    return V.walk_with_parents(T.edges(spark, sf).where("relation IN ('calls', 'imports')"), keyed(spark, ANCHOR), 2)
+
+
+@query(H(_WALK + " SELECT node, 1 AS hop, parent FROM l1 UNION ALL SELECT node, 2, b.parent FROM l2"))
+def context_parents(spark, sf):
+    return _walk(spark, sf).where("hop > 0").select("node", "hop", "parent")
+
+
+@query(H(_WALK + " SELECT DISTINCT b.parent AS node FROM l2 JOIN nodes ON node_key = l2.node WHERE kind = 'file'"))
+def context_connectors(spark, sf):
+    files = T.nodes(spark, sf).where("kind = 'file'").select(F.col("node_key").alias("node"))
+    walk = _walk(spark, sf)
+    return V.connectors(walk, walk.where("hop = 2").join(files, "node", "left_semi"), 2)
+
+
+@query(H(" SELECT kind, (kind IN ('file', 'test') AND coalesce(language IN ('BUILDING', 'SUPPLY'), false)) AS visible, count(*) AS n FROM nodes GROUP BY ALL"))
+def visibility_flags(spark, sf):
+    flagged = V.with_visibility(T.nodes(spark, sf), {"kind": ["file", "test"], "language": ["BUILDING", "SUPPLY"], "package": []})
+    return flagged.groupBy("kind", "visible").agg(F.count("*").alias("n"))
+
+
+@query(H(" SELECT src, relation, ['inferred', 'likely', 'certain'][min(list_position(['inferred', 'likely', 'certain'], confidence))] AS confidence, count(*) AS n_transitions FROM edges GROUP BY 1, 2"))
+def weakest_confidence(spark, sf):
+    return V.weakest_confidence(T.edges(spark, sf), ["src", "relation"])
+
+
+@query(H(_OWNER + ", shown AS (SELECT node_key, CASE WHEN owner IS NULL OR owner = sha256('node|package|nation:' || (SELECT n_name FROM nation WHERE n_nationkey = 3)) THEN node_key ELSE owner END AS rep FROM owners), s1 AS MATERIALIZED (SELECT edges.*, rep AS a FROM edges JOIN shown ON src = node_key), s2 AS MATERIALIZED (SELECT s1.*, rep AS b FROM s1 JOIN shown ON dst = node_key) SELECT a AS src, b AS dst, relation, count(*) AS n_edges FROM s2 WHERE a <> b GROUP BY 1, 2, 3", recursive=True))
+def collapsed_edges(spark, sf):
+    n, e = graph(spark, sf)
+    return V.collapsed_edges(e, P.ownership(n, e), [a_nation(spark, sf).first()[0]])
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS node_key, round(100.0 * cos(CAST('0x' || substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 * (2 * pi())), 6) AS x, round(100.0 * sin(CAST('0x' || substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 * (2 * pi())), 6) AS y FROM part")
+def layout_seed(spark, sf):
+    return V.circle_seed(T.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("node_key")), "node_key", 100.0)
+
+
+@query("SELECT label, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS cx, round(avg(CAST(embedding[2] AS DOUBLE)), 6) AS cy, min(CAST(embedding[1] AS DOUBLE)) - 1 AS x0, max(CAST(embedding[1] AS DOUBLE)) + 1 AS x1, min(CAST(embedding[2] AS DOUBLE)) - 1 AS y0, max(CAST(embedding[2] AS DOUBLE)) + 1 AS y1 FROM embeddings GROUP BY 1")
+def group_centroids(spark, sf):
+    return V.centroids(_points(spark, sf), "label", 1.0)
+
+
+def _points(spark, sf) -> DataFrame:
+    return T.table(spark, sf, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+
+
+@query()
+def group_hulls(spark, sf):
+    return V.hulls(_points(spark, sf), "label")
+
+
+@query(H(", i AS (SELECT dst AS k, count(*) AS n FROM edges WHERE relation IN ('imports', 'calls') GROUP BY 1), o AS (SELECT src AS k, count(*) AS n, count(*) FILTER (resolution = 'unresolved') AS u FROM edges WHERE relation IN ('imports', 'calls') GROUP BY 1) SELECT node_key, concat_ws(',', CASE WHEN coalesce(i.n, 0) = 0 THEN 'no dependents' END, CASE WHEN i.n >= 5 THEN 'widely used' END, CASE WHEN o.n >= 5 THEN 'many dependencies' END, CASE WHEN u > 0 THEN 'unresolved references' END, CASE WHEN i.n > 0 AND coalesce(o.n, 0) = 0 THEN 'dependents without dependencies' END) AS remarks FROM nodes LEFT JOIN i ON i.k = node_key LEFT JOIN o ON o.k = node_key"))
+def structural_remarks(spark, sf):
+    n, e = graph(spark, sf)
+    use = e.where("relation IN ('imports', 'calls')")
+    fan_out = use.groupBy(F.col("src").alias("node_key")).agg(F.count("*").alias("o"), F.count_if(F.col("resolution") == "unresolved").alias("u"))
+    rows = n.select("node_key").join(use.groupBy(F.col("dst").alias("node_key")).agg(F.count("*").alias("i")), "node_key", "left").join(fan_out, "node_key", "left").na.fill(0, ["i", "o", "u"])
+    return rows.select("node_key", F.array_join(V.interpretation(F.col("i"), F.col("o"), F.col("u")), ",").alias("remarks"))
+
+
 # text and events
 
 @query(r"SELECT page_id, n, CAST(regexp_extract(h, '(?i)<h([1-6])', 1) AS INTEGER) AS level, trim(regexp_replace(regexp_replace(h, '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS title FROM (SELECT page_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS n FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS hs FROM pages))")

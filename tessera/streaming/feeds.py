@@ -13,18 +13,22 @@ def event_stream(spark: SparkSession, path: str, schema: str, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def unique_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Drops repeated event ids; state is forgotten after the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+def _marked(events: DataFrame, late: str | None) -> DataFrame:
+    return events.withWatermark("ts", late) if late else events
 
 
-def session_batches(events: DataFrame, by: str, quiet: str, late: str = "1 hour") -> DataFrame:
+def unique_events(events: DataFrame, late: str | None = "1 hour") -> DataFrame:
+    """Drops repeated event ids; state is forgotten after the watermark. late None: the stream has its watermark."""
+    return _marked(events, late).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def session_batches(events: DataFrame, by: str, quiet: str, late: str | None = "1 hour") -> DataFrame:
     """Debounced batches: sessions that a gap of `quiet` closes."""
-    return events.withWatermark("ts", late).groupBy(by, F.session_window("ts", quiet).alias("w")).agg(F.count("*").alias("n_events")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_events")
+    return _marked(events, late).groupBy(by, F.session_window("ts", quiet).alias("w")).agg(F.count("*").alias("n_events")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_events")
 
 
-def tumbling_counts(events: DataFrame, by: str, width: str, late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), by).agg(F.count("*").alias("n_events")).select(F.col("w.start").alias("start"), by, "n_events")
+def tumbling_counts(events: DataFrame, by: str, width: str, late: str | None = "1 hour") -> DataFrame:
+    return _marked(events, late).groupBy(F.window("ts", width).alias("w"), by).agg(F.count("*").alias("n_events")).select(F.col("w.start").alias("start"), by, "n_events")
 
 
 def refresh_each(changes: DataFrame, refresh: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
