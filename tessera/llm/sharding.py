@@ -2,10 +2,11 @@
 
 Linked documents share a group (here equal texts). Labels start from a hash of the id. In each round
 every group votes for the shard that holds most of it, members elsewhere ask to move there, and quotas
-admit a stable share of the requests so that no shard grows beyond its capacity by more than `slack`.
-A group larger than a shard is first cut into parts of less than half a shard. Rounds end when nothing
-moves. Then the counts are made exact: shards with too many rows hand over surplus rows, unlinked ones
-first, and every shard ends with the floor or ceiling of rows / shards.
+admit a stable share of the requests so that a shard's linked rows stay within its capacity; unlinked
+rows can make way later at no cost. Groups over half a shard, at most twice as many as shards, are laid
+out first, in as few and as full shards as can be. Rounds end when nothing moves. Then the counts are
+made exact: shards with too many rows hand over surplus rows, unlinked ones first, and every shard ends
+with the floor or ceiling of rows / shards.
 
 Ranks inside a shard are spread: rows stand in hash buckets of about `bucket_rows`, counts of buckets are
 summed, and a row number is taken only inside a bucket; so no task holds a shard.
@@ -43,32 +44,47 @@ def _loads(df: DataFrame, shards: int) -> list[int]:
     return [got.get(s, 0) for s in range(shards)]
 
 
-def propagate(nodes: DataFrame, shards: int, rounds: int = 4, slack: float = 0.02) -> DataFrame:
-    """nodes: id, nid (unique), grp (null: unlinked). Adds shard after balanced label propagation. Only linked rows take part in the rounds."""
-    n = nodes.count()
-    capacity = max(1, n // shards)
+def _lay_out(big: list[tuple[str, int]], capacity: int, shards: int) -> list[tuple[str, float, int]]:
+    """(group, upper share, shard) chunks of the groups too large to be moved as one: the largest first, into the roomiest shards."""
+    room, out = [capacity] * shards, []
+    for group, size in sorted(big, key=lambda x: (-x[1], x[0])):
+        placed = 0
+        while placed < size:
+            s = max(range(shards), key=lambda i: (room[i], -i))
+            take = min(size - placed, room[s]) if room[s] > 0 else size - placed
+            placed, room[s] = placed + take, room[s] - take
+            out.append((group, placed / size, s))
+    return out
+
+
+def propagate(nodes: DataFrame, shards: int, rounds: int = 6) -> DataFrame:
+    """nodes: id, nid (unique), grp (null: unlinked). Adds link (null: unlinked) and shard after balanced label propagation. Only linked rows take part in the rounds."""
+    capacity = max(1, nodes.count() // shards)
     part = max(1, capacity // 2)
     sizes = nodes.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = materialize(sizes, "sizes")  # its join has exchanges of its own, so a hot group can be split
+    big = [tuple(r) for r in sizes.where(F.col("size") > part).collect()]  # under 2 * shards + shards groups
     apart = nodes.withColumn("grp", F.coalesce("grp", F.concat(F.lit("none "), F.col("nid").cast("string"))))  # no hot null key
-    state = apart.join(sizes, "grp", "left").withColumns({
-        # groups over half a shard are cut into parts by id
-        "link": F.when(F.col("size").isNotNull(), F.xxhash64("grp", F.when(F.col("size") > part, F.pmod(F.xxhash64("nid"), F.ceil(F.col("size") / part))).otherwise(F.lit(0)))),
-        "shard": F.pmod(F.xxhash64("nid", F.lit(17)), F.lit(shards)).cast("int"),
-    }).drop("grp", "size")
+    share = F.pmod(F.xxhash64("nid", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
+    seat = F.pmod(F.xxhash64("nid", F.lit(17)), F.lit(shards)).cast("int")
+    chunk = F.lit(0)
+    for i, (group, upto, s) in reversed(list(enumerate(_lay_out(big, capacity, shards)))):
+        mine = (F.col("grp") == group) & (share < upto)
+        seat, chunk = F.when(mine, s).otherwise(seat), F.when(mine, i).otherwise(chunk)
+    state = apart.join(sizes, "grp", "left").withColumns({"link": F.when(F.col("size").isNotNull(), F.xxhash64("grp", chunk)), "shard": seat.cast("int")}).drop("grp", "size")
     state = materialize(state, "labels")
     alone, linked = state.where("link IS NULL"), state.where("link IS NOT NULL")
-    fixed = _loads(alone, shards)
     for turn in range(rounds):
         votes = linked.groupBy("link", "shard").agg(F.count("*").alias("votes"))
-        wish = votes.groupBy("link").agg(F.max(F.struct("votes", F.xxhash64("link", "shard").alias("tie"), "shard"))["shard"].alias("to"))
+        wish = votes.groupBy("link").agg(F.max(F.struct("votes", F.xxhash64("link", "shard", F.lit(turn)).alias("tie"), "shard"))["shard"].alias("to"))
         flows = {(r[0], r[1]): r[2] for r in votes.join(wish, "link").groupBy("shard", "to").agg(F.sum("votes")).collect()}  # at most shards squared
-        load = [fixed[s] + sum(v for (a, _), v in flows.items() if a == s) for s in range(shards)]
+        load = [sum(v for (a, _), v in flows.items() if a == s) for s in range(shards)]
         asks = {k: v for k, v in flows.items() if k[0] != k[1]}
         if not asks:
             break
         leave = [sum(v for (a, _), v in asks.items() if a == s) for s in range(shards)]
         come = [sum(v for (_, b), v in asks.items() if b == s) for s in range(shards)]
-        quota = [1.0 if not come[s] else max(0.0, min(1.0, (capacity * (1 + slack) - load[s] + leave[s]) / come[s])) for s in range(shards)]
+        quota = [1.0 if not come[s] else max(0.0, min(1.0, (capacity - load[s] + leave[s]) / come[s])) for s in range(shards)]
         limit = F.element_at(F.array(*[F.lit(q) for q in quota]), F.col("to") + 1)
         draw = F.pmod(F.xxhash64("link", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
         linked = linked.join(wish, "link").withColumn("shard", F.when(draw < limit, F.col("to")).otherwise(F.col("shard"))).drop("to")
@@ -98,17 +114,18 @@ def even_out(state: DataFrame, shards: int) -> DataFrame:
 
 
 def with_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", name: str = "shard") -> DataFrame:
-    """docs with a shard column. Rows find their shard by id and text; equal rows are numbered apart."""
-    key = lambda df, i, t: df.withColumns({"_i": i, "_t": t}).withColumn("_k", F.row_number().over(Window.partitionBy("_i", "_t").orderBy(F.lit(0))))
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("_id"), F.substring(F.sha2(docs[text_col], 256), 1, 32).alias("_grp"))
-    left = key(own, F.coalesce(F.col("_id").cast("string"), F.lit("")), F.coalesce("_grp", F.lit("")))
-    right = assign_shards(docs, shards, id_col, text_col, groups=True)
-    right = key(right, F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce("grp", F.lit("")))
-    both = left.join(right.select("_i", "_t", "_k", "shard"), ["_i", "_t", "_k"])
-    return both.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != name], F.col("shard").alias(name))
-
-
-def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4, groups: bool = False) -> DataFrame:
+    """docs with a shard column. Rows find their shard by id and text; of rows equal in both, each shard takes as many as it was dealt."""
+    key = lambda i: F.struct(i.alias("i"), F.col("grp").alias("g")).alias("key")
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), F.substring(F.sha2(docs[text_col], 256), 1, 32).alias("grp")).select("row", key(F.col("id")))
+    left = own.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
+    dealt = assign_shards(docs, shards, id_col, text_col, groups=True).select(key(F.col("id")), "shard").groupBy("key", "shard").agg(F.count("*").alias("n"))
+    upto = dealt.withColumn("upto", F.sum("n").over(Window.partitionBy("key").orderBy("shard")))
+    right = upto.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("places"))  # an entry a shard at most
+    both = left.join(right, "key").withColumn("to", F.get(F.filter("places", lambda x: x["upto"] >= F.col("k")), F.lit(0))["shard"])
+    return both.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != name], F.col("to").alias(name))
+
+
+def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 6, groups: bool = False) -> DataFrame:
     """id, size (UTF-8 bytes plus 1), text_crc32 (0 for null), shard, slot (gapless from 0 in a shard); counts of rows at most one apart."""
     text = docs[text_col]
     base = docs.select(docs[id_col].alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"), F.when(text.isNotNull(), F.substring(F.sha2(text, 256), 1, 32)).alias("grp"))
