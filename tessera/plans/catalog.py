@@ -12,6 +12,7 @@ from tessera.operators import aggregate as A
 from tessera.operators import diff as D
 from tessera.operators import project as P
 from tessera.operators import review as R
+from tessera.operators import reports as Q
 from tessera.operators import search as S
 from tessera.operators import store
 from tessera.operators import textlines as X
@@ -344,7 +345,7 @@ def a_nation(spark, sf) -> DataFrame:
 def k_paths(spark, sf):
     target = keyed(spark, *[("function", f"part:{i}") for i in range(20)])
     out = G.k_paths(T.edges(spark, sf), a_nation(spark, sf), target, 3, relations=("contains", "calls", "imports"))
-    return out.select("rank", "n_edges", F.array_join("edge_keys", ",").alias("edge_keys"), "status")
+    return out.select(F.col("rank").cast("long").alias("rank"), "n_edges", F.array_join("edge_keys", ",").alias("edge_keys"), "status")
 
 
 @query(H(""", s AS (SELECT sha256('node|package|nation:' || n_name) AS node FROM nation WHERE n_nationkey = 3), t AS (SELECT sha256('node|function|part:1') AS node),
@@ -557,11 +558,94 @@ def structural_remarks(spark, sf):
     return rows.select("node_key", F.array_join(V.interpretation(F.col("i"), F.col("o"), F.col("u")), ",").alias("remarks"))
 
 
+# reports
+
+_PW = "list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '')"
+
+
+@query(f"SELECT p_partkey, 'p_name' AS field, generate_subscripts(w, 1) - 1 AS place, unnest(w) AS word FROM (SELECT p_partkey, {_PW} AS w FROM part) UNION ALL SELECT p_partkey, 'p_brand', generate_subscripts(w, 1) - 1, unnest(w) FROM (SELECT p_partkey, list_filter(string_split_regex(lower(p_brand), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM part)")
+def search_postings(spark, sf):
+    return Q.postings(T.table(spark, sf, "part"), "p_partkey", ["p_name", "p_brand"]).withColumn("place", F.col("place").cast("long"))
+
+
+@query("WITH i AS (SELECT l_partkey AS p_partkey FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_partkey + 3 FROM lineitem WHERE l_linenumber = 7), n AS (SELECT p_partkey, count(*) AS n FROM i GROUP BY 1) SELECT coalesce(a.p_partkey, n.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'orphan' WHEN n IS NULL THEN 'missing' ELSE 'repeated' END AS fault FROM (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0) a FULL JOIN n ON a.p_partkey = n.p_partkey WHERE a.p_partkey IS NULL OR n IS NULL OR n > 1")
+def index_faults(spark, sf):
+    line = T.table(spark, sf, "lineitem")
+    indexed = line.where("l_linenumber = 1").select(F.col("l_partkey").alias("p_partkey")).union(line.where("l_linenumber = 7").select(F.col("l_partkey") + 3))
+    return Q.index_faults(T.table(spark, sf, "part").where("p_partkey % 10 <> 0"), indexed, "p_partkey")
+
+
+@query("SELECT p_brand, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) ELSE 'mixed' END AS version FROM part WHERE p_size < 3 GROUP BY 1")
+def analyzer_versions(spark, sf):
+    return Q.analyzer_versions(T.table(spark, sf, "part").where("p_size < 3").withColumnRenamed("p_type", "version"), "p_brand")
+
+
+@query("SELECT count(DISTINCT p_brand) AS n_mismatched FROM part WHERE p_brand <> 'Brand#1' AND (p_size = 3 OR p_size = 40)")
+def mismatched_versions(spark, sf):
+    p = T.table(spark, sf, "part")
+    return Q.mismatched(p.where("p_size = 3"), p.where("p_size = 40"), "p_brand", "Brand#1")
+
+
+@query("SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part")
+def ranked_in_kind(spark, sf):
+    return Q.ranked_in_kind(T.table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice"), "p_brand", [F.desc("p_retailprice"), F.asc("p_partkey")]).drop("p_retailprice").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(RENAMED_SQL + ", p AS (SELECT * FROM pa UNION ALL SELECT r2.id, a2.id FROM r2 JOIN a2 ON r2.body = a2.body WHERE r2.c2 = 1 AND a2.c2 = 1) SELECT removed_id, added_id, CASE WHEN r.name = a.name THEN 'move' ELSE 'rename' END AS kind, least(removed_id * 10, added_id * 10) || ',' || greatest(removed_id * 10, added_id * 10) AS rows FROM p JOIN d r ON r.id = removed_id JOIN d a ON a.id = added_id")
+def coalesced_rows(spark, sf):
+    gone, come = renamed(spark, sf)
+    raw = T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") * 10).alias("index"))
+    out = Q.coalesced_rows(D.rename_pairs(gone, come, "name", ["body"]), gone, come, raw)
+    return out.withColumn("rows", F.array_join("rows", ","))
+
+
+@query(H(", first AS (SELECT src, min(edge_key) AS k FROM edges WHERE relation = 'imports' GROUP BY 1) SELECT e.src, e.dst, e.origin FROM first JOIN edges e ON e.edge_key = k"))
+def first_import(spark, sf):
+    return Q.first_target(T.edges(spark, sf), "imports")
+
+
+@query(H(", w AS (SELECT node_key AS root, node_key AS node, 0 AS hop FROM nodes WHERE kind = 'package' UNION SELECT root, dst, hop + 1 FROM w JOIN edges ON src = node JOIN nodes n ON n.node_key = dst WHERE relation = 'contains' AND n.kind = 'package') SELECT root, node, min(hop) AS hop FROM w GROUP BY 1, 2", recursive=True))
+def package_family(spark, sf):
+    return Q.package_family(*graph(spark, sf)).select("root", "node", "hop")
+
+
+@query("SELECT p.p_partkey AS id, t.p_partkey AS node_key FROM part p JOIN (SELECT min(p_partkey) AS p_partkey, split_part(p_name, ' ', 2) AS name FROM part GROUP BY 2) t ON list_contains(string_split(p.p_name, ' '), t.name)")
+def type_mentions(spark, sf):
+    part = T.table(spark, sf, "part")
+    types = part.groupBy(F.split("p_name", " ")[1].alias("display_name")).agg(F.min("p_partkey").alias("node_key")).withColumn("qualified_name", F.concat(F.lit("q."), "display_name"))
+    return Q.mentions(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("signature")), types)
+
+
+@query(H(" SELECT 'nodes' AS claim, CAST(count(*) AS VARCHAR) AS value FROM nodes UNION ALL SELECT 'edges', CAST(count(*) AS VARCHAR) FROM edges UNION ALL SELECT 'packages', CAST(count(*) AS VARCHAR) FROM nodes WHERE kind = 'package' UNION ALL SELECT 'relation ' || r, CAST(count(edge_key) AS VARCHAR) FROM (SELECT unnest(['contains', 'imports', 'exports', 'references', 'calls', 'implements', 'extends', 'tests', 'routes_to', 'documents', 'changed_with']) AS r) LEFT JOIN edges ON relation = r GROUP BY r UNION ALL SELECT 'language ' || language, CAST(count(*) AS VARCHAR) FROM nodes WHERE kind = 'file' GROUP BY language UNION ALL SELECT 'severity ' || CASE event_type WHEN 'error' THEN 'error' ELSE 'info' END, CAST(count(*) AS VARCHAR) FROM events GROUP BY 1"))
+def repo_overview(spark, sf):
+    n, e = graph(spark, sf)
+    return Q.overview(n, e, T.table(spark, sf, "events").select(F.expr("CASE event_type WHEN 'error' THEN 'error' ELSE 'info' END").alias("severity")))
+
+
+@query(H(_OWNER + ", used AS (SELECT DISTINCT dst FROM edges WHERE relation IN ('imports', 'references', 'calls', 'implements', 'extends', 'routes_to')), q AS (SELECT 1 AS position, 'Which unresolved references matter?' AS question, count(*) AS n FROM edges WHERE resolution = 'unresolved' UNION ALL SELECT 2, 'Who owns the ambiguous nodes?', count(*) FROM owners WHERE status = 'ambiguous' UNION ALL SELECT 3, 'Which used nodes have no test?', count(*) FROM used WHERE dst NOT IN (SELECT dst FROM edges WHERE relation = 'tests') UNION ALL SELECT 4, 'Which files does nothing depend on?', count(*) FROM nodes WHERE kind = 'file' AND node_key NOT IN (SELECT dst FROM used)) SELECT * FROM q WHERE n > 0", recursive=True))
+def interview_questions(spark, sf):
+    n, e = graph(spark, sf)
+    return Q.questions(n, e, P.ownership(n, e))
+
+
+@query("WITH d AS (SELECT p_brand AS language, max(CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 ELSE 2 END) AS d FROM part WHERE p_size < 4 GROUP BY 1), o AS (SELECT p_brand AS language, max(CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 ELSE 2 END) AS o, count(*) AS n FROM part WHERE p_size BETWEEN 4 AND 6 GROUP BY 1) SELECT coalesce(d.language, o.language) AS language, coalesce(['inventory', 'structural', 'semantic'][d + 1], 'none') AS declared, coalesce(['inventory', 'structural', 'semantic'][o + 1], 'none') AS observed, coalesce(n, 0) AS n_rows, coalesce(o >= d, false) AS met FROM d FULL JOIN o ON d.language = o.language")
+def capability_report(spark, sf):
+    rows = T.table(spark, sf, "part").select(F.col("p_brand").alias("language"), "p_size", F.expr("CASE p_type WHEN 'ECONOMY' THEN 'inventory' WHEN 'STANDARD' THEN 'structural' ELSE 'semantic' END").alias("capability"))
+    return Q.capability_report(rows.where("p_size < 4"), rows.where("p_size BETWEEN 4 AND 6"))
+
+
+@query(H(_OWNER + " SELECT n.node_key, CASE WHEN owner IS NOT NULL AND owner < '8' THEN owner ELSE n.node_key END AS representative FROM nodes n JOIN owners USING (node_key) WHERE n.kind IN ('method', 'function') AND n.display_name LIKE '%7'", recursive=True))
+def hit_packages(spark, sf):
+    n, e = graph(spark, sf)
+    hits = n.where("kind IN ('method', 'function') AND display_name LIKE '%7'").select("node_key")
+    return Q.representative_hits(hits, P.ownership(n, e), F.col("owner") < "8")
+
+
 # text and events
 
 @query(r"SELECT page_id, n, CAST(regexp_extract(h, '(?i)<h([1-6])', 1) AS INTEGER) AS level, trim(regexp_replace(regexp_replace(h, '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS title FROM (SELECT page_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS n FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS hs FROM pages))")
 def doc_headings(spark, sf):
-    return X.html_headings(T.table(spark, sf, "pages"), "page_id", "html")
+    return X.html_headings(T.table(spark, sf, "pages"), "page_id", "html").withColumn("n", F.col("n").cast("long"))
 
 
 @query("""SELECT page_id, target, count(*) AS n_links FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s+href="([^"]*)"', 1)) AS target FROM pages) GROUP BY 1, 2""")

@@ -44,6 +44,18 @@ def language(path, first_line):
     return F.coalesce(look(BY_NAME, base), look(BY_EXTENSION, F.regexp_extract(base, r"\.([^.]+)$", 1)), look(BY_INTERPRETER, bang))
 
 
+# Paths of generated files per language.
+GENERATED = {"typescript": r"\.(generated|gen)\.tsx?$|\.d\.ts$", "javascript": r"\.min\.js$|\.bundle\.js$", "python": r"_pb2(_grpc)?\.py$", "go": r"\.pb\.go$|_gen\.go$", "java": r"/generated(-sources)?/", "cpp": r"\.pb\.(cc|h)$"}
+
+
+def is_generated(path, lang):
+    """Whether the path matches its language's patterns for generated files."""
+    out = F.lit(False)
+    for name, pattern in GENERATED.items():
+        out = out | ((lang == name) & path.rlike(pattern))
+    return F.coalesce(out, F.lit(False))
+
+
 def nearest_manifest(files: DataFrame, manifests: DataFrame) -> DataFrame:
     """path -> name of the manifest (folder, name) in the nearest folder above; manifests without a name are passed over."""
     parts = F.split("path", "/")
