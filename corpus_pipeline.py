@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import materialize
-from tessera.llm import contamination, mixing, neardup, quality, sharding
+from tessera.llm import contamination, mixing, neardup, prefilter, quality, sharding
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +21,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that of the smallest id; five-word shingles, similarity 0.8. Documents with null ids stay unless an equal set has an id; rows with the kept id stay once."""
-    found = neardup.near_duplicates(docs, width=5)
-    gone = found.where("NOT kept AND component_id IS NOT NULL").select("id").distinct()
-    numbered = docs.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))).where("_n = 1 OR doc_id IS NULL").drop("_n")
-    return numbered.join(gone, numbered["doc_id"] == gone["id"], "left_anti")
+    found = materialize(neardup.near_duplicates(docs, width=5), "found")
+    gone = found.where("NOT kept AND component_id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct()
+    left = prefilter.without(docs, gone, "doc_id")
+    # only rows that share id and text with another are numbered
+    twice = left.withColumn("_t", F.xxhash64("text")).where("doc_id IS NOT NULL").groupBy("doc_id", "_t").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    twice = materialize(twice, "twice")
+    some = prefilter.only_maybe(left, twice, "doc_id")
+    first = some.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))).where("_k = 1 OR doc_id IS NULL").drop("_k")
+    others = prefilter.with_maybe(left, twice, "doc_id").where("NOT _maybe").drop("_maybe")
+    return others.unionByName(first)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

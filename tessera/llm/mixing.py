@@ -66,8 +66,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     null_safe = lambda a, b, names: [a[x].eqNullSafe(b[x]) for x in names]
     cells = cells.join(sizes, null_safe(cells, sizes, ["source", "size"])).select(cells["source"], cells["size"], "block", (F.col("before_block") + F.col("before_size")).alias("before"))
     cells = cells.join(goal, cells["source"].eqNullSafe(goal["source"])).select(cells["source"], cells["size"], "block", "before", "source_size", "target")
-    ranked = base.withColumn("block", F.floor(F.col("id") / id_block)).withColumn("k", F.row_number().over(Window.partitionBy("source", "size", "block").orderBy(F.col("id").asc_nulls_first())) - 1)
-    out = ranked.join(cells, null_safe(ranked, cells, ["source", "size", "block"])).select(ranked["id"], ranked["source"], ranked["size"], *([ranked["row"]] if payload else []), (F.col("before") + F.col("k")).alias("rank"), "source_size", "target")
+    # one struct as key, in which nulls are equal: the window's partitions serve the join too
+    cell = F.struct("source", "size", "block").alias("cell")
+    cells = cells.select(cell, "before", "source_size", "target")
+    ranked = base.withColumn("block", F.floor(F.col("id") / id_block)).withColumn("cell", cell).drop("block")
+    ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy(F.col("id").asc_nulls_first())) - 1)
+    out = ranked.join(cells, "cell").select(ranked["id"], ranked["source"], ranked["size"], *([ranked["row"]] if payload else []), (F.col("before") + F.col("k")).alias("rank"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = offset(F.col("source"), seed)
     copies = F.floor((F.col("rank") + 1) * rate + u) - F.floor(F.col("rank") * rate + u)
