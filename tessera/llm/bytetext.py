@@ -13,7 +13,6 @@ import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BLOCK = 4 << 20
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def batch_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -48,17 +47,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Powers:
+    """BASE**i and BASE**-i modulo 2**64, kept between calls in a process but never sent along with a function."""
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def __reduce__(self):
+        return Powers, ()
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+            made = []
+            for base in (BASE, inverse):
+                p = np.full(max(n, 1 << 16), base, np.uint64)
+                p[0] = 1
+                np.multiply.accumulate(p, out=p)
+                made.append(p)
+            self.up, self.down = made
+        return self.up[:n], self.down[:n]
+
+
+_KEPT = Powers()
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n, kept between calls."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, BLOCK + 1024)
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        for name, base in (("up", BASE), ("down", inverse)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            _POWERS[name] = p
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    return _KEPT.get(n)
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
