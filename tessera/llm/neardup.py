@@ -246,7 +246,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     label = solved.groupBy("id").agg(F.min("label").alias("label"))
     named = reps.join(label, reps["rep"] == label["id"], "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
-    out = signed.select("id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
+    named = materialize(named, "named")  # its join has exchanges of its own, so a hot set can be split
+    # empty sets have no digest; a key of their own keeps them apart
+    apart = F.coalesce("digest", F.xxhash64("id", F.lit(3)).cast("string").cast("binary"))
+    out = signed.select("id", F.col("n").alias("n_shingles"), apart.alias("digest")).join(named, "digest", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
