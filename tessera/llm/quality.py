@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in built-in functions only.
 
-Every rule is a rejecting predicate over per-text counts. On a sample (at most `sample_rows` rows; the
-order of rules is all that depends on it) each rule's rejection share is measured, and its cost is the
+Every rule is a rejecting predicate over per-text counts. On a sample (at most `sample_rows` rows, the
+table's first; the order of rules is all that depends on it) each rule's rejection share is measured, and its cost is the
 mean number of units it touches times the weight of a unit. Rules then stand in descending order of
 rejection per cost inside one CASE, which evaluates a rule only for rows that all earlier ones passed.
 
@@ -86,11 +86,14 @@ RULES = (
 
 
 def order_rules(counted: DataFrame, rules=RULES, sample_rows: int = 2000) -> list[Rule]:
-    """Rules by rejected share per cost, both from a sample of at most sample_rows rows; ties keep the given order."""
-    part = counted.limit(sample_rows)
-    row = part.agg(F.count("*").alias("n"), *[F.avg(F.expr(r.rejects).cast("double")).alias(f"share_{i}") for i, r in enumerate(rules)], *[F.avg(F.col(r.units)).alias(f"units_{i}") for i, r in enumerate(rules)]).first()
-    gain = lambda i: (row[f"share_{i}"] or 0.0) / (rules[i].weight * max(row[f"units_{i}"] or 0.0, 1.0))
-    return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-gain(i), i))]
+    """Rules by rejected share per cost, both from a sample of at most sample_rows rows; ties keep the given order.
+
+    Only verdicts and counts come to the driver, and a table's first partitions give them: no task gathers a row a partition.
+    """
+    rows = counted.select(*[F.expr(r.rejects).cast("int") for r in rules], *[F.col(r.units) for r in rules]).take(sample_rows)
+    mean = lambda k: sum(x[k] or 0 for x in rows) / max(1, len(rows))
+    gain = [mean(i) / (r.weight * max(mean(len(rules) + i), 1.0)) for i, r in enumerate(rules)]
+    return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-gain[i], i))]
 
 
 def cascade(rules) -> Column:
@@ -104,6 +107,6 @@ def cascade(rules) -> Column:
 def judge(docs: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = 2000) -> DataFrame:
     """Input columns in `row`, the counts, base_failed, rejected_by (rule or null) and kept."""
     counted = with_counts(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("_text")), "_text", "row")
-    ordered = order_rules(with_counts(docs.select(docs[text_col].alias("_text")).limit(sample_rows), "_text"), rules, sample_rows)
+    ordered = order_rules(with_counts(docs.select(docs[text_col].alias("_text")), "_text"), rules, sample_rows)
     base = F.expr(BASE)
     return counted.select("*", base.alias("base_failed"), F.when(base, F.lit("base")).otherwise(cascade(ordered)).alias("rejected_by")).withColumn("kept", F.col("rejected_by").isNull())
