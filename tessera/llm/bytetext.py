@@ -12,7 +12,14 @@ import numpy as np
 import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-BLOCK = 4 << 20
+BLOCK = 2 << 20
+
+
+def small_batches(spark, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows for this session, where it has the default of 10,000: texts can be long, and JVM and Python each hold a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
 
 
 def batch_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

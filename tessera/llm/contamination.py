@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.bytetext import ALNUM, LOWER, blocks, find_words, prefix_hash, span_hash
+from tessera.llm.bytetext import ALNUM, LOWER, blocks, find_words, prefix_hash, small_batches, span_hash
 
 SAMPLE = 8
 SPAN = T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "first_word", "end_word")])
@@ -250,6 +250,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """`row` (struct of the kept input columns, all by default), n_words, spans (merged; byte offsets in the text and word numbers) and items (sorted ids as strings), for each row of docs."""
     keep = docs.columns if keep is None else keep
     out = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs[text_col].alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(T.ArrayType(SPAN)).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     for part in _parts(benchmark, item_id, item_text, part_bytes):
         shared = sc.broadcast(Phrases(part, width))

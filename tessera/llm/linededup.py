@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import materialize
+from tessera.llm.bytetext import small_batches
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BLANKS = str.maketrans("\t\x0b\x0c\r", "    ")
@@ -56,6 +57,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
     """id, n_units, removed (unit number, start and end character in the original text) and kept (the text without them) for each row."""
+    small_batches(docs.sparkSession)
     slim = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).alias("th"), docs[text_col].alias("text"))
     units = materialize(slim.mapInArrow(lambda b: _units(b, min_words), "digest binary, id long, th long, unit long, start long, end long"), "units")
     rank = F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), "th", "unit")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import materialize, partitions
-from tessera.llm.bytetext import LOWER, SPACED, blocks, find_words, mix, prefix_hash, span_hash
+from tessera.llm.bytetext import LOWER, SPACED, blocks, find_words, mix, prefix_hash, small_batches, span_hash
 from tessera.llm.prefilter import only_maybe
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -223,6 +223,7 @@ def _cross(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int) ->
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 80, den: int = 100, bands: int = 40, rows: int = 4, block_docs: int = 4096) -> DataFrame:
     """id, n_shingles, component_id and kept for every row."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     signed = materialize(slim.mapInArrow(lambda b: _sign(b, width, bands, rows), "id long, n long, digest binary, bands array<bigint>"), "signed")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import materialize, partitions
-from tessera.llm.bytetext import batch_text, blocks, mix, prefix_hash, span_hash, window_argmin
+from tessera.llm.bytetext import batch_text, blocks, mix, prefix_hash, small_batches, span_hash, window_argmin
 
 CHUNK = 4 << 20
 
@@ -318,6 +318,7 @@ def _remove(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 128, most: int = 4096, block: int = 1 << 20, payload: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, spans (byte offsets in the text, maximal and apart) and kept_sha256 for each row; with payload also kept, the bytes that stay."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     slim = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).alias("th"), docs[text_col].alias("text"))
     found = materialize(slim.where(F.octet_length("text") >= length).mapInArrow(lambda b: _find(b, length, gram), "key long, digest long, id long, th long, start long, windows int, place int"), "contexts")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bytetext import small_batches
+
 MARK = "▁"
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 UNKNOWN_PENALTY = 10.0
@@ -116,6 +118,7 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], text_col:
     """`row` (struct of the kept input columns), n_words, n_tokens and score of the best segmentation. A vocabulary is a fixed table of a tokenizer, so it is sent to every task; more than 2,000,000 pieces are refused."""
     if len(vocabulary) > 2_000_000:
         raise ValueError("vocabulary too large to send to every task")
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs[text_col].alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
