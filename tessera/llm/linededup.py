@@ -62,6 +62,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     units = materialize(slim.mapInArrow(lambda b: _units(b, min_words), "digest binary, id long, th long, unit long, start long, end long"), "units")
     rank = F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), "th", "unit")
     firsts = units.groupBy("digest").agg(F.min(rank).alias("keep"), F.max(rank).alias("last")).where("keep <> last").select("digest", "keep")
+    firsts = materialize(firsts, "firsts")  # its join has exchanges of its own, so a hot digest can be split
     gone = units.join(firsts, "digest").where(rank != F.col("keep")).groupBy("id", "th").agg(F.collect_set(F.struct("unit", "start", "end")).alias("gone"))
     full = slim.join(gone, slim["id"].eqNullSafe(gone["id"]) & (slim["th"] == gone["th"]), "left").select(slim["id"], "text", "gone")
     return full.mapInArrow(_strip, "id long, n_units long, removed array<struct<unit:bigint,start:bigint,end:bigint>>, kept string")
