@@ -238,19 +238,19 @@ def ambiguous_groups(spark, sf):
     return D.ambiguous_groups(*D.residual(*renamed(spark, sf), "name", ["body"]), ["body"])
 
 
-@query("""WITH r AS (SELECT 'r' || l_orderkey || '-' || l_linenumber AS k, 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 4 = 0),
-a AS (SELECT 'a' || l_orderkey || '-' || l_linenumber AS k, 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 4 = 1),
+@query("""WITH r AS (SELECT 'r' || l_orderkey || '-' || l_linenumber AS k, 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 2 = 0),
+a AS (SELECT 'a' || l_orderkey || '-' || l_linenumber AS k, 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 2 = 1),
 r2 AS (SELECT k, 'o' || (CAST(substr(src, 2) AS BIGINT) + 1) AS src, CASE WHEN CAST(substr(dst, 2) AS BIGINT) % 3 = 0 THEN 'p7' ELSE dst END AS dst FROM r),
 r3 AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY k) AS n FROM r2), a3 AS (SELECT *, row_number() OVER (PARTITION BY src, CASE WHEN CAST(substr(dst, 2) AS BIGINT) % 50 = 0 THEN 'p7' ELSE dst END ORDER BY k) AS n, CASE WHEN CAST(substr(dst, 2) AS BIGINT) % 50 = 0 THEN 'p7' ELSE dst END AS d FROM a)
 SELECT r3.k AS removed_edge, a3.k AS added_edge FROM r3 JOIN a3 ON r3.src = a3.src AND r3.dst = a3.d AND r3.n = a3.n""")
 def edge_coalesce(spark, sf):
-    """Orders 4n were renamed to 4n + 1, parts divisible by 3 to part 7; added edges' parts divisible by 50 are part 7."""
+    """Orders 2n were renamed to 2n + 1, parts divisible by 3 to part 7; added edges' parts divisible by 50 are part 7."""
     line = T.table(spark, sf, "lineitem")
     edge = lambda df, mark, dst: df.select(F.concat(F.lit(mark), "l_orderkey", F.lit("-"), "l_linenumber").alias("edge_key"), F.concat(F.lit("o"), "l_orderkey").alias("src"), F.lit("calls").alias("relation"), dst.alias("dst"))
     part = F.concat(F.lit("p"), "l_partkey")
-    removed = edge(line.where("l_linenumber = 1 AND l_orderkey % 4 = 0"), "r", part)
-    added = edge(line.where("l_linenumber = 2 AND l_orderkey % 4 = 1"), "a", F.when(F.col("l_partkey") % 50 == 0, "p7").otherwise(part))
-    orders = T.table(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("removed_id"), F.concat(F.lit("o"), (F.col("o_orderkey") + 1).cast("string")).alias("added_id"))
+    removed = edge(line.where("l_linenumber = 1 AND l_orderkey % 2 = 0"), "r", part)
+    added = edge(line.where("l_linenumber = 2 AND l_orderkey % 2 = 1"), "a", F.when(F.col("l_partkey") % 50 == 0, "p7").otherwise(part))
+    orders = T.table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("removed_id"), F.concat(F.lit("o"), (F.col("o_orderkey") + 1).cast("string")).alias("added_id"))
     parts = T.table(spark, sf, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("removed_id"), F.lit("p7").alias("added_id"))
     return D.coalesce_edges(removed, added, orders.union(parts))
 
@@ -447,13 +447,13 @@ def co_change(spark, sf):
     return R.co_change(line)
 
 
-_FLAGS = "SELECT 'k/' || (props->>'$.k') AS file, bool_or(event_type = 'click') AS planned, bool_or(event_type = 'view') AS retrieved, bool_or(event_type = 'purchase') OR bool_or(event_type = 'signup') AS modified FROM events WHERE user_id % 7 = 0 AND event_type <> 'error' GROUP BY 1"
+_FLAGS = "SELECT 'k/' || (props->>'$.k') || '/' || user_id AS file, bool_or(event_type = 'click') AS planned, bool_or(event_type = 'view') AS retrieved, bool_or(event_type = 'purchase') OR bool_or(event_type = 'signup') AS modified FROM events WHERE event_type <> 'error' GROUP BY 1"
 
 
 @query(f"SELECT *, modified AND NOT retrieved AS modified_not_retrieved, planned AND NOT modified AS planned_not_modified, modified AND NOT planned AS modified_not_planned FROM ({_FLAGS})")
 def observation_overlay(spark, sf):
-    """Tasks whose number is divisible by 7 (the review's scope)."""
-    e = C.agent_events(T.table(spark, sf, "events")).where("task % 7 = 0")
+    e = C.agent_events(T.table(spark, sf, "events"))
+    e = e.withColumn("file", F.concat_ws("/", "file", "task"))  # each task has files of its own
     return R.observation_overlay(*[e.where(F.col("role") == r) for r in ("planned", "read", "modified", "test_selected")])
 
 
@@ -463,11 +463,12 @@ def event_acceptance(spark, sf):
     return good.select("event_id", F.lit("accepted").alias("outcome")).unionByName(bad.select("event_id", F.col("reason").alias("outcome")))
 
 
-@query("WITH c AS (SELECT p_name AS name, count(*) AS n, min(p_partkey) AS one FROM part WHERE p_size > 25 GROUP BY 1) SELECT p_partkey, CASE WHEN n = 1 THEN one ELSE -1 END AS candidate, CASE WHEN n IS NULL THEN 'none' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM part LEFT JOIN c ON p_name || p_size = name || 30 WHERE p_size >= 20")
+@query("WITH c AS (SELECT p_name || p_size AS name, count(*) AS n, min(p_partkey) AS one FROM part GROUP BY 1) SELECT p_partkey, CASE WHEN n = 1 THEN one ELSE -1 END AS candidate, CASE WHEN n IS NULL THEN 'none' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM part LEFT JOIN c ON name = p_name || (p_size + 1)")
 def unique_match(spark, sf):
+    """Every part asks for the one part of its name and the next size."""
     part = T.table(spark, sf, "part")
-    probes = part.where("p_size >= 20").select("p_partkey", F.concat("p_name", "p_size").alias("probe"))
-    found = part.where("p_size > 25").select(F.concat("p_name", F.lit("30")).alias("probe"), F.col("p_partkey").alias("candidate"))
+    probes = part.select("p_partkey", F.concat("p_name", (F.col("p_size") + 1).cast("string")).alias("probe"))
+    found = part.select(F.concat("p_name", F.col("p_size").cast("string")).alias("probe"), F.col("p_partkey").alias("candidate"))
     return R.unique_match(probes, found, "probe").drop("probe").na.fill(-1, ["candidate"])
 
 
@@ -568,22 +569,23 @@ def search_postings(spark, sf):
     return Q.postings(T.table(spark, sf, "part"), "p_partkey", ["p_name", "p_brand"]).withColumn("place", F.col("place").cast("long"))
 
 
-@query("WITH i AS (SELECT l_partkey AS p_partkey FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_partkey + 3 FROM lineitem WHERE l_linenumber = 7), n AS (SELECT p_partkey, count(*) AS n FROM i GROUP BY 1) SELECT coalesce(a.p_partkey, n.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'orphan' WHEN n IS NULL THEN 'missing' ELSE 'repeated' END AS fault FROM (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0) a FULL JOIN n ON a.p_partkey = n.p_partkey WHERE a.p_partkey IS NULL OR n IS NULL OR n > 1")
+@query("WITH i AS (SELECT l_partkey AS p_partkey FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_partkey + 3 FROM lineitem WHERE l_linenumber = 7), n AS (SELECT p_partkey, count(*) AS n FROM i GROUP BY 1) SELECT coalesce(a.p_partkey, n.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'orphan' WHEN n IS NULL THEN 'missing' ELSE 'repeated' END AS fault FROM part a FULL JOIN n ON a.p_partkey = n.p_partkey WHERE a.p_partkey IS NULL OR n IS NULL OR n > 1")
 def index_faults(spark, sf):
     line = T.table(spark, sf, "lineitem")
     indexed = line.where("l_linenumber = 1").select(F.col("l_partkey").alias("p_partkey")).union(line.where("l_linenumber = 7").select(F.col("l_partkey") + 3))
-    return Q.index_faults(T.table(spark, sf, "part").where("p_partkey % 10 <> 0"), indexed, "p_partkey")
+    return Q.index_faults(T.table(spark, sf, "part"), indexed, "p_partkey")
 
 
-@query("SELECT p_brand, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) ELSE 'mixed' END AS version FROM part WHERE p_size < 3 GROUP BY 1")
+@query("SELECT p_brand || '/' || p_size AS snapshot, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) ELSE 'mixed' END AS version FROM part GROUP BY 1")
 def analyzer_versions(spark, sf):
-    return Q.analyzer_versions(T.table(spark, sf, "part").where("p_size < 3").withColumnRenamed("p_type", "version"), "p_brand")
+    members = T.table(spark, sf, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("snapshot"), F.col("p_type").alias("version"))
+    return Q.analyzer_versions(members, "snapshot")
 
 
-@query("SELECT count(DISTINCT p_brand) AS n_mismatched FROM part WHERE p_brand <> 'Brand#1' AND (p_size = 3 OR p_size = 40)")
+@query("SELECT count(DISTINCT v) AS n_mismatched FROM (SELECT p_type || p_size AS v FROM part UNION ALL SELECT s_nationkey || '' FROM supplier) WHERE v <> 'ECONOMY1'")
 def mismatched_versions(spark, sf):
-    p = T.table(spark, sf, "part")
-    return Q.mismatched(p.where("p_size = 3"), p.where("p_size = 40"), "p_brand", "Brand#1")
+    a = T.table(spark, sf, "part").select(F.concat("p_type", F.col("p_size").cast("string")).alias("v"))
+    return Q.mismatched(a, T.table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("v")), "v", "ECONOMY1")
 
 
 @query("SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part")
@@ -628,10 +630,11 @@ def interview_questions(spark, sf):
     return Q.questions(n, e, P.ownership(n, e))
 
 
-@query("WITH d AS (SELECT p_brand AS language, max(CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 ELSE 2 END) AS d FROM part WHERE p_size < 4 GROUP BY 1), o AS (SELECT p_brand AS language, max(CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 ELSE 2 END) AS o, count(*) AS n FROM part WHERE p_size BETWEEN 4 AND 6 GROUP BY 1) SELECT coalesce(d.language, o.language) AS language, coalesce(['inventory', 'structural', 'semantic'][d + 1], 'none') AS declared, coalesce(['inventory', 'structural', 'semantic'][o + 1], 'none') AS observed, coalesce(n, 0) AS n_rows, coalesce(o >= d, false) AS met FROM d FULL JOIN o ON d.language = o.language")
+@query("WITH d AS (SELECT p_brand || '/' || p_size AS language, max(CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 ELSE 2 END) AS d FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), o AS (SELECT p_brand || '/' || p_size AS language, max(CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 ELSE 2 END) AS o, count(*) AS n FROM part WHERE p_partkey % 2 = 1 GROUP BY 1) SELECT coalesce(d.language, o.language) AS language, coalesce(['inventory', 'structural', 'semantic'][d + 1], 'none') AS declared, coalesce(['inventory', 'structural', 'semantic'][o + 1], 'none') AS observed, coalesce(n, 0) AS n_rows, coalesce(o >= d, false) AS met FROM d FULL JOIN o ON d.language = o.language")
 def capability_report(spark, sf):
-    rows = T.table(spark, sf, "part").select(F.col("p_brand").alias("language"), "p_size", F.expr("CASE p_type WHEN 'ECONOMY' THEN 'inventory' WHEN 'STANDARD' THEN 'structural' ELSE 'semantic' END").alias("capability"))
-    return Q.capability_report(rows.where("p_size < 4"), rows.where("p_size BETWEEN 4 AND 6"))
+    """Even parts declare, odd ones are observed."""
+    rows = T.table(spark, sf, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("language"), "p_partkey", F.expr("CASE p_type WHEN 'ECONOMY' THEN 'inventory' WHEN 'STANDARD' THEN 'structural' ELSE 'semantic' END").alias("capability"))
+    return Q.capability_report(rows.where("p_partkey % 2 = 0"), rows.where("p_partkey % 2 = 1"))
 
 
 @query(H(_OWNER + " SELECT n.node_key, CASE WHEN owner IS NOT NULL AND owner < '8' THEN owner ELSE n.node_key END AS representative FROM nodes n JOIN owners USING (node_key) WHERE n.kind IN ('method', 'function') AND n.display_name LIKE '%7'", recursive=True))
