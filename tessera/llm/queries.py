@@ -113,7 +113,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary_path: str | No
         import public_tokenizers
 
         vocabulary_path = str(public_tokenizers.path("piece_bpe_32k.model"))
-    out = tokencount.count_tokens(table(spark, sf_dir, "documents"), tokencount.load_vocabulary(vocabulary_path), keep=["doc_id"])
+    out = tokencount.count_tokens(table(spark, sf_dir, "documents"), tokencount.load_vocabulary(vocabulary_path), keep=["doc_id"], keep_blanks=tokencount.keeps_blanks(vocabulary_path))
     return out.select("row.doc_id", "n_words", "n_tokens", "score")
 
 
@@ -127,7 +127,8 @@ OP7_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, text IS NULL AS gone FROM documents),
 l AS (SELECT doc_id, gone, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d),
 o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS pos,
-  trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+', ' ', 'g'), ' ') AS norm FROM l),
+  trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+', ' ', 'g'), ' ') AS norm FROM l),
 r AS (SELECT *, len(string_split(norm, ' ')) >= 5 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS dup FROM o)
 SELECT doc_id, CAST(sum(CASE WHEN gone THEN 0 ELSE 1 END) AS BIGINT) AS n_lines, CAST(sum(dup::INT) AS BIGINT) AS n_removed,
   coalesce(string_agg(CAST(CAST(pos AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos + length(line) AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (dup), '') AS removed_spans,

@@ -6,10 +6,15 @@ tokenizer: a later candidate must be strictly better, and candidates come in ord
 among equals the longest piece wins. A character that is no piece scores the least score minus 10; it
 counts its UTF-8 bytes with byte fallback, else each run of such characters counts once.
 
-Texts are normalised as the tokenizer does with blank runs: words (runs of characters other than space
-and U+0009 to U+000D) each follow one marker U+2581. Pieces hold the marker only in front, so words are
-independent and are solved once per task; a text that itself holds the marker is solved as a whole. The
-cache of words is emptied at `cache_words` entries, which changes speed only.
+Texts are normalised as the model file says (`keeps_blanks`). A model that removes extra blanks puts one
+marker U+2581 before each word (a run of characters other than space and U+0009 to U+000D). A model that
+keeps them has a marker for each space and one more in front of the text; other blanks stay as they are,
+so a line break or tab that is in no piece is an unknown character, and a word after it has no marker.
+
+Pieces hold the marker only in front, so words, or segments of spaces and the word after them, are
+independent and are solved once per task. So are runs of blanks that are in no piece, with byte fallback.
+Where this doesn't hold, and without kept blanks where a text itself holds the marker, the text is solved
+as a whole. The cache is emptied at `cache_words` entries, which changes speed only.
 
 Defined results: null, empty and blank texts have no words and no tokens; repeated rows are counted
 each; an empty table gives an empty result.
@@ -40,8 +45,23 @@ def load_vocabulary(path: str) -> list[tuple[str, float]]:
     return [(m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
 
 
+def keeps_blanks(path: str) -> bool:
+    """Whether a sentencepiece model's normaliser keeps blank runs, line breaks and tabs."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    spec = model.normalizer_spec
+    if spec.remove_extra_whitespaces:
+        return False
+    if spec.precompiled_charsmap or not spec.add_dummy_prefix or not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError("a normaliser that keeps blanks must map no characters and put one marker in front")
+    return True
+
+
 class Counter:
-    def __init__(self, vocabulary: list[tuple[str, float]], byte_fallback: bool, cache_words: int):
+    def __init__(self, vocabulary: list[tuple[str, float]], byte_fallback: bool, cache_words: int, keep_blanks: bool = False):
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
             self.automaton.add_word(piece, (len(piece), score))
@@ -51,6 +71,11 @@ class Counter:
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self.bytes, self.room = byte_fallback, cache_words
         self.cache: dict[str, tuple[int, float]] = {}
+        self.keep_blanks, self.segments = keep_blanks, {}
+        # a run of unknown characters counts once without byte fallback, so it mustn't be cut
+        self.whole = any(MARK in piece.lstrip(MARK) for piece, _ in vocabulary) or not (byte_fallback or any(piece == MARK for piece, _ in vocabulary))
+        apart = "".join(c for c in "\t\n\v\f\r" if byte_fallback and not any(c in piece for piece, _ in vocabulary))
+        self.segment = re.compile(rf" *[^ {apart}]+| +" + (rf"|[{apart}]+" if apart else ""))
 
     def solve(self, text: str) -> tuple[int, float]:
         """(pieces, score) of the best segmentation."""
@@ -93,8 +118,29 @@ class Counter:
             got = self.cache[w] = self.solve(MARK + w)
         return got
 
+    def kept(self, text: str) -> tuple[int, int, float]:
+        """Words, tokens, score of a text whose blanks are kept."""
+        if not text:
+            return 0, 0, 0.0
+        spaced = " " + text.replace(MARK, " ")  # the tokenizer tells no marker in the text from a space
+        if self.whole:
+            return (len(WORD.findall(text)), *self.solve(spaced.replace(" ", MARK)))
+        words, tokens, total = 0, 0, 0.0
+        for x in self.segment.findall(spaced):
+            got = self.segments.get(x)
+            if got is None:
+                if len(self.segments) >= self.room:
+                    self.segments.clear()
+                got = self.segments[x] = (len(WORD.findall(x)), *self.solve(x.replace(" ", MARK)))
+            words += got[0]
+            tokens += got[1]
+            total += got[2]
+        return len(WORD.findall(text)) if MARK in text else words, tokens, total
+
     def text(self, text: str) -> tuple[int, int, float]:
         """Words, tokens, score."""
+        if self.keep_blanks:
+            return self.kept(text)
         words = WORD.findall(text)
         if MARK in text:
             return (len(words), *self.solve("".join(MARK + w for w in words)))
@@ -106,15 +152,15 @@ class Counter:
         return len(words), tokens, total
 
 
-def _count(batches: Iterator[pa.RecordBatch], vocabulary: list[tuple[str, float]], byte_fallback: bool, cache_words: int) -> Iterator[pa.RecordBatch]:
-    counter = Counter(vocabulary, byte_fallback, cache_words)
+def _count(batches: Iterator[pa.RecordBatch], vocabulary: list[tuple[str, float]], byte_fallback: bool, cache_words: int, keep_blanks: bool) -> Iterator[pa.RecordBatch]:
+    counter = Counter(vocabulary, byte_fallback, cache_words, keep_blanks)
     for batch in batches:
         found = [counter.text(t or "") for t in batch.column("text").to_pylist()]
         w, t, s = zip(*found, strict=True) if found else ((), (), ())
         yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "n_words": pa.array(w, pa.int64()), "n_tokens": pa.array(t, pa.int64()), "score": pa.array(s, pa.float64())})
 
 
-def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], text_col: str = "text", keep: list[str] | None = None, byte_fallback: bool = True, cache_words: int = 400_000) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], text_col: str = "text", keep: list[str] | None = None, byte_fallback: bool = True, cache_words: int = 400_000, keep_blanks: bool = False) -> DataFrame:
     """`row` (struct of the kept input columns), n_words, n_tokens and score of the best segmentation. A vocabulary is a fixed table of a tokenizer, so it is sent to every task; more than 2,000,000 pieces are refused."""
     if len(vocabulary) > 2_000_000:
         raise ValueError("vocabulary too large to send to every task")
@@ -123,4 +169,4 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], text_col:
     rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs[text_col].alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = rows.select("row", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(lambda b: _count(b, shared.value, byte_fallback, cache_words), schema)
+    return rows.mapInArrow(lambda b: _count(b, shared.value, byte_fallback, cache_words, keep_blanks), schema)

@@ -68,3 +68,46 @@ def test_long_text():
     c = tokencount.Counter(SMALL, True, 10)
     assert c.text("ab " * 200_000)[0] == 200_000
     assert c.solve("c" * 100_000)[0] == 100_000
+
+
+def test_blanks_count_as_in_the_tokenizer(spark, tmp_path):
+    from tessera.llm import queries
+
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = str(pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model"))
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    counter = tokencount.Counter(tokencount.load_vocabulary(path), True, 1000, tokencount.keeps_blanks(path))
+    r = random.Random(4)
+    blank = ["", " ", "\n", " \n", "\t\t", "  \n\n\t ", *["".join(r.choice([" ", "\n", "\t"]) for _ in range(r.randint(1, 30))) for _ in range(50)]]
+    for t in blank:
+        assert counter.text(t)[1] == len(model.encode(t)), repr(t)
+    mixed = ["one line\nanother line\n\nlast", "a\r\nb", *["".join(r.choice(["the", "last", "enölich", "(執▁x", " ", "  ", "\n", "\t", "\r\n", "     "]) for _ in range(r.randint(1, 20))) for _ in range(200)]]
+    for t in mixed:
+        assert counter.text(t)[1:] == counter.solve(model.normalize(t)), repr(t)
+    spark.createDataFrame([(k, t) for k, t in enumerate([*blank, *mixed])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x.n_tokens for x in queries.op6_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {k: counter.solve(model.normalize(t))[0] for k, t in enumerate([*blank, *mixed])}
+
+
+def test_blanks_against_public_unigram():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = str(pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model"))
+    vocabulary = tokencount.load_vocabulary(path)
+    t = tokenizers.Tokenizer(tokenizers.models.Unigram([("<unk>", 0.0), *[(f"<0x{i:02X}>", -1e12) for i in range(256)], *vocabulary], 0, True))
+    t.pre_tokenizer = tokenizers.pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="never", split=False)
+    counter = tokencount.Counter(vocabulary, True, 1000, True)
+    r = random.Random(6)
+    for _ in range(200):
+        text = "".join(r.choice(["the", "last", "enölich", "執", "x.", " ", "  ", "\n", "\t", "\n\n"]) for _ in range(r.randint(1, 20)))
+        assert counter.text(text)[1] == len(t.encode(" " + text, add_special_tokens=False).ids), repr(text)
+
+
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_kept_blanks_against_the_whole_text(byte_fallback):
+    r = random.Random(5)
+    for vocabulary in (SMALL, SMALL[1:], [*SMALL, ("a▁b", -3.0)], [*SMALL, ("b\r", -3.0), ("\v", -2.0)]):
+        counter = tokencount.Counter(vocabulary, byte_fallback, 5, True)
+        for _ in range(300):
+            t = "".join(r.choice("aabcx▁   \n\n\t\r\v") for _ in range(r.randint(0, 14)))
+            want = brute(vocabulary, "▁" + t.replace(" ", "▁"), byte_fallback) if t else (0, 0.0)
+            assert counter.text(t) == (len(t.split()), *want), repr(t)
