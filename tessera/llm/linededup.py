@@ -3,7 +3,8 @@
 Units are the `\n`-split lines. A unit is normalised (A-Z lower-cased, runs of blanks to one space,
 trimmed) and digested to 16 bytes. Digests are grouped globally after partial aggregation; rows of
 repeated digests that aren't the earliest (smallest id, then line number) are removed from their texts,
-and the removed units keep their original offsets. Units under `min_words` words always stay.
+and the removed units keep their original offsets. Every unit with a word counts; a larger `min_words` is an
+option, under which shorter units always stay.
 
 Defined results: null or empty texts have one unit or none and lose nothing; null ids rank last; rows
 equal in id and text are the same document and have the same result; an empty table gives an empty one.
@@ -34,7 +35,7 @@ def _units(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
             at = 0
             for k, line in enumerate((text or "").split("\n")):
                 words = [w for w in line.translate(LOWER).translate(BLANKS).split(" ") if w]
-                if len(words) >= min_words:
+                if len(words) >= max(min_words, 1):
                     for column, v in zip(out, (hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest(), i, th, k, at, at + len(line)), strict=True):
                         column.append(v)
                 at += len(line) + 1
@@ -55,7 +56,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n_units": pa.array(n, pa.int64()), "removed": pa.array(spans, kind), "kept": pa.array(kept, pa.string())})
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:
     """id, n_units, removed (unit number, start and end character in the original text) and kept (the text without them) for each row."""
     small_batches(docs.sparkSession)
     slim = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).alias("th"), docs[text_col].alias("text"))

@@ -118,7 +118,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary_path: str | No
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    """The SQL compares lines of five words or more only; the operator has no such bound by default."""
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_words=5)
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return out.select(F.col("id").alias("doc_id"), F.col("n_units").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 

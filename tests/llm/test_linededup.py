@@ -36,3 +36,11 @@ def test_against_brute_force(spark):
     got = linededup.dedup_lines(df, min_words=3).collect()
     assert sorted([(x.id, x.n_units, [tuple(y) for y in x.removed], x.kept) for x in got], key=repr) == brute(rows, 3)
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_short_lines_are_removed_by_default(spark):
+    texts = [(1, "All rights reserved.\nmenu\n\nfirst"), (2, "all  rights reserved.\n\nmenu\t\n二百五十\nsecond"), (3, "二百五十\n\n \nthird")]
+    df = spark.createDataFrame([(*x, "k", "r") for x in texts], SCHEMA)
+    got = linededup.dedup_lines(df).collect()
+    assert sorted([(x.id, x.n_units, [tuple(y) for y in x.removed], x.kept) for x in got], key=repr) == brute(texts, 1)
+    assert {x.id: x.kept for x in got} == {1: texts[0][1], 2: "\n二百五十\nsecond", 3: "\n \nthird"}
