@@ -2,35 +2,41 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import materialize
 
 
-def reach(roots: DataFrame, steps: DataFrame, depth: int | None = None, most: int = 200) -> DataFrame:
+def reach(roots: DataFrame, steps: DataFrame, depth: int | None = None) -> DataFrame:
     """Breadth-first: roots (node) and steps (src -> dst) give node, hop (least). depth None: until nothing is new."""
     seen = materialize(roots.select("node").distinct().withColumn("hop", F.lit(0)), "reach")
     front = seen
-    for hop in range(1, (most if depth is None else depth) + 1):
+    for hop in count(1) if depth is None else range(1, depth + 1):
         new = front.join(steps, front["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
         front = materialize(new.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)), "reach")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if hop % 32 == 0:
+            seen = materialize(seen, "reach")  # a long walk keeps a short plan
     return seen
 
 
-def reach_from(roots: DataFrame, steps: DataFrame, most: int = 200) -> DataFrame:
+def reach_from(roots: DataFrame, steps: DataFrame) -> DataFrame:
     """As reach, for each root on its own: root, node, hop."""
     seen = materialize(roots.select(F.col("node").alias("root"), "node").distinct().withColumn("hop", F.lit(0)), "reach")
     front = seen
-    for hop in range(1, most + 1):
+    for hop in count(1):
         new = front.join(steps, front["node"] == steps["src"]).select("root", F.col("dst").alias("node")).distinct()
         front = materialize(new.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("hop", F.lit(hop)), "reach")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if hop % 32 == 0:
+            seen = materialize(seen, "reach")  # a long walk keeps a short plan
     return seen
 
 
@@ -148,8 +154,8 @@ def context(edges: DataFrame, nodes: DataFrame, anchor: DataFrame, depth: int =
 CONTEXT_ORDER = ("priority", "score", "confidence_rank")
 
 
-def within_budget(ranked: DataFrame, order: list, cost, budget: int, reach_rows: int = 10_000) -> DataFrame:
-    """The longest prefix, in order, whose running cost stays within the budget. Every row costs at least 1, so no more than `budget` rows can fit; reach_rows bounds the sorted part likewise."""
-    top = ranked.withColumn("cost", cost).orderBy(*order).limit(min(budget, reach_rows))
+def within_budget(ranked: DataFrame, order: list, cost, budget: int) -> DataFrame:
+    """The longest prefix, in order, whose running cost stays within the budget. Every row costs at least 1, so no more than `budget` rows can fit or are sorted."""
+    top = ranked.withColumn("cost", cost).orderBy(*order).limit(budget)
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return top.withColumn("running", F.sum("cost").over(w)).where(F.col("running") <= budget)
