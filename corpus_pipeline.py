@@ -45,7 +45,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's shard, 0 to 7; copies of a text share one."""
+    """Every row's shard, 0 to 7; copies of a text share one unless they are moved to make the counts exact."""
     return sharding.with_shards(docs, 8)
 
 
