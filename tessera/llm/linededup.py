@@ -1,18 +1,24 @@
-"""Line hashing: equal lines across the corpus are kept once, at their earliest rank.
+"""Line hashing: equal units across the corpus are kept once, at their earliest rank.
 
-Units are the `\n`-split lines. A unit is normalised (A-Z lower-cased, runs of blanks to one space,
-trimmed) and digested to 16 bytes. Digests are grouped globally after partial aggregation; rows of
-repeated digests that aren't the earliest (smallest id, then line number) are removed from their texts,
-and the removed units keep their original offsets. Every unit with a word counts; a larger `min_words` is an
-option, under which shorter units always stay.
+Units cover a text: `line` (with its line break), `paragraph` (lines up to an empty one) or, for passages
+that begin inside a line, `sentence` (lines cut after `.!?` and their wide forms). A unit is normalised (A-Z
+lower-cased, runs of blanks to one space, trimmed) and digested to 16 bytes. Digests are grouped globally
+after partial aggregation; units of repeated digests that aren't the earliest (smallest id, then unit
+number) are repeats. Repeats are removed and keep their original offsets; what stays is joined again.
 
-Defined results: null or empty texts have one unit or none and lose nothing; null ids rank last; rows
-equal in id and text are the same document and have the same result; an empty table gives an empty one.
+`min_words` is the least size of a unit that counts at all. `min_run` is the least number of words in a run
+of neighbouring repeats (units without words between them don't break it): with it, passages go and single
+common lines stay. Both are off by default, so each repeated unit with a word goes.
+
+Defined results: null or empty texts have no units and lose nothing; null ids rank last; rows equal in
+id and text are the same document and have the same result; an empty table gives an empty one. A very
+long text is handled alone, others in blocks of bounded bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,50 +26,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import materialize
-from tessera.llm.bytetext import small_batches
+from tessera.llm.bytetext import blocks, small_batches
+from tessera.llm.prefilter import only_maybe, split
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-BLANKS = str.maketrans("\t\x0b\x0c\r", "    ")
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
 LAST = (1 << 63) - 1
+#: Units as patterns that cover every text.
+UNITS = {
+    "line": r"[^\n]+\n?|\n",
+    "paragraph": r"[^\n]+(?:\n[^\n]+)*\n*|\n+",
+    "sentence": r"[^\n.!?。！？]+[.!?。！？]*\n?|[.!?。！？]+\n?|\n",
+}
+
+
+def split_units(text: str, unit: str) -> Iterator[tuple[int, int, list[str]]]:
+    """Start, end and normalised words of each unit."""
+    for m in re.finditer(UNITS[unit], text):
+        yield m.start(), m.end(), WORD.findall(m.group().translate(LOWER))
 
 
-def _units(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = ["digest", "id", "th", "unit", "start", "end"]
+def _units(batches: Iterator[pa.RecordBatch], unit: str, min_words: int) -> Iterator[pa.RecordBatch]:
+    for batch, _, _ in blocks(batches, "text"):
+        names = ["digest", "id", "th", "unit"]
         out: list[list] = [[] for _ in names]
         for i, th, text in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            at = 0
-            for k, line in enumerate((text or "").split("\n")):
-                words = [w for w in line.translate(LOWER).translate(BLANKS).split(" ") if w]
+            for k, (_, _, words) in enumerate(split_units(text or "", unit)):
                 if len(words) >= max(min_words, 1):
-                    for column, v in zip(out, (hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest(), i, th, k, at, at + len(line)), strict=True):
+                    for column, v in zip(out, (hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest(), i, th, k), strict=True):
                         column.append(v)
-                at += len(line) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.binary(), *[pa.int64()] * 5], strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.binary(), pa.int64(), pa.int64(), pa.int32()], strict=True)], names)
 
 
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _strip(batches: Iterator[pa.RecordBatch], unit: str, min_run: int) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("unit", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-    for batch in batches:
-        n, kept, spans = [], [], []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-            lines = [] if text is None else text.split("\n")
-            gone = sorted(gone or (), key=lambda x: x["unit"])
+    for batch, _, _ in blocks(batches, "text"):
+        n, kept, removed = [], [], []
+        for text, repeats in zip(batch.column("text").to_pylist(), batch.column("repeats").to_pylist(), strict=True):
+            own = list(split_units(text, unit)) if text and repeats else None
+            n.append(sum(1 for _ in re.finditer(UNITS[unit], text or "")) if own is None else len(own))
+            gone: list[dict] = []
+            if own:
+                run, held, repeats = [], 0, set(repeats)
+                for k, (a, b, words) in enumerate([*own, (0, 0, [""])]):
+                    if k in repeats:
+                        run.append({"unit": k, "start": a, "end": b})
+                        held += len(words)
+                    elif words:  # ends the run
+                        gone += run if held >= min_run else []
+                        run, held = [], 0
             drop = {x["unit"] for x in gone}
-            n.append(len(lines))
-            kept.append(None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in drop))
-            spans.append(gone)
-        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n_units": pa.array(n, pa.int64()), "removed": pa.array(spans, kind), "kept": pa.array(kept, pa.string())})
+            kept.append("".join(text[a:b] for k, (a, b, _) in enumerate(own) if k not in drop) if drop else text)
+            removed.append(gone)
+        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n_units": pa.array(n, pa.int64()), "removed": pa.array(removed, kind), "kept": pa.array(kept, pa.string())})
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 1, min_run: int = 0) -> DataFrame:
     """id, n_units, removed (unit number, start and end character in the original text) and kept (the text without them) for each row."""
     small_batches(docs.sparkSession)
     slim = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).alias("th"), docs[text_col].alias("text"))
-    units = materialize(slim.mapInArrow(lambda b: _units(b, min_words), "digest binary, id long, th long, unit long, start long, end long"), "units")
+    units = materialize(slim.mapInArrow(lambda b: _units(b, unit, min_words), "digest binary, id long, th long, unit int"), "units")
     rank = F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), "th", "unit")
     firsts = units.groupBy("digest").agg(F.min(rank).alias("keep"), F.max(rank).alias("last")).where("keep <> last").select("digest", "keep")
     firsts = materialize(firsts, "firsts")  # its join has exchanges of its own, so a hot digest can be split
-    gone = units.join(firsts, "digest").where(rank != F.col("keep")).groupBy("id", "th").agg(F.collect_set(F.struct("unit", "start", "end")).alias("gone"))
-    full = slim.join(gone, slim["id"].eqNullSafe(gone["id"]) & (slim["th"] == gone["th"]), "left").select(slim["id"], "text", "gone")
-    return full.mapInArrow(_strip, "id long, n_units long, removed array<struct<unit:bigint,start:bigint,end:bigint>>, kept string")
+    again = only_maybe(units, firsts, "digest").join(firsts, "digest").where(rank != F.col("keep"))
+    repeats = materialize(again.groupBy("id", "th").agg(F.collect_set("unit").alias("repeats")), "repeats")
+    # only texts that may have repeats are shuffled
+    some, rest = split(slim, repeats, "id", "th")
+    some = some.join(repeats, some["id"].eqNullSafe(repeats["id"]) & (some["th"] == repeats["th"]), "left").select(some["id"], "text", "repeats")
+    rest = rest.select("id", "text", F.lit(None).cast("array<int>").alias("repeats"))
+    schema = "id long, n_units long, removed array<struct<unit:bigint,start:bigint,end:bigint>>, kept string"
+    strip = lambda df: df.mapInArrow(lambda b: _strip(b, unit, min_run), schema)
+    return strip(rest).unionByName(strip(some))

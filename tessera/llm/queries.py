@@ -118,23 +118,26 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary_path: str | No
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL compares lines of five words or more only; the operator has no such bound by default."""
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_words=5)
+    """Repeated passages: runs of at least OP7_RUN words of repeated sentences go, single common lines stay."""
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"), unit="sentence", min_run=OP7_RUN)
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return out.select(F.col("id").alias("doc_id"), F.col("n_units").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
-
-
-OP7_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, text IS NULL AS gone FROM documents),
-l AS (SELECT doc_id, gone, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d),
-o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS pos,
-  trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
-]+', ' ', 'g'), ' ') AS norm FROM l),
-r AS (SELECT *, len(string_split(norm, ' ')) >= 5 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS dup FROM o)
-SELECT doc_id, CAST(sum(CASE WHEN gone THEN 0 ELSE 1 END) AS BIGINT) AS n_lines, CAST(sum(dup::INT) AS BIGINT) AS n_removed,
-  coalesce(string_agg(CAST(CAST(pos AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos + length(line) AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (dup), '') AS removed_spans,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT dup), '')) AS kept_sha256
-FROM r GROUP BY doc_id
+    return out.select(F.col("id").alias("doc_id"), "n_units", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: A passage of over 50 words is cut by its ends inside sentences; half of it is asked to be whole ones.
+OP7_RUN = 25
+
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{linededup.UNITS["sentence"]}') AS u FROM documents),
+l AS (SELECT doc_id, unnest(u) AS unit, generate_subscripts(u, 1) AS k FROM d),
+o AS (SELECT *, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS upto, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {SPACED_SQL}) AS w FROM l),
+r AS (SELECT *, len(w) AS n, len(w) > 0 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, k) > 1 AS again FROM o),
+i AS (SELECT *, sum(CASE WHEN n > 0 AND NOT again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM r),
+g AS (SELECT *, again AND sum(CASE WHEN again THEN n ELSE 0 END) OVER (PARTITION BY doc_id, run) >= {OP7_RUN} AS gone FROM i),
+k AS (SELECT doc_id, count(*) AS n_units, sum(gone::INT) AS n_removed, string_agg(CAST(CAST(upto - length(unit) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(upto AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (gone) AS spans,
+  string_agg(unit, '' ORDER BY k) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(spans, '') AS removed_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
 """
 
 
