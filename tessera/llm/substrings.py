@@ -78,17 +78,28 @@ def _find(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator
 
 
 class Files:
-    """Named arrays in sequential files of one folder; a new round replaces the old round's files."""
+    """Named arrays in sequential files of one folder. A new round writes new files and removes the old ones:
+    some file systems flush a file that is written over, and a removed one needn't reach the disk."""
 
     def __init__(self, folder: str):
-        self.folder = folder
+        self.folder, self.names = folder, {}
 
     def write(self, **arrays: np.ndarray) -> None:
         for name, x in arrays.items():
-            x.tofile(f"{self.folder}/{name}")
+            old, turn = self.names.get(name, (None, 0))
+            fresh = f"{self.folder}/{name}-{turn + 1}"
+            x.tofile(fresh)
+            self.names[name] = fresh, turn + 1
+            if old:
+                os.unlink(old)
 
     def read(self, name: str, kind) -> np.ndarray:
-        return np.fromfile(f"{self.folder}/{name}", kind)
+        return np.fromfile(self.names[name][0], kind)
+
+    def clear(self) -> None:
+        for name, _ in self.names.values():
+            os.unlink(name)
+        self.names = {}
 
 
 def range_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -245,7 +256,9 @@ def _mark(batches: Iterator[pa.RecordBatch], length: int, block: int) -> Iterato
             if not block_rows:
                 return
             key, digest, windows, places, counts, texts = zip(*block_rows, strict=True)
-            hits = repeats(list(texts), np.array(places), np.array(windows), np.array(counts), length, Files(folder))
+            files = Files(folder)
+            hits = repeats(list(texts), np.array(places), np.array(windows), np.array(counts), length, files)
+            files.clear()
             spans: list[list[dict]] = [[] for _ in texts]
             if len(hits):
                 new = np.concatenate([[True], (hits[1:, 0] != hits[:-1, 0]) | (hits[1:, 1] != hits[:-1, 1] + 1)])
