@@ -1,9 +1,14 @@
 """Quality rules as a short-circuit cascade, in built-in functions only.
 
-Every rule is a rejecting predicate over per-text counts. On a sample (at most `sample_rows` rows, the
-table's first; the order of rules is all that depends on it) each rule's rejection share is measured, and its cost is the
-mean number of units it touches times the weight of a unit. Rules then stand in descending order of
-rejection per cost inside one CASE, which evaluates a rule only for rows that all earlier ones passed.
+Every rule is a rejecting predicate over measures of a text. On a sample of about `sample_rows` rows, drawn
+from the whole table, each rule is run by itself: the share it rejects and the seconds it takes (less those
+of an idle pass) are measured. Rules then stand in descending order of rejection per second inside one CASE,
+which evaluates a rule only for rows that all earlier ones passed. Only the order, and so `rejected_by`,
+depends on the sample; verdicts don't.
+
+`select_kept` has no counts to return: a text is cut into words, and each further measure is computed only
+if a rule that asks for it is reached. `judge` returns the counts of every row; there the rules that need
+more than counts are what a rejection saves.
 
 Defined results: a null text has no words and counts of zero; it fails the base rules, as an empty one
 does. Repeated rows are judged each on its own. An empty table gives an empty result.
@@ -11,13 +16,18 @@ does. Repeated rows are judged each on its own. An empty table gives an empty re
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import materialize
+
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def words(text: Column) -> Column:
@@ -29,9 +39,9 @@ def _removed(text: Column, chars: str) -> Column:
     return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
 
 
-def sorted_windows(w: Column) -> Column:
-    """3-word windows as (hash, place), sorted."""
-    return F.sort_array(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
+def windows(w: Column) -> Column:
+    """Hashes of the 3-word windows."""
+    return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
 
 
 def let(value: Column, body) -> Column:
@@ -39,25 +49,51 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+FEW = 16
+
+
 def repeat_words(w: Column) -> Column:
-    """Words in 3-word windows found twice or more: of the sorted windows those with an equal neighbour repeat; in order of place each adds the words not yet counted."""
-    same = lambda g, x, i: F.coalesce(x["h"] == F.get(g, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(g, i + 1)["h"], F.lit(False))
-    places = lambda g: F.sort_array(F.transform(F.filter(g, lambda x, i: same(g, x, i)), lambda x: x["i"]))
+    """Words in 3-word windows found twice or more. Sorted hashes tell which windows repeat; their places, in order, each add the words not yet counted.
+
+    Few repeated hashes are looked up; with more of them, hashes are sorted together with their places.
+    """
+    twice = lambda g: let(F.sort_array(g), lambda s: F.array_distinct(F.filter(s, lambda x, i: F.coalesce(x == F.get(s, i - 1), F.lit(False)))))
+    paired = lambda g: F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    same = lambda p, x, i: F.coalesce(x["h"] == F.get(p, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(p, i + 1)["h"], F.lit(False))
+    many = lambda g: let(paired(g), lambda p: F.sort_array(F.transform(F.filter(p, lambda x, i: same(p, x, i)), lambda x: x["i"])))
+    few = lambda g, d: F.filter(F.transform(g, lambda h, i: F.when(F.array_contains(d, h), i)), lambda i: i.isNotNull())
     added = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    return let(sorted_windows(w), lambda g: let(places(g), added))
+    count = lambda g, d: F.when(F.size(d) == 0, 0).when(F.size(d) <= FEW, let(few(g, d), added)).otherwise(let(many(g), added))
+    return let(windows(w), lambda g: let(twice(g), lambda d: count(g, d)))
+
+
+class Measures:
+    """What rules ask of one text, each computed only where it's asked for: from the words, an array that is there already."""
+
+    def __init__(self, text: Column, w: Column):
+        self.text, self.w = text, w
+
+    n_words = property(lambda self: F.size(self.w).cast("long"))
+    word_chars = property(lambda self: F.char_length(F.translate(self.text, BLANKS, "")).cast("long"))
+    n_symbols = property(lambda self: _removed(self.text, SYMBOLS).cast("long"))
+    n_dup_lines = property(lambda self: let(self.lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    n_repeat_words = property(lambda self: repeat_words(self.w).cast("long"))
+    lines = property(lambda self: F.filter(F.split(self.text, "\n"), lambda x: F.translate(x, BLANKS, "") != ""))
+
+
+class Counted(Measures):
+    """The same where the counts are finished columns."""
+
+    def __init__(self, text: Column):
+        self.text = text
+
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words = (property(lambda self, n=n: F.col(n)) for n in COUNTS)
 
 
 def counts(text: Column) -> Column:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a whole text, as a struct."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
-    return let(words(text), lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"),
-        F.char_length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        _removed(text, SYMBOLS).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeat_words(w).cast("long").alias("n_repeat_words"),
-    ))
+    return let(words(text), lambda w: F.struct(*[getattr(Measures(text, w), n).alias(n) for n in COUNTS]))
 
 
 def with_counts(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
@@ -67,46 +103,89 @@ def with_counts(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """`rejects` over the counts; `units` is the count whose size the rule's work follows, `weight` the cost of one."""
+    """`rejects` is asked of a text's Measures, and says the same as `sql` over the counts, the text t and lines (those with a word)."""
 
     name: str
-    rejects: str
-    units: str
-    weight: float
+    rejects: Callable[[Measures], Column]
+    sql: str
+    covers: str = ""  # a base rule that rejects no text that this one doesn't
+
 
+def share_of_lines(m: Measures, ends: Callable[[Column], Column], num: int, den: int) -> Column:
+    return let(m.lines, lambda x: F.size(F.filter(x, ends)) * den > F.size(x) * num)
 
+
+BULLETS, DOTS = ("-", "*", "•"), ("...", "…")
+#: Words with a letter.
+LETTERED = r"[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*"
 BASE = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
-#: Rules beyond the base; thresholds are ours and catch text drowned in symbols, tables, shouting gaps or copied lines.
+#: The base as rules of their own, for cascades without finished counts.
+BASE_RULES = (Rule("few_words", lambda m: m.n_words < 50, "n_words < 50"), Rule("mostly_repeated", lambda m: 100 * m.n_repeat_words > 50 * m.n_words, "100 * n_repeat_words > 50 * n_words"))
+#: Rules beyond the base; thresholds are ours and catch text drowned in symbols, tables, gaps, copied lines, lists, teasers and figures.
 RULES = (
-    Rule("symbols", "100 * n_symbols > 15 * n_words", "word_chars", 1.0),
-    Rule("word_length", "word_chars > 25 * n_words OR word_chars < 2 * n_words", "word_chars", 1.2),
-    Rule("dup_lines", "n_dup_lines > 4 AND 10 * n_dup_lines > n_words", "word_chars", 1.5),
-    Rule("repetition", "100 * n_repeat_words > 30 * n_words", "n_words", 9.0),
+    Rule("symbols", lambda m: 100 * m.n_symbols > 15 * m.n_words, "100 * n_symbols > 15 * n_words"),
+    Rule("word_length", lambda m: (m.word_chars > 25 * m.n_words) | (m.word_chars < 2 * m.n_words), "word_chars > 25 * n_words OR word_chars < 2 * n_words"),
+    Rule("dup_lines", lambda m: 10 * m.n_dup_lines > F.greatest(F.lit(40), m.n_words), "n_dup_lines > 4 AND 10 * n_dup_lines > n_words"),
+    Rule("repetition", lambda m: 100 * m.n_repeat_words > 30 * m.n_words, "100 * n_repeat_words > 30 * n_words", covers="mostly_repeated"),
+    Rule("bullets", lambda m: share_of_lines(m, lambda x: _any(F.startswith, F.ltrim(x), BULLETS), 9, 10), "10 * len(list_filter(lines, lambda x: " + " OR ".join(f"starts_with(ltrim(x, ' '), '{b}')" for b in BULLETS) + ")) > 9 * len(lines)"),
+    Rule("teasers", lambda m: share_of_lines(m, lambda x: _any(F.endswith, F.rtrim(x), DOTS), 3, 10), "10 * len(list_filter(lines, lambda x: " + " OR ".join(f"ends_with(rtrim(x, ' '), '{d}')" for d in DOTS) + ")) > 3 * len(lines)"),
+    Rule("figures", lambda m: 10 * F.regexp_count(m.text, F.lit(LETTERED)) < 7 * m.n_words, f"10 * len(regexp_extract_all(t, '{LETTERED}')) < 7 * n_words"),
 )
 
 
-def order_rules(counted: DataFrame, rules=RULES, sample_rows: int = 2000) -> list[Rule]:
-    """Rules by rejected share per cost, both from a sample of at most sample_rows rows; ties keep the given order.
+def _any(test, x: Column, marks: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for mark in marks:
+        found = found | test(x, F.lit(mark))
+    return found
 
-    Only verdicts and counts come to the driver, and a table's first partitions give them: no task gathers a row a partition.
-    """
-    rows = counted.select(*[F.expr(r.rejects).cast("int") for r in rules], *[F.col(r.units) for r in rules]).take(sample_rows)
-    mean = lambda k: sum(x[k] or 0 for x in rows) / max(1, len(rows))
-    gain = [mean(i) / (r.weight * max(mean(len(rules) + i), 1.0)) for i, r in enumerate(rules)]
+
+def order_rules(sample: DataFrame, measures: Callable[[Callable[[Measures], Column]], Column], rules=RULES) -> list[Rule]:
+    """Rules by rejected share per second, both measured on the sample; ties keep the given order. A rule's time is that of a pass with it less that of a pass without."""
+
+    def timed(test: Column) -> tuple[float, int]:
+        took = []
+        for _ in range(2):  # the first compiles
+            began = time.perf_counter()
+            n = sample.agg(F.sum(test.cast("int"))).first()[0]
+            took.append(time.perf_counter() - began)
+        return min(took), n or 0
+
+    idle = timed(measures(lambda m: m.text.isNull()))[0]
+    found = [timed(measures(r.rejects)) for r in rules]
+    gain = [n / max(t - idle, 1e-4) for t, n in found]
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-gain[i], i))]
 
 
-def cascade(rules) -> Column:
+def sample_of(docs: DataFrame, rows: int, seed: int = 11) -> DataFrame:
+    """About `rows` rows drawn from all of docs, at most half as many more, in one file."""
+    share = min(1.0, 1.2 * rows / max(1, docs.count()))
+    return materialize(docs.where(F.rand(seed) < share).limit(rows * 3 // 2).coalesce(1), "sample")
+
+
+def cascade(rules, m: Measures) -> Column:
     """The first rule that rejects, or null; later rules aren't evaluated then."""
     chain = None
     for r in rules:
-        chain = (F if chain is None else chain).when(F.expr(r.rejects), F.lit(r.name))
+        chain = (F if chain is None else chain).when(r.rejects(m), F.lit(r.name))
     return chain if chain is not None else F.lit(None).cast("string")
 
 
-def judge(docs: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = 2000) -> DataFrame:
-    """Input columns in `row`, the counts, base_failed, rejected_by (rule or null) and kept."""
-    counted = with_counts(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("_text")), "_text", "row")
-    ordered = order_rules(with_counts(docs.select(docs[text_col].alias("_text")), "_text"), rules, sample_rows)
+def judge(docs: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = 1000) -> DataFrame:
+    """Input columns in `row`, the counts, base_failed, rejected_by (rule or null) and kept. The counts are asked for, so every row has them; the rules beyond them run for rows that passed all before."""
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    slim = with_counts(sample_of(docs.select(docs[text_col].alias("_text")), sample_rows), "_text", "_text")
+    ordered = order_rules(materialize(slim, "counted"), lambda test: test(Counted(text)), rules)
+    counted = with_counts(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[text_col].alias("_text")), "_text", "row", "_text")
     base = F.expr(BASE)
-    return counted.select("*", base.alias("base_failed"), F.when(base, F.lit("base")).otherwise(cascade(ordered)).alias("rejected_by")).withColumn("kept", F.col("rejected_by").isNull())
+    judged = counted.select("*", base.alias("base_failed"), F.when(base, F.lit("base")).otherwise(cascade(ordered, Counted(text))).alias("rejected_by")).drop("_text")
+    return judged.withColumn("kept", F.col("rejected_by").isNull())
+
+
+def select_kept(docs: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = 1000) -> DataFrame:
+    """The rows of docs that judge keeps, without counts: base and rules are one cascade, and a row that one rejects isn't measured by those after it."""
+    on = lambda t, test: let(words(F.coalesce(t, F.lit(""))), lambda w: test(Measures(F.coalesce(t, F.lit("")), w)))
+    every = (*[r for r in BASE_RULES if r.name not in {x.covers for x in rules}], *rules)
+    sample = sample_of(docs.select(docs[text_col].alias("_text")), sample_rows)
+    ordered = order_rules(sample, lambda test: on(F.col("_text"), test), every)
+    return docs.where(on(docs[text_col], lambda m: cascade(ordered, m)).isNull())

@@ -103,7 +103,8 @@ l AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unne
 c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars,
   CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN l USING (doc_id) LEFT JOIN p USING (doc_id))
-SELECT *, {quality.BASE} AS base_failed, NOT ({quality.BASE} OR {" OR ".join(f"({r.rejects})" for r in quality.RULES)}) AS kept FROM c
+SELECT c.*, {quality.BASE} AS base_failed, NOT ({quality.BASE} OR {" OR ".join(f"({r.sql})" for r in quality.RULES)}) AS kept
+FROM c JOIN (SELECT doc_id, t, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {SPACED_SQL})) AS lines FROM d) USING (doc_id)
 """
 
 

@@ -39,13 +39,39 @@ def test_quality_counts_and_verdict(spark):
 
 
 def test_cascade_order_changes_no_verdict(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts())] + [(None, None)], "doc_id long, text string")
     one = {x.row.doc_id: x.kept for x in quality.judge(df, rules=quality.RULES).collect()}
     two = {x.row.doc_id: x.kept for x in quality.judge(df, rules=quality.RULES[::-1]).collect()}
     assert one == two
-    counted = quality.with_counts(df, "text")
-    cheap = quality.Rule("often", "n_words >= 0", "n_words", 0.001)
-    assert quality.order_rules(counted, [*quality.RULES, cheap])[0].name == "often"
+    assert sorted(x.doc_id for x in quality.select_kept(df).collect()) == sorted(i for i, k in one.items() if k)
+    assert quality.select_kept(df.limit(0)).count() == 0
+
+
+def test_a_rejected_row_runs_no_later_rule(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a b c"), (3, None)], "doc_id long, text string")
+    short = quality.Rule("short", lambda m: m.n_words < 3, "n_words < 3")
+    bomb = quality.Rule("bomb", lambda m: F.coalesce(F.raise_error(F.concat(F.lit("ran "), m.text)).cast("boolean"), F.lit(False)), "true")
+    run = lambda rules, rows: rows.select(quality.let(quality.words(F.coalesce("text", F.lit(""))), lambda w: quality.cascade(rules, quality.Measures(F.col("text"), w))).alias("r"))
+    assert [x.r for x in run([short, bomb], df.where("doc_id <> 2")).collect()] == ["short", "short"]
+    with pytest.raises(Exception, match="ran"):
+        run([short, bomb], df).collect()
+
+
+def test_order_is_by_rejection_per_second(spark):
+    df = spark.createDataFrame([(i, f"w{i} " * 300) for i in range(300)], "doc_id long, _text string")
+    dear = quality.Rule("dear", lambda m: m.n_repeat_words >= 0, "true")
+    never = quality.Rule("never", lambda m: m.n_words < 0, "false")
+    cheap = quality.Rule("cheap", lambda m: m.n_words >= 0, "true")
+    on = lambda test: quality.let(quality.words(F.col("_text")), lambda w: test(quality.Measures(F.col("_text"), w)))
+    assert [r.name for r in quality.order_rules(quality.sample_of(df, 200), on, [never, dear, cheap])][-1] == "never"
+    assert quality.sample_of(df, 50).count() <= 75
+
+
+def test_rules_beyond_counts(spark):
+    prose = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
+    rows = [(1, prose), (2, "\n".join("- " + prose[k : k + 40] for k in range(0, 600, 40))), (3, "\n".join(prose[k : k + 60] + "..." for k in range(0, 600, 60))), (4, " ".join(str(n * 7919) for n in range(90)))]
+    got = {x.row.doc_id: x.rejected_by for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: None, 2: "bullets", 3: "teasers", 4: "figures"}
 
 
 def waterfill(sizes, share=1.5, cap=2.0, weights=(5, 2, 1)):
@@ -120,3 +146,17 @@ def test_hot_group_is_split(spark):
     got = sharding.assign_shards(df, 8)
     hot = [r["count"] for r in got.where("text_crc32 = crc32('hot')").groupBy("shard").count().collect()]
     assert sum(hot) == 900 and max(hot) <= 250 and sorted(hot)[-3] >= 220  # near full shards, not a little everywhere
+
+
+def test_shards_follow_from_content_alone(spark):
+    rows = [(i, f"text {i % 170} é") for i in range(500)] + [(None, None), (7, "rep"), (7, "rep")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    places = lambda d: sorted(((x.id, x.size, x.text_crc32, x.shard, x.slot) for x in sharding.assign_shards(d, 8).collect()), key=repr)
+    assert places(df.repartition(7)) == places(df.orderBy(F.desc("doc_id")).coalesce(1))
+
+
+def test_surplus_moves_as_whole_groups(spark):
+    rows = [(i, f"text {i // 4}") for i in range(800)]  # no unlinked rows
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 8).selectExpr("CAST(id AS BIGINT) DIV 4 AS grp", "shard")
+    cut = sharding.cut_share(got).first()
+    assert cut.linked == 800 and cut.cut <= 2 * 8 * 2  # a group or two a shard in part
