@@ -15,8 +15,8 @@ from tessera.llm import contamination, mixing, neardup, prefilter, quality, shar
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality cascade rejects go."""
-    return quality.judge(docs).where("kept").select("row.*")
+    """Documents that the quality cascade rejects go: null, empty and short texts do; repeated rows are judged each; very long texts as a whole."""
+    return quality.select_kept(docs)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,28 +24,30 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     found = materialize(neardup.near_duplicates(docs, width=5), "found")
     gone = found.where("NOT kept AND component_id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct()
     left = prefilter.without(docs, gone, "doc_id")
-    # only rows that share id and text with another are numbered
-    twice = left.withColumn("_t", F.xxhash64("text")).where("doc_id IS NOT NULL").groupBy("doc_id", "_t").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    # only rows that share id and text with another are numbered, in an order that follows from their values
+    same = F.struct(left["doc_id"].alias("i"), F.xxhash64(left["text"]).alias("t"))
+    twice = left.where("doc_id IS NOT NULL").select("doc_id", same.alias("same")).groupBy("doc_id", "same").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     twice = materialize(twice, "twice")
-    some = prefilter.only_maybe(left, twice, "doc_id")
-    first = some.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))).where("_k = 1 OR doc_id IS NULL").drop("_k")
-    others = prefilter.with_maybe(left, twice, "doc_id").where("NOT _maybe").drop("_maybe")
+    some, others = prefilter.split(left, twice, "doc_id")
+    packed = some.select(F.struct(*[some[f"`{c}`"] for c in some.columns]).alias("row"), F.struct(some["doc_id"].alias("i"), F.xxhash64(some["text"]).alias("t")).alias("same"))
+    packed = packed.withColumn("k", F.row_number().over(Window.partitionBy("same").orderBy(F.to_json("row"))))
+    first = packed.where("k = 1 OR row.doc_id IS NULL").select(*[F.col("row").getField(c).alias(c) for c in some.columns])
     return others.unionByName(first)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of the benchmark are cut out of the texts."""
+    """Passages of the benchmark are cut out of the texts; rows without any, null and empty texts stay as they are, an empty benchmark changes nothing."""
     return contamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it; null and empty texts have size 0 and copies all the same, null sources are one source, repeated rows are taken each."""
     taken = mixing.mix(docs, payload=True)
     return taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's shard, 0 to 7; copies of a text share one unless they are moved to make the counts exact."""
+    """Every row's shard, 0 to 7; copies of a text share one unless their group is larger than half a shard or the last to make way for exact counts. Null texts are in no group."""
     return sharding.with_shards(docs, 8)
 
 
