@@ -1,6 +1,6 @@
 """WARC archives with revisit records, and a globally ordered capture index by external merging.
 
-Writing. A page becomes one record; of equal payloads of at least `min_bytes` the largest id's is the
+Writing. Archives hold pages of one size class and a bounded number of bytes. A page becomes one record; of equal payloads of at least `min_bytes` the largest id's is the
 response and the others are revisits that name it. Archives are written by Spark's text writer (gzip), so
 they can be in any store and a lost executor's files are written again; a record ends in the blank line
 that the writer adds.
@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.shared import partitions, shared_dir
+from tessera.functions.shared import materialize, partitions, shared_dir
+from tessera.llm.prefilter import split
 
 EPOCH = datetime(2000, 1, 1, tzinfo=UTC)
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -48,12 +49,14 @@ def _escaped(url: Column) -> Column:
 
 
 def build_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 1000) -> DataFrame:
-    """One column `value`: the record up to, and without, its last line feed."""
+    """Columns size (payload bytes) and value: the record up to, and without, its last line feed."""
     html = F.coalesce(pages[html_col], F.lit(""))
     base = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("size"))
-    # largest id per repeated payload; small and single payloads need no partner
+    # largest id per repeated payload, written first: the join has exchanges of its own, so one very frequent payload can be split
     heads = base.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("digest", "head")
-    joined = base.join(heads, "digest", "left")
+    heads = materialize(heads, "heads")
+    some, alone = split(base, heads, "digest")  # small and single payloads need no partner and aren't shuffled
+    joined = some.join(heads, "digest", "left").select(*base.columns, "head").unionByName(alone.withColumn("head", F.lit(None).cast("long")))
     revisit = F.col("head").isNotNull() & ~F.col("id").eqNullSafe(F.col("head"))
     target = F.coalesce(F.concat(F.lit("WARC-Target-URI: "), _escaped(F.col("url")), F.lit("\r\n")), F.lit(""))
     when = F.date_format(F.timestamp_seconds(F.lit(int(EPOCH.timestamp())) + F.pmod(F.coalesce("id", F.lit(0)), F.lit(1 << 33))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -63,11 +66,23 @@ def build_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     )
     response = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\n"), common, F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), (F.col("size") + len(HTTP)).cast("string"), F.lit("\r\n\r\n" + HTTP), F.col("html"), F.lit("\r\n\r"))
     again = F.concat(F.lit("WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\n"), common, F.lit("WARC-Refers-To: <urn:page:"), F.col("head").cast("string"), F.lit(">\r\nContent-Length: 0\r\n\r\n\r\n\r"))
-    return joined.select(F.when(revisit, again).otherwise(response).alias("value"))
+    return joined.select("size", F.when(revisit, again).otherwise(response).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = 4000, **columns) -> None:
-    build_records(pages, **columns).write.option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+#: Payloads under so many bytes, and how many of them an archive holds at most: 64 MB, or one larger page.
+CLASSES = ((64 << 10, 1000), (8 << 20, 8), (None, 1))
+
+
+def write_archives(pages: DataFrame, path: str, classes=CLASSES, html_col: str = "html", **columns) -> None:
+    """Archives under path, one folder for each class of payload sizes, so that an archive's bytes are bounded."""
+    over = 0
+    size = F.coalesce(F.octet_length(pages[html_col]), F.lit(0))
+    records = build_records(pages, html_col=html_col, **columns)
+    for k, (under, most) in enumerate(classes):
+        own = records.where((F.col("size") >= over) & (F.col("size") < under) if under else F.col("size") >= over)
+        if k == 0 or not pages.where(size >= over).isEmpty():
+            own.select("value").write.option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/{k}")
+        over = under
 
 
 def parse_archive(raw: bytes) -> Iterator[dict]:
@@ -226,7 +241,7 @@ def round_trip(pages: DataFrame, **columns) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, **columns)
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
     return capture_index(archives)
 
 

@@ -74,3 +74,13 @@ def test_merge_of_many_runs(fan_in):
     batches = [pa.RecordBatch.from_pylist(rows[i : i + 13], warc.CAPTURE) for i in range(0, len(rows), 13)]
     got = [x for b in warc.merge_runs(iter(batches), step=5, fan_in=fan_in) for x in b.to_pylist()]
     assert [warc.order(x) for x in got] == sorted(warc.order(x) for x in rows)
+
+
+def test_archives_hold_a_bounded_number_of_bytes(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", "x" * n) for i, n in enumerate([10] * 30 + [300] * 9 + [5000] * 3)]
+    pages = spark.createDataFrame([(*x, "v") for x in rows], PAGES).coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/w", classes=((100, 10), (1000, 4), (None, 1)))
+    held = {}
+    for f in tmp_path.glob("w/*/*.gz"):
+        held.setdefault(f.parent.name, []).append(len(list(warc.parse_archive(f.read_bytes()))))
+    assert {k: sorted(v) for k, v in held.items()} == {"0": [10, 10, 10], "1": [1, 4, 4], "2": [1, 1, 1]}
