@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import materialize
 from tessera.llm.quality import BLANKS
 
 WEIGHTS = (5, 2, 1)
@@ -56,6 +57,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """id, source, size, source_size, target, copies; with payload also `row`, the struct of all input columns."""
     extra = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if payload else []
     base = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), count_words(docs[text_col]).alias("size"), *extra)
+    base = materialize(base, "sizes")  # texts are cut into words once
     slim = base.select("id", "source", "size").withColumn("block", F.floor(F.col("id") / id_block))
     cells = slim.groupBy("source", "size", "block").agg(F.count("*").alias("n"))
     sizes = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
