@@ -12,7 +12,8 @@ each band's bucket around its smallest id, never all its pairs; their components
 joins and bound the search. Inside one component, full sets are compared by union-find around pivots: a
 document that is found linked joins, and joined documents seek only among those not joined yet, so no
 link between different sets is lost. Components of more than `block_docs` sets are cut into blocks that
-are solved apart; then all sets outside the largest of the found groups are put against every block.
+are solved apart; then all sets outside the largest of the found groups are put against every block, a
+block's worth of them at a time, so no task holds more than two blocks of sets.
 
 Defined results: without words or text (null, empty, blanks) the set is empty and linked with nothing;
 a null id never represents a set: its row takes the component of an equal set or else null, and isn't kept;
@@ -121,10 +122,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")  # joins with exchanges of their own can split a hot node
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.where("u <> v").distinct()
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        down = materialize(large.where("u <> v").distinct(), "down")
+        low = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = materialize(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -243,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = lambda df, *order: df.repartition(partitions(spark), "unit").sortWithinPartitions("unit", *order)
     solved = materialize(dealt(by_unit, "id").mapInArrow(lambda b: _solve_groups(b, width, num, den), "id long, label long"), "solved")
     if near.join(sizes, "root").where(F.col("size") > block_docs).limit(1).count():
-        solved = _across(member, solved, dealt, width, num, den)
+        solved = _across(member, solved, dealt, width, num, den, block_docs)
 
     label = solved.groupBy("id").agg(F.min("label").alias("label"))
     named = reps.join(label, reps["rep"] == label["id"], "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
@@ -255,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _across(member: DataFrame, solved: DataFrame, dealt, width: int, num: int, den: int) -> DataFrame:
+def _across(member: DataFrame, solved: DataFrame, dealt, width: int, num: int, den: int, block_docs: int) -> DataFrame:
     """Joins the groups that blocks of one large component found apart: first around one probe a block, then all sets outside the largest group against every block."""
     cut = member.where("cut").join(solved, "id").select("root", "part", "id", "label", "text")
     parts = cut.select("root", "part").distinct()
@@ -266,9 +267,12 @@ def _across(member: DataFrame, solved: DataFrame, dealt, width: int, num: int, d
             asks = cut.join(largest, "root").where("label <> big")
         else:
             asks = cut.join(sizes.where("n > 1"), ["root", "label"]).where("id = label OR pmod(xxhash64(id), n) < 8")
-        asks = asks.select("root", "id", "label", "text").join(parts, "root")
-        own = cut.select("root", "id", "label", "text", "part").withColumn("own", F.lit(True))
-        both = asks.withColumn("own", F.lit(False)).unionByName(own).withColumn("unit", F.xxhash64("root", "part"))
+        # asking sets come in turns of about a block, so a task holds no more of them
+        turns = asks.groupBy("root").agg(F.ceil(F.count("*") / block_docs).alias("turns"))
+        asks = asks.join(turns, "root").withColumn("turn", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("turns")))
+        asks = asks.select("root", "id", "label", "text", "turn").join(parts, "root")
+        own = cut.join(turns, "root").select("root", "id", "label", "text", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn")).withColumn("own", F.lit(True))
+        both = asks.withColumn("own", F.lit(False)).unionByName(own).withColumn("unit", F.xxhash64("root", "part", "turn"))
         links = dealt(both, "own", "id").mapInArrow(lambda b: _cross(b, width, num, den), "a long, b long").where("a <> b")
         merged = components(links)
         new = F.coalesce("root2", "label")
