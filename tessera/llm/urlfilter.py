@@ -7,8 +7,10 @@ search and confirmed against the stored strings, so a digest collision decides n
 
 Defined results: a null URL, or one without `://`, has empty host and path and fits no rule; without a
 fitting rule the verdict is `default`. The longest key wins, among equally long the longer host; of
-repeated rules the last one counts. Rules are dealt in parts of at most `part_bytes`, one broadcast and
-one pass each, so that no broadcast grows with them.
+repeated rules the last one counts. Rules are dealt in parts of at most `part_bytes`, one broadcast each; a
+pass over the pages takes `parts_a_pass` of them and is written before the next, so neither a broadcast nor
+the memory of a task grows with the rules. A very long host gives no more keys than the rules' longest host
+has labels.
 """
 
 from __future__ import annotations
@@ -24,8 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-OUT = "rule string, verdict string, strength int"
-
+from tessera.functions.shared import materialize
 
 def host_of(url: Column) -> Column:
     """After the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; empty without `://`."""
@@ -50,6 +51,7 @@ class DigestArray:
         self.hosts = np.array([r[3] for r in rows], np.int32).tobytes()
         self.blob = b"".join(r[1] for r in rows)
         self.path_lengths = sorted({len(k) - h for k, (_, h) in table.items()})
+        self.most_labels = max((k[:h].count(b".") + 1 for k, (_, h) in table.items()), default=0)
         self._open = None
 
     def __getstate__(self):
@@ -85,21 +87,25 @@ class DigestArray:
         return out
 
 
-def candidates(host: str, path: str, path_lengths: list[int]) -> Iterator[bytes]:
-    """The host and all its superdomains, each with every rule-long prefix of the path."""
-    raw = path.encode()
+def candidates(host: str, path: str, path_lengths: list[int], most_labels: int) -> Iterator[bytes]:
+    """The host's superdomains of up to `most_labels` labels (no rule's host has more), itself included, each with every rule-long prefix of the path."""
+    raw = path.encode()[: path_lengths[-1]] if path_lengths else b""
     heads = [raw[:n] for n in path_lengths if n <= len(raw)]
-    while host:
-        own = host.encode()
-        yield from (own + x for x in heads)
-        host = host.partition(".")[2]
+    at = len(host)
+    for _ in range(most_labels if host else 0):
+        at = host.rfind(".", 0, at)
+        own = host[at + 1 :].encode()
+        if own:
+            yield from (own + x for x in heads)
+        if at < 0:
+            break
 
 
 def _probe(frames: Iterator[pd.DataFrame], array: DigestArray) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         keys, owner = [], []
         for i, (h, p) in enumerate(zip(pdf["host"], pdf["path"], strict=True)):
-            own = list(candidates(h, p, array.path_lengths))
+            own = list(candidates(h, p, array.path_lengths, array.most_labels))
             keys += own
             owner += [i] * len(own)
         found = array.find(keys)
@@ -110,18 +116,20 @@ def _probe(frames: Iterator[pd.DataFrame], array: DigestArray) -> Iterator[pd.Da
             best[owner[k]] = max(best.get(owner[k], (-1, -1, -1)), (len(keys[k]), int(hosts[j]), j))
         rule, verdict, strength = list(pdf["rule"]), list(pdf["verdict"]), list(pdf["strength"])
         for i, (size, host, j) in best.items():
-            if (now := size * 4096 + host) > strength[i]:
+            if (now := size << 31 | host) > strength[i]:
                 rule[i], verdict[i], strength[i] = blob[ends[j - 1] if j else 0 : ends[j]].tobytes().decode(), "block" if block[j] else "allow", now
         yield pdf.assign(rule=pd.Series(rule, dtype=object), verdict=pd.Series(verdict, dtype=object), strength=strength)
 
 
-def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url_col: str = "url", keep: list[str] | None = None, default: str = "allow", part_bytes: int = 16 << 20) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url_col: str = "url", keep: list[str] | None = None, default: str = "allow", part_bytes: int = 16 << 20, parts_a_pass: int = 4) -> DataFrame:
     """Kept input columns, host, path, rule (null without one) and verdict. rules: (host, path, allow or block)."""
     keep = pages.columns if keep is None else keep
-    out = pages.select(F.struct(*[pages[c] for c in keep]).alias("row"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(-1).alias("strength"))
+    out = pages.select(F.struct(*[pages[c] for c in keep]).alias("row"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(-1).cast("long").alias("strength"))
     slim = out.schema
     sc = pages.sparkSession.sparkContext
-    for part in _parts(rules, part_bytes):
+    for k, part in enumerate(_parts(rules, part_bytes)):
+        if k and k % parts_a_pass == 0:
+            out = materialize(out, "urls")
         shared = sc.broadcast(DigestArray(part))
         out = out.mapInPandas(lambda frames, shared=shared: _probe(frames, shared.value), T.StructType([T.StructField(f.name, f.dataType, True) for f in slim]))
     return out.select("row", "host", "path", "rule", "verdict")
@@ -131,7 +139,7 @@ def _parts(rules: Iterable[tuple[str, str, str]], part_bytes: int) -> Iterator[l
     part, size = [], 0
     for r in rules:
         part.append(r)
-        size += len(r[0]) + len(r[1]) + 64
+        size += len(r[0].encode()) + len(r[1].encode()) + 64
         if size > part_bytes:
             yield part
             part, size = [], 0

@@ -43,3 +43,11 @@ def test_collision_is_confirmed(monkeypatch):
     ends, blob = array.open()[1], array.open()[2]
     j = array.find([b"h7/"])[0]
     assert blob[ends[j - 1] if j else 0 : ends[j]].tobytes() == b"h7/"
+
+
+def test_very_long_host_and_many_parts(spark):
+    rules = [(f"h{i}.com", "/", "block") for i in range(60)] + [("x" * 5000 + ".org", "/p" * 3000, "block")]
+    urls = [(1, "http://" + "a." * 30_000 + "h7.com/x"), (2, "http://" + "x" * 5000 + ".org" + "/p" * 3000), (3, "http://h9.comx/"), (4, "http://.h3.com/"), (5, "http://h59.com/")]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    got = {x.row.page_id: x.rule for x in urlfilter.filter_urls(pages, rules, part_bytes=300, parts_a_pass=2).collect()}
+    assert got == {1: "h7.com/", 2: "x" * 5000 + ".org" + "/p" * 3000, 3: None, 4: "h3.com/", 5: "h59.com/"}
