@@ -8,8 +8,9 @@ sampled suffix positions, then overlapping ones are merged to removal spans. Not
 
 Defined results: null or empty texts have no words, no hits and no spans; null or empty items have no
 window; items of equal text are all reported; repeated document rows are judged each on its own; with
-an empty benchmark nothing is hit. The benchmark is read in parts of at most `part_bytes`; each part is
-one broadcast and one pass, so no broadcast grows with it.
+an empty benchmark nothing is hit. Words are found by 64-bit hashes and confirmed by their bytes. The benchmark
+is read in parts of at most `part_bytes`, one broadcast each; a pass over the documents takes `parts_a_pass` of
+them and is written before the next, so neither a broadcast nor the memory of a task grows with it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.shared import materialize
 from tessera.llm.bytetext import ALNUM, LOWER, blocks, find_words, prefix_hash, small_batches, span_hash
 
 SAMPLE = 8
@@ -130,8 +132,12 @@ class Phrases:
         data, offs = _joined([t for _, t in items])
         s, e, at = find_words(ALNUM, LOWER[data], offs)
         hashes = span_hash(prefix_hash(LOWER[data]), s, e)
-        self.vocabulary, symbol = np.unique(hashes, return_inverse=True)
+        self.vocabulary, one, symbol = np.unique(hashes, return_index=True, return_inverse=True)
         symbol = symbol + 1
+        raw, bounds = LOWER[data].tobytes(), list(zip(s.tolist(), e.tolist(), strict=True))
+        self.words = [raw[slice(*bounds[i])] for i in one.tolist()]
+        if any(raw[a:b] != self.words[k - 1] for (a, b), k in zip(bounds, symbol.tolist(), strict=True)):
+            raise ValueError("two words of the benchmark have one hash")
         self.ids = [k for k, _ in items]
         by_length: dict[int, dict[tuple, list[int]]] = {}
         for i in range(len(items)):
@@ -193,13 +199,30 @@ def search_shard(phrases: Phrases, symbols: np.ndarray, doc: np.ndarray) -> tupl
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none, none)
 
 
+def confirmed(phrases: Phrases, symbols: np.ndarray, data: np.ndarray, s: np.ndarray, e: np.ndarray, found: tuple) -> tuple:
+    """The occurrences of which every word is the benchmark's, byte for byte."""
+    word, length = found[0], found[1]
+    if not len(word):
+        return found
+    cover = np.zeros(len(s) + 1, np.int64)
+    np.add.at(cover, word, 1)
+    np.add.at(cover, word + length, -1)
+    bad = np.zeros(len(s) + 1, np.int64)
+    for i in np.flatnonzero(np.cumsum(cover[:-1]) > 0).tolist():
+        bad[i + 1] = data[s[i] : e[i]].tobytes() != phrases.words[symbols[i] - 1]
+    bad = np.cumsum(bad)
+    good = bad[word + length] == bad[word]
+    return tuple(x[good] for x in found)
+
+
 def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
     for batch, raw, offs in blocks(batches, "text"):
         data = LOWER[raw]
         s, e, at = find_words(ALNUM, data, offs)
         n = batch.num_rows
         doc = np.repeat(np.arange(n), np.diff(at))
-        word, length, group, window = search_shard(phrases, phrases.symbols(span_hash(prefix_hash(data), s, e)), doc)
+        symbols = phrases.symbols(span_hash(prefix_hash(data), s, e))
+        word, length, group, window = confirmed(phrases, symbols, data, s, e, search_shard(phrases, symbols, doc))
         cover = np.zeros(len(s) + 1, np.int64)
         np.add.at(cover, word, 1)
         np.add.at(cover, word + length, -1)
@@ -238,21 +261,23 @@ def merge_spans(spans: list[dict]) -> list[dict]:
 def _parts(benchmark: DataFrame, item_col: str, text_col: str, part_bytes: int) -> Iterator[list[tuple[str, str]]]:
     part, size = [], 0
     for k, text in benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))).toLocalIterator():
-        if part and size + len(text) > part_bytes:
+        if part and size + len(text.encode()) > part_bytes:
             yield part
             part, size = [], 0
         part.append((k, text))
-        size += len(text)
+        size += len(text.encode())
     yield part
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", width: int = 10, part_bytes: int = 16 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", width: int = 10, part_bytes: int = 16 << 20, parts_a_pass: int = 4) -> DataFrame:
     """`row` (struct of the kept input columns, all by default), n_words, spans (merged; byte offsets in the text and word numbers) and items (sorted ids as strings), for each row of docs."""
     keep = docs.columns if keep is None else keep
     out = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs[text_col].alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(T.ArrayType(SPAN)).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    for part in _parts(benchmark, item_id, item_text, part_bytes):
+    for k, part in enumerate(_parts(benchmark, item_id, item_text, part_bytes)):
+        if k and k % parts_a_pass == 0:
+            out = materialize(out, "scanned")
         shared = sc.broadcast(Phrases(part, width))
         out = out.mapInArrow(lambda batches, shared=shared: _scan(batches, shared.value), out.schema)
     return out.select("row", "n_words", "spans", "items")
