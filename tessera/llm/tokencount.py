@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bytetext import small_batches
+from tessera.llm.bytetext import blocks, small_batches
 
 MARK = "▁"
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -154,7 +154,7 @@ class Counter:
 
 def _count(batches: Iterator[pa.RecordBatch], vocabulary: list[tuple[str, float]], byte_fallback: bool, cache_words: int, keep_blanks: bool) -> Iterator[pa.RecordBatch]:
     counter = Counter(vocabulary, byte_fallback, cache_words, keep_blanks)
-    for batch in batches:
+    for batch, _, _ in blocks(batches, "text"):  # texts of bounded bytes, or one long text, are held as strings
         found = [counter.text(t or "") for t in batch.column("text").to_pylist()]
         w, t, s = zip(*found, strict=True) if found else ((), (), ())
         yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "n_words": pa.array(w, pa.int64()), "n_tokens": pa.array(t, pa.int64()), "score": pa.array(s, pa.float64())})
