@@ -5,8 +5,11 @@ every group votes for the shard that holds most of it, members elsewhere ask to
 admit a stable share of the requests so that a shard's linked rows stay within its capacity; unlinked
 rows can make way later at no cost. Groups over half a shard, at most twice as many as shards, are laid
 out first, in as few and as full shards as can be. Rounds end when nothing moves. Then the counts are
-made exact: shards with too many rows hand over surplus rows, unlinked ones first, and every shard ends
-with the floor or ceiling of rows / shards.
+made exact: shards with too many rows hand over surplus rows, unlinked ones first and then whole groups (the
+last one in part), and every shard ends with the floor or ceiling of rows / shards.
+
+Seats, draws and ranks follow from a row's id and text alone, so the way the input is split changes nothing;
+node numbers only tell repeated rows apart.
 
 Ranks inside a shard are spread: rows stand in hash buckets of about `bucket_rows`, counts of buckets are
 summed, and a row number is taken only inside a bucket; so no task holds a shard.
@@ -25,11 +28,14 @@ from pyspark.sql import functions as F
 from tessera.functions.shared import materialize
 
 
-def spread_rank(df: DataFrame, keys: list[str], first: list[str], tie: list[Column], out: str, bucket_rows: int = 20000) -> DataFrame:
-    """df with `out`, a gapless rank from 0 within keys, ordered by `first` (few values), a hash bucket, then `tie`."""
+BUCKET_ROWS = 20000
+
+
+def spread_rank(df: DataFrame, keys: list[str], first: list[str], deal: Column, tie: list[Column], out: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """df with `out`, a gapless rank from 0 within keys, ordered by `first`, a hash bucket of `deal`, then `tie`."""
     n = df.count()
     buckets = max(1, math.ceil(n / bucket_rows))
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*tie), F.lit(buckets)))
+    df = df.withColumn("_bucket", F.pmod(deal, F.lit(buckets)))
     cell = [*keys, *first, "_bucket"]
     counts = df.groupBy(*cell).agg(F.count("*").alias("_n"))
     order = [*first, "_bucket"]
@@ -58,25 +64,27 @@ def _lay_out(big: list[tuple[str, int]], capacity: int, shards: int) -> list[tup
 
 
 def propagate(nodes: DataFrame, shards: int, rounds: int = 6) -> DataFrame:
-    """nodes: id, nid (unique), grp (null: unlinked). Adds link (null: unlinked) and shard after balanced label propagation. Only linked rows take part in the rounds."""
+    """nodes: id, nid (unique), own (hash of id and text), grp (null: unlinked). Adds link (null: unlinked), part (a large link's rows in parts) and shard after balanced label propagation. Only linked rows take part in the rounds."""
     capacity = max(1, nodes.count() // shards)
     part = max(1, capacity // 2)
     sizes = nodes.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
     sizes = materialize(sizes, "sizes")  # its join has exchanges of its own, so a hot group can be split
     big = [tuple(r) for r in sizes.where(F.col("size") > part).collect()]  # under 2 * shards + shards groups
     apart = nodes.withColumn("grp", F.coalesce("grp", F.concat(F.lit("none "), F.col("nid").cast("string"))))  # no hot null key
-    share = F.pmod(F.xxhash64("nid", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
-    seat = F.pmod(F.xxhash64("nid", F.lit(17)), F.lit(shards)).cast("int")
+    share = F.pmod(F.xxhash64("own", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
+    seat = F.pmod(F.xxhash64("own", F.lit(17)), F.lit(shards)).cast("int")
     chunk = F.lit(0)
     for i, (group, upto, s) in reversed(list(enumerate(_lay_out(big, capacity, shards)))):
         mine = (F.col("grp") == group) & (share < upto)
         seat, chunk = F.when(mine, s).otherwise(seat), F.when(mine, i).otherwise(chunk)
-    state = apart.join(sizes, "grp", "left").withColumns({"link": F.when(F.col("size").isNotNull(), F.xxhash64("grp", chunk)), "shard": seat.cast("int")}).drop("grp", "size")
+    state = apart.join(sizes, "grp", "left").withColumns({"link": F.when(F.col("size").isNotNull(), F.xxhash64("grp", chunk)), "part": F.when(F.col("size") > BUCKET_ROWS, F.pmod(F.xxhash64("own", F.lit(29)), F.ceil(F.col("size") / BUCKET_ROWS))).otherwise(0).cast("int"), "shard": seat.cast("int")}).drop("grp", "size")
     state = materialize(state, "labels")
     alone, linked = state.where("link IS NULL"), state.where("link IS NOT NULL")
     for turn in range(rounds):
         votes = linked.groupBy("link", "shard").agg(F.count("*").alias("votes"))
+        votes = materialize(votes, "votes")
         wish = votes.groupBy("link").agg(F.max(F.struct("votes", F.xxhash64("link", "shard", F.lit(turn)).alias("tie"), "shard"))["shard"].alias("to"))
+        wish = materialize(wish, "wish")  # its join has exchanges of its own, so a hot link can be split
         flows = {(r[0], r[1]): r[2] for r in votes.join(wish, "link").groupBy("shard", "to").agg(F.sum("votes")).collect()}  # at most shards squared
         load = [sum(v for (a, _), v in flows.items() if a == s) for s in range(shards)]
         asks = {k: v for k, v in flows.items() if k[0] != k[1]}
@@ -101,7 +109,10 @@ def even_out(state: DataFrame, shards: int) -> DataFrame:
     surplus = [max(0, load[s] - goal[s]) for s in range(shards)]
     if not any(surplus):
         return state
-    ranked = spread_rank(state.withColumn("_held", F.col("link").isNotNull().cast("int")), ["shard"], ["_held"], [F.col("nid")], "_rank")
+    # groups stand together, so that they move whole; a group of many rows is ranked in parts
+    rows = state.withColumn("_held", F.when(F.col("link").isNull(), 0).when(F.col("part") == 0, 1).otherwise(2))
+    rows = rows.withColumn("_deal", F.coalesce("link", "own"))
+    ranked = spread_rank(rows, ["shard"], ["_held", "part"], F.xxhash64("_deal"), [F.col("_deal"), F.col("own"), F.col("nid")], "_rank").drop("_deal")
     pick = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("shard") + 1)
     starts = [sum(surplus[:s]) for s in range(shards)]
     turn = pick(starts) + F.col("_rank")
@@ -113,6 +124,12 @@ def even_out(state: DataFrame, shards: int) -> DataFrame:
     return ranked.withColumn("shard", new.cast("int")).drop("_rank", "_held")
 
 
+def cut_share(dealt: DataFrame) -> DataFrame:
+    """Of rows (grp, shard): linked rows, and those outside the shard that holds most of their group: the cut of a star of links around it."""
+    votes = dealt.where("grp IS NOT NULL").groupBy("grp", "shard").agg(F.count("*").alias("n"))
+    return votes.groupBy("grp").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where("n > 1").agg(F.sum("n").alias("linked"), F.sum(F.col("n") - F.col("most")).alias("cut"))
+
+
 def with_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", name: str = "shard") -> DataFrame:
     """docs with a shard column. Rows find their shard by id and text; of rows equal in both, each shard takes as many as it was dealt."""
     key = lambda i: F.struct(i.alias("i"), F.col("grp").alias("g")).alias("key")
@@ -130,9 +147,9 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     text = docs[text_col]
     base = docs.select(docs[id_col].alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"), F.when(text.isNotNull(), F.substring(F.sha2(text, 256), 1, 32)).alias("grp"))
     # a node number that is unique as long as the file stands: repeated rows are numbered apart
-    nodes = materialize(base.withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    nodes = materialize(base.withColumns({"nid": F.monotonically_increasing_id(), "own": F.xxhash64(F.col("id").cast("string"), "grp")}), "nodes")
     state = materialize(even_out(propagate(nodes, shards, rounds), shards), "shards")
     if groups:
         return nodes.select("nid", "id", "grp").join(state.select("nid", "shard"), "nid").select("id", "grp", "shard")
-    slots = spread_rank(state, ["shard"], [], [F.col("nid")], "slot")
+    slots = spread_rank(state, ["shard"], [], F.xxhash64("own", F.lit(3)), [F.col("own"), F.col("id"), F.col("nid")], "slot")
     return slots.select("id", (F.col("bytes") + 1).alias("size"), F.col("crc").alias("text_crc32"), "shard", "slot")
