@@ -12,7 +12,7 @@ from tessera import model
 from tessera.operators.review import unique_match
 from tessera.operators.textlines import lines_of
 
-# What declares something in a line, per language; the first group is the name.
+# Our own patterns: what declares something in a line, per language; the first group is the name.
 PATTERNS = {
     "protobuf": [("type", r"^\s*message\s+(\w+)"), ("interface", r"^\s*service\s+(\w+)"), ("method", r"^\s*rpc\s+(\w+)")],
     "terraform": [("type", r'^\s*resource\s+"[^"]+"\s+"([^"]+)"'), ("type", r'^\s*variable\s+"([^"]+)"')],
@@ -70,7 +70,7 @@ def projects(files: DataFrame, manifests: dict[str, tuple[str, ...]]) -> DataFra
     return rows.select(model.identity("project", F.col("path")).alias("id"), F.when(root == "", ".").otherwise(root).alias("root"), "manifest", "languages")
 
 
-#: How a claim was derived, by origin and relation.
+#: Our own labels: how a claim was derived, by origin and relation.
 DERIVATION = "CASE WHEN origin = 'compiler' THEN 'type_checked' WHEN origin = 'git' THEN 'mined' WHEN origin = 'doc' THEN 'documented' WHEN relation = 'contains' THEN 'structural' ELSE 'matched' END"
 
 

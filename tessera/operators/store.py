@@ -6,6 +6,8 @@ activations/ log, whose rows are the commit markers: a snapshot without one was
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +26,26 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _fs(self, path: str):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop, hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def activations(self) -> DataFrame:
         path = f"{self.root}/activations"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
+        hadoop, fs = self._fs(path)
+        if not fs.exists(hadoop):
             return self.spark.createDataFrame([], self.ACTIVATION)
-        return self.spark.read.schema(self.ACTIVATION).parquet(path)
+        return self.spark.read.schema(self.ACTIVATION).json(path)
+
+    def _activate(self, row: dict) -> None:
+        """A file named by the activation's number, which only one writer can create: of two that saw the same head, one fails."""
+        hadoop, fs = self._fs(f"{self.root}/activations/{row['activation_id']:012d}.json")
+        try:
+            out = fs.create(hadoop, False)
+        except Exception as error:
+            raise Conflict(f"activation {row['activation_id']} was taken by another writer") from error
+        out.write(bytearray(json.dumps(row).encode()))
+        out.close()
 
     def head(self) -> tuple[int, int] | None:
         """(activation id, snapshot id) of the newest activation."""
@@ -38,36 +54,39 @@ class SnapshotStore:
 
     def read(self, table: str, snapshot_id: int) -> DataFrame:
         """A snapshot's rows; the partition filter prunes all other snapshots' files."""
-        return self.spark.read.parquet(f"{self.root}/{table}").where(F.col("snapshot_id") == snapshot_id)
+        return self.spark.read.parquet(f"{self.root}/{table}").where(F.col("snapshot_id") == snapshot_id).drop("snapshot_id")
 
-    def publish(self, nodes: DataFrame, edges: DataFrame, workspace_hash: str, expected: int | None) -> int:
+    def publish(self, nodes: DataFrame, edges: DataFrame, workspace_hash: str, expected: int | None, **more: DataFrame) -> int:
         """Writes a snapshot and activates it if the head's activation id still is `expected`.
 
         Equal workspace hashes reuse the stored snapshot and only append an activation. Dangling edges
-        refuse the snapshot; the previous head stays.
+        refuse the snapshot; the previous head stays. More tables (files, evidence, diagnostics, projects) are stored likewise.
         """
         log = self.activations()
         old = log.where(F.col("workspace_hash") == workspace_hash).orderBy(F.desc("activation_id")).first()
         snapshot = old["snapshot_id"] if old else (log.agg(F.max("snapshot_id")).first()[0] or 0) + 1
         if not old:
-            if not model.dangling(edges, nodes).isEmpty():
-                raise ValueError("dangling edges")
-            for name, df in (("nodes", nodes), ("edges", edges)):
+            for name, df in {"nodes": nodes, "edges": edges, **more}.items():
                 df.withColumn("snapshot_id", F.lit(snapshot)).write.partitionBy("snapshot_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.root}/{name}")
+            # what is written is checked, not computed again; without an activation it isn't published
+            if not model.dangling(self.read("edges", snapshot), self.read("nodes", snapshot)).isEmpty():
+                raise ValueError("dangling edges")
         now = self.head()
         if (now[0] if now else None) != expected:
             raise Conflict(f"head is {now}, expected activation {expected}")
-        row = ((now[0] if now else 0) + 1, snapshot, workspace_hash, now[1] if now else None)
-        self.spark.createDataFrame([row], self.ACTIVATION).coalesce(1).write.mode("append").parquet(f"{self.root}/activations")
+        self._activate({"activation_id": (now[0] if now else 0) + 1, "snapshot_id": snapshot, "workspace_hash": workspace_hash, "previous": now[1] if now else None})
         return snapshot
 
-    def prune(self, snapshot_id: int, pinned: tuple[int, ...] = ()) -> None:
-        """Drops a snapshot's memberships; the head and pinned ones are refused. Activation rows stay."""
+    def prune(self, snapshot_id: int, pinned: tuple[int, ...] = (), active: tuple[int, ...] = ()) -> None:
+        """Drops a snapshot's memberships; the head, pinned ones and those of active tasks are refused. Activation rows stay."""
         if snapshot_id in pinned or (self.head() or (0, None))[1] == snapshot_id:
             raise ValueError("pinned or active")
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for name in ("nodes", "edges"):
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/snapshot_id={snapshot_id}"), True)
+        if snapshot_id in active:
+            raise ValueError("an active task reads it")
+        root, fs = self._fs(self.root)
+        for table in [x.getPath().getName() for x in fs.listStatus(root)]:
+            if table != "activations":
+                fs.delete(self._fs(f"{self.root}/{table}/snapshot_id={snapshot_id}")[0], True)
 
 
 def newest_valid(activations: DataFrame, broken: DataFrame, by: list[str]) -> DataFrame:
@@ -102,7 +121,7 @@ def worst_freshness(files: DataFrame, of: DataFrame, by: str) -> DataFrame:
 
 
 def workspace_hash(files: DataFrame, by: list[str]) -> DataFrame:
-    """SHA-256 of the sorted `path NUL hash` lines of each workspace."""
+    """SHA-256 of the sorted `path NUL hash` lines of each workspace. A line is 64 bytes and a path, so a workspace's lines fit one value; many workspaces are dealt out."""
     line = F.concat(F.col("path"), F.lit("\0"), F.col("hash"))
     return files.groupBy(*by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("workspace_hash"), F.count("*").alias("n_files"))
 

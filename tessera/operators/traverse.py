@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, Window
@@ -12,6 +14,7 @@ from tessera.functions.shared import materialize
 
 def reach(roots: DataFrame, steps: DataFrame, depth: int | None = None) -> DataFrame:
     """Breadth-first: roots (node) and steps (src -> dst) give node, hop (least). depth None: until nothing is new."""
+    steps = materialize(steps.select("src", "dst"), "steps")  # every level reads them
     seen = materialize(roots.select("node").distinct().withColumn("hop", F.lit(0)), "reach")
     front = seen
     for hop in count(1) if depth is None else range(1, depth + 1):
@@ -27,6 +30,7 @@ def reach(roots: DataFrame, steps: DataFrame, depth: int | None = None) -> DataF
 
 def reach_from(roots: DataFrame, steps: DataFrame) -> DataFrame:
     """As reach, for each root on its own: root, node, hop."""
+    steps = materialize(steps.select("src", "dst"), "steps")
     seen = materialize(roots.select(F.col("node").alias("root"), "node").distinct().withColumn("hop", F.lit(0)), "reach")
     front = seen
     for hop in count(1):
@@ -61,41 +65,65 @@ def beyond_depth(edges: DataFrame, reached: DataFrame, nodes: DataFrame, depth:
     return more.join(nodes.select(F.col("node_key").alias("node"), "package"), "node").groupBy(F.coalesce("package", F.lit("(unassigned)")).alias("package")).agg(F.count("*").alias("n_beyond"))
 
 
-def k_paths(edges: DataFrame, source: DataFrame, target: DataFrame, k: int = 3, most_edges: int = 64, most_rows: int = 50_000, relations=("calls", "imports")) -> DataFrame:
-    """The first k simple directed paths by (edges, edge keys in sequence): rank, n_edges, edge_keys, nodes, and status ok, search_limit or no_path.
+@dataclass(frozen=True)
+class PathSearch:
+    """status: ok, search_limit or no_path. paths: rank, n_edges, edge_keys, nodes. reached: node, from_source (the longest simple path that was found to it)."""
+
+    status: str
+    paths: DataFrame
+    reached: DataFrame
+
 
-    Paths grow level by level and end at the target; parallel edges give different paths. A level over
-    most_rows expansions stops the search, as the row count of each level tells.
+def path_search(edges: DataFrame, source: DataFrame, target: DataFrame, k: int = 3, most_edges: int = 64, most_rows: int = 50_000, relations=("calls", "imports")) -> PathSearch:
+    """The first k simple directed paths by (edges, edge keys in sequence).
+
+    Paths grow level by level and end at the target; parallel edges give different paths. Paths of
+    most_edges edges that could grow, or more than most_rows paths grown, limit the search.
     """
-    step = edges.where(F.col("relation").isin(*relations)).select("src", "dst", "edge_key")
+    step = materialize(edges.where(F.col("relation").isin(*relations)).select("src", "dst", "edge_key"), "steps")
     goal = target.select(F.col("node").alias("goal")).distinct()
     front = materialize(source.select("node", F.array("node").alias("nodes"), F.array().cast("array<string>").alias("edge_keys")).distinct(), "paths")
-    done, limited, found = None, False, 0
-    for _ in range(most_edges + 1):
+    levels, limited, found, grown = [], False, 0, 0
+    done = None
+    for level in range(most_edges + 1):
         hit = front.join(goal, front["node"] == goal["goal"], "left_semi")
         done = hit if done is None else done.unionByName(hit)
+        levels.append(front.select("node").distinct().withColumn("from_source", F.lit(level)))
         found += hit.count()
         if found >= k:
             break
         go = front.join(goal, front["node"] == goal["goal"], "left_anti")
-        front = materialize(go.join(step, go["node"] == step["src"]).where(~F.array_contains("nodes", F.col("dst"))).select(F.col("dst").alias("node"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("edge_keys", F.array("edge_key")).alias("edge_keys")), "paths")
-        size = front.count()
-        if size > most_rows:
+        if level == most_edges:
+            limited = not go.join(step, go["node"] == step["src"], "left_semi").isEmpty()
+            break
+        grown += go.count()
+        if grown > most_rows:
             limited = True
             break
-        if not size:
+        front = materialize(go.join(step, go["node"] == step["src"]).where(~F.array_contains("nodes", F.col("dst"))).select(F.col("dst").alias("node"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("edge_keys", F.array("edge_key")).alias("edge_keys")), "paths")
+        if front.isEmpty():
             break
     ranked = done.withColumn("n_edges", F.size("edge_keys")).orderBy("n_edges", "edge_keys").limit(k)
-    status = "ok" if found else "search_limit" if limited else "no_path"
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy("n_edges", "edge_keys"))).select("rank", "n_edges", "edge_keys", "nodes", F.lit(status).alias("status"))
+    paths = ranked.withColumn("rank", F.row_number().over(Window.orderBy("n_edges", "edge_keys"))).select("rank", "n_edges", "edge_keys", "nodes")
+    reached = reduce(DataFrame.unionByName, levels).groupBy("node").agg(F.max("from_source").alias("from_source"))
+    return PathSearch("ok" if found else "search_limit" if limited else "no_path", paths, reached)
+
+
+def k_paths(edges: DataFrame, source: DataFrame, target: DataFrame, k: int = 3, most_edges: int = 64, most_rows: int = 50_000, relations=("calls", "imports")) -> DataFrame:
+    """rank, n_edges, edge_keys, nodes and status of the first k paths; without any, one row of the status alone."""
+    got = path_search(edges, source, target, k, most_edges, most_rows, relations)
+    one = edges.sparkSession.createDataFrame([(got.status,)], "status string")
+    return one.crossJoin(got.paths) if got.status == "ok" else one.join(got.paths, F.lit(False), "left")  # one row on the left
 
 
-def nearest_approach(edges: DataFrame, source: DataFrame, target: DataFrame, depth: int = 4, most: int = 5, relations=("calls", "imports")) -> DataFrame:
-    """Reached nodes that come nearest to the target: by distance to it (unknown last), then farthest from the source, then key."""
-    step = edges.where(F.col("relation").isin(*relations)).select("src", "dst")
-    out = reach(source, step, depth).withColumnRenamed("hop", "from_source")
-    back = reach(target, step.select(F.col("dst").alias("src"), F.col("src").alias("dst")), depth).withColumnRenamed("hop", "to_target")
-    return out.join(back, "node", "left").orderBy(F.col("to_target").asc_nulls_last(), F.desc("from_source"), "node").limit(most)
+def nearest_approach(edges: DataFrame, source: DataFrame, target: DataFrame, most_edges: int = 64, most: int = 5, most_rows: int = 50_000, relations=("calls", "imports")) -> DataFrame:
+    """Where no path was found: reached nodes that come nearest to the target, by distance to it (unknown last), then the longest way from the source, then key. Empty if there is a path."""
+    got = path_search(edges, source, target, 1, most_edges, most_rows, relations)
+    if got.status == "ok":
+        return got.reached.withColumn("to_target", F.lit(None).cast("int")).limit(0)
+    step = edges.where(F.col("relation").isin(*relations)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    back = reach(target, step).withColumnRenamed("hop", "to_target")
+    return got.reached.join(back, "node", "left").orderBy(F.col("to_target").asc_nulls_last(), F.desc("from_source"), "node").limit(most)
 
 
 LINKAGE = "CASE origin WHEN 'compiler' THEN 'static' WHEN 'heuristic' THEN 'naming' WHEN 'git' THEN 'historical' ELSE 'evidence' END"
@@ -129,7 +157,7 @@ def context(edges: DataFrame, nodes: DataFrame, anchor: DataFrame, depth: int =
     Hard priority: 2 for a compiler-made, certain and resolved caller or callee or a certainly linked test,
     1 for other callers and callees, else 0. Order: priority, score, confidence, key.
     """
-    use = edges.where(F.col("relation").isin(*relations))
+    use = materialize(edges.where(F.col("relation").isin(*relations)), "use")
     both = use.select("src", "dst", "relation", "origin", "confidence", "resolution").union(use.select("dst", "src", "relation", "origin", "confidence", "resolution"))
     seen = reach(anchor, both.select("src", "dst"), depth)
     rank = F.expr("CASE confidence WHEN 'certain' THEN 2 WHEN 'likely' THEN 1 ELSE 0 END")

@@ -38,7 +38,7 @@ def query(sql: str | None = None):
 
 
 def graph(spark: SparkSession, sf: str, snapshot: str = T.HEAD) -> tuple[DataFrame, DataFrame]:
-    return T.nodes(spark, sf, snapshot), T.edges(spark, sf, snapshot)
+    return T.published(spark, sf, snapshot)
 
 
 def keyed(spark: SparkSession, *pairs: tuple[str, str]) -> DataFrame:
@@ -111,7 +111,7 @@ def freshness(spark, sf):
 
 @query(H(" SELECT r AS relation, CAST(count(edge_key) AS BIGINT) AS n_edges FROM (SELECT unnest(['contains', 'imports', 'exports', 'references', 'calls', 'implements', 'extends', 'tests', 'routes_to', 'documents', 'changed_with']) AS r) LEFT JOIN edges ON relation = r GROUP BY r"))
 def relation_histogram(spark, sf):
-    return A.relation_histogram(T.edges(spark, sf))
+    return A.relation_histogram(graph(spark, sf)[1])
 
 
 @query(H(""", pk AS (SELECT node_key AS pkg, display_name AS package_name FROM nodes WHERE kind = 'package'),
@@ -132,12 +132,12 @@ def package_dependencies(spark, sf):
 
 @query(H(" SELECT split_part(file, '/', 1) AS directory, count(*) AS n_files FROM nodes WHERE kind = 'file' GROUP BY 1"))
 def directory_counts(spark, sf):
-    return A.directory_counts(T.nodes(spark, sf))
+    return A.directory_counts(graph(spark, sf)[0])
 
 
 @query(H(" SELECT language, count(*) AS n_files, count(*) FILTER (ends_with(file, '0')) AS n_generated, CASE WHEN bool_or(ends_with(file, '1')) THEN 'inventory,' ELSE '' END || CASE WHEN bool_or(NOT ends_with(file, '1')) THEN 'semantic' ELSE '' END AS capabilities FROM nodes WHERE kind = 'file' GROUP BY 1"))
 def language_stats(spark, sf):
-    return A.language_stats(T.nodes(spark, sf), F.endswith("file", F.lit("0")), F.when(F.endswith("file", F.lit("1")), "inventory").otherwise("semantic"))
+    return A.language_stats(graph(spark, sf)[0], F.endswith("file", F.lit("0")), F.when(F.endswith("file", F.lit("1")), "inventory").otherwise("semantic"))
 
 
 @query("SELECT count(*) FILTER (s = 'info') AS n_info, count(*) FILTER (s = 'warning') AS n_warning, count(*) FILTER (s = 'error') AS n_error FROM (SELECT CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warning' ELSE 'info' END AS s FROM events)")
@@ -152,7 +152,7 @@ def fan_in_topk(spark, sf):
 
 @query(H(" SELECT relation, origin, confidence, resolution, count(*) AS n_edges FROM edges GROUP BY ALL"))
 def provenance_buckets(spark, sf):
-    return A.provenance_buckets(T.edges(spark, sf))
+    return A.provenance_buckets(graph(spark, sf)[1])
 
 
 @query("SELECT p_brand AS id, CAST(p_size % 5 AS VARCHAR) AS version, CASE max(CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 ELSE 2 END) WHEN 0 THEN 'inventory' WHEN 1 THEN 'structural' ELSE 'semantic' END AS capability, string_agg(DISTINCT split_part(p_name, ' ', 2), ',' ORDER BY split_part(p_name, ' ', 2)) AS languages FROM part GROUP BY 1, 2")
@@ -175,7 +175,7 @@ def suite_summary(spark, sf):
 
 @query(H(", h AS (SELECT sha256(edge_key || chr(1) || origin || chr(1) || confidence) AS h FROM edges), b AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, chr(10) ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1) SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n_rows FROM b"))
 def graph_digest(spark, sf):
-    return A.set_digest(T.edges(spark, sf), ["edge_key", "origin", "confidence"])
+    return A.set_digest(graph(spark, sf)[1], ["edge_key", "origin", "confidence"])
 
 
 @query("WITH s AS (SELECT p_brand AS kind, p_type AS reason, count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, kind, reason) AS k, count(*) OVER () AS c FROM s) SELECT CASE WHEN c > 20 AND k > 19 THEN 'other' ELSE kind END AS kind, CASE WHEN c > 20 AND k > 19 THEN 'other' ELSE reason END AS reason, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1, 2")
@@ -187,12 +187,12 @@ def omission_fold(spark, sf):
 
 @query(diffs_sql("SELECT edge_key, 'added' AS change, src, relation, dst, NULL AS before_origin, NULL AS before_confidence, NULL AS before_resolution, origin AS after_origin, confidence AS after_confidence, resolution AS after_resolution FROM h WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.edge_key = h.edge_key) UNION ALL SELECT edge_key, 'removed', src, relation, dst, origin, confidence, resolution, NULL, NULL, NULL FROM b WHERE NOT EXISTS (SELECT 1 FROM h WHERE b.edge_key = h.edge_key) UNION ALL SELECT b.edge_key, 'changed', b.src, b.relation, b.dst, b.origin, b.confidence, b.resolution, h.origin, h.confidence, h.resolution FROM b JOIN h ON b.edge_key = h.edge_key WHERE (b.origin, b.confidence, b.resolution) IS DISTINCT FROM (h.origin, h.confidence, h.resolution)"))
 def edge_diff(spark, sf):
-    return D.edge_diff(T.edges(spark, sf, T.BASE), T.edges(spark, sf, T.HEAD))
+    return D.edge_diff(graph(spark, sf, T.BASE)[1], graph(spark, sf)[1])
 
 
 @query(diffs_sql("SELECT node_key, 'added' AS change FROM nh WHERE node_key NOT IN (SELECT node_key FROM nb) UNION ALL SELECT node_key, 'removed' FROM nb WHERE node_key NOT IN (SELECT node_key FROM nh)"))
 def node_diff(spark, sf):
-    return D.key_diff(T.nodes(spark, sf, T.BASE), T.nodes(spark, sf, T.HEAD), "node_key", ["display_name"])
+    return D.key_diff(graph(spark, sf, T.BASE)[0], graph(spark, sf)[0], "node_key", ["display_name"])
 
 
 _SUPPLIER = "SELECT CAST(s_suppkey AS VARCHAR) AS project, {0} AS bal FROM supplier WHERE s_suppkey % {1} <> 0"
@@ -258,8 +258,8 @@ def edge_coalesce(spark, sf):
 @query(diffs_sql("SELECT part, key FROM (SELECT 0 AS o, 'addedNodes' AS part, node_key AS key FROM nh WHERE node_key NOT IN (SELECT node_key FROM nb) UNION ALL SELECT 1, 'removedNodes', node_key FROM nb WHERE node_key NOT IN (SELECT node_key FROM nh) UNION ALL SELECT 2, 'edges', edge_key FROM h WHERE edge_key NOT IN (SELECT edge_key FROM b)) ORDER BY o, key LIMIT 500 OFFSET 100"))
 def review_page(spark, sf):
     """The second page of a review: a limit is its feature."""
-    nb, nh = T.nodes(spark, sf, T.BASE), T.nodes(spark, sf, T.HEAD)
-    new = T.edges(spark, sf, T.HEAD).join(T.edges(spark, sf, T.BASE).select("edge_key"), "edge_key", "left_anti")
+    nb, nh = graph(spark, sf, T.BASE)[0], graph(spark, sf)[0]
+    new = graph(spark, sf)[1].join(graph(spark, sf, T.BASE)[1].select("edge_key"), "edge_key", "left_anti")
     return D.paged([("addedNodes", nh.join(nb.select("node_key"), "node_key", "left_anti").select(F.col("node_key").alias("k"))), ("removedNodes", nb.join(nh.select("node_key"), "node_key", "left_anti").select(F.col("node_key").alias("k"))), ("edges", new.select(F.col("edge_key").alias("k")))], "k", 100, 500)
 
 
@@ -295,7 +295,7 @@ _IMPACT = f", r AS (SELECT v AS node FROM {_ROOTS} t(v)), w AS (SELECT node, 0 A
 
 @query(H(_IMPACT + " SELECT * FROM reached", recursive=True))
 def impact_hops(spark, sf):
-    return G.impact(T.edges(spark, sf), keyed(spark, *ROOTS), 3)
+    return G.impact(graph(spark, sf)[1], keyed(spark, *ROOTS), 3)
 
 
 @query(H(_IMPACT + " SELECT t AS test, count(DISTINCT o) AS n_covered FROM (SELECT src AS t, dst AS o FROM edges WHERE relation = 'tests' UNION SELECT dst, src FROM edges WHERE relation = 'tests') JOIN reached ON o = node JOIN nodes ON t = node_key WHERE kind = 'test' GROUP BY 1", recursive=True))
@@ -344,16 +344,17 @@ def a_nation(spark, sf) -> DataFrame:
 @query(H(" SELECT row_number() OVER (ORDER BY a.edge_key, b.edge_key, c.edge_key) AS rank, 3 AS n_edges, a.edge_key || ',' || b.edge_key || ',' || c.edge_key AS edge_keys, 'ok' AS status FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src WHERE a.relation = 'contains' AND b.relation = 'contains' AND c.relation = 'calls' AND a.src = (SELECT sha256('node|package|nation:' || n_name) FROM nation WHERE n_nationkey = 3) AND c.dst IN (SELECT sha256('node|function|part:' || p_partkey) FROM part WHERE p_partkey < 20) ORDER BY 1 LIMIT 3"))
 def k_paths(spark, sf):
     target = keyed(spark, *[("function", f"part:{i}") for i in range(20)])
-    out = G.k_paths(T.edges(spark, sf), a_nation(spark, sf), target, 3, relations=("contains", "calls", "imports"))
+    out = G.k_paths(graph(spark, sf)[1], a_nation(spark, sf), target, 3, relations=("contains", "calls", "imports"))
     return out.select(F.col("rank").cast("long").alias("rank"), "n_edges", F.array_join("edge_keys", ",").alias("edge_keys"), "status")
 
 
 @query(H(""", s AS (SELECT sha256('node|package|nation:' || n_name) AS node FROM nation WHERE n_nationkey = 3), t AS (SELECT sha256('node|function|part:1') AS node),
 o AS (SELECT node, 0 AS d FROM s UNION SELECT dst, d + 1 FROM o JOIN edges ON src = node WHERE relation IN ('contains', 'calls', 'imports') AND d < 2), o2 AS (SELECT node, min(d) AS from_source FROM o GROUP BY 1),
-b AS (SELECT node, 0 AS d FROM t UNION SELECT src, d + 1 FROM b JOIN edges ON dst = node WHERE relation IN ('contains', 'calls', 'imports') AND d < 2), b2 AS (SELECT node, min(d) AS to_target FROM b GROUP BY 1)
+b AS (SELECT node, 0 AS d FROM t UNION SELECT src, d + 1 FROM b JOIN edges ON dst = node WHERE relation IN ('contains', 'calls', 'imports')), b2 AS (SELECT node, min(d) AS to_target FROM b GROUP BY 1)
 SELECT node, from_source, to_target FROM o2 LEFT JOIN b2 USING (node) ORDER BY to_target NULLS LAST, from_source DESC, node LIMIT 5""", recursive=True))
 def nearest_approach(spark, sf):
-    return G.nearest_approach(T.edges(spark, sf), a_nation(spark, sf), keyed(spark, ANCHOR), 2, relations=("contains", "calls", "imports"))
+    """The search is limited to two edges; the graph has levels, so all ways to a node are equally long."""
+    return G.nearest_approach(graph(spark, sf)[1], a_nation(spark, sf), keyed(spark, ANCHOR), 2, relations=("contains", "calls", "imports"))
 
 
 @query(H(f" SELECT dst AS node, src AS test, CASE origin WHEN 'compiler' THEN 'static' ELSE 'naming' END AS linkage, confidence FROM edges JOIN nodes ON node_key = src WHERE relation = 'tests' AND kind = 'test' AND dst IN (SELECT v FROM {_ROOTS} t(v))"))
@@ -365,7 +366,7 @@ def find_tests(spark, sf):
 @query(H(""", e AS (SELECT * FROM edges WHERE relation IN ('contains', 'calls')), w AS (SELECT sha256('node|file|c/7') AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM w JOIN e ON src = node WHERE resolution <> 'unresolved' AND hop < 8), seen AS (SELECT node, min(hop) AS hop FROM w GROUP BY 1), t AS (SELECT DISTINCT dst FROM edges WHERE relation = 'tests')
 SELECT hop, src, edge_key, relation, e.dst, CASE WHEN resolution = 'unresolved' THEN 'unresolved' WHEN origin = 'heuristic' AND resolution = 'partial' THEN 'ambiguous' WHEN confidence = 'inferred' THEN 'inferred' WHEN t.dst IS NOT NULL THEN 'test-backed' WHEN origin = 'compiler' AND resolution = 'resolved' THEN 'statically-resolved' ELSE 'inferred' END AS label FROM e JOIN seen ON src = node LEFT JOIN t ON t.dst = e.dst""", recursive=True))
 def route_story(spark, sf):
-    return G.story(T.edges(spark, sf), keyed(spark, ("file", "c/7")), relations=("contains", "calls")).select("hop", "src", "edge_key", "relation", "dst", "label")
+    return G.story(graph(spark, sf)[1], keyed(spark, ("file", "c/7")), relations=("contains", "calls")).select("hop", "src", "edge_key", "relation", "dst", "label")
 
 
 @query("WITH RECURSIVE i AS (SELECT DISTINCT 'c/' || o_custkey AS src, 's/' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION SELECT 's/' || s_suppkey, 'n/' || s_nationkey FROM supplier), w AS (SELECT 'n/3' AS node UNION SELECT src FROM w JOIN i ON dst = node) SELECT node FROM w")
@@ -499,7 +500,7 @@ l2 AS (SELECT dst AS node, min(struct_pack(seat := seat || edge_key, parent := l
 
 
 def _walk(spark, sf) -> DataFrame:
-    return V.walk_with_parents(T.edges(spark, sf).where("relation IN ('calls', 'imports')"), keyed(spark, ANCHOR), 2)
+    return V.walk_with_parents(graph(spark, sf)[1].where("relation IN ('calls', 'imports')"), keyed(spark, ANCHOR), 2)
 
 
 @query(H(_WALK + " SELECT node, 1 AS hop, parent FROM l1 UNION ALL SELECT node, 2, b.parent FROM l2"))
@@ -509,20 +510,20 @@ def context_parents(spark, sf):
 
 @query(H(_WALK + " SELECT DISTINCT b.parent AS node FROM l2 JOIN nodes ON node_key = l2.node WHERE kind = 'file'"))
 def context_connectors(spark, sf):
-    files = T.nodes(spark, sf).where("kind = 'file'").select(F.col("node_key").alias("node"))
+    files = graph(spark, sf)[0].where("kind = 'file'").select(F.col("node_key").alias("node"))
     walk = _walk(spark, sf)
     return V.connectors(walk, walk.where("hop = 2").join(files, "node", "left_semi"), 2)
 
 
 @query(H(" SELECT kind, (kind IN ('file', 'test') AND coalesce(language IN ('BUILDING', 'SUPPLY'), false)) AS visible, count(*) AS n FROM nodes GROUP BY ALL"))
 def visibility_flags(spark, sf):
-    flagged = V.with_visibility(T.nodes(spark, sf), {"kind": ["file", "test"], "language": ["BUILDING", "SUPPLY"], "package": []})
+    flagged = V.with_visibility(graph(spark, sf)[0], {"kind": ["file", "test"], "language": ["BUILDING", "SUPPLY"], "package": []})
     return flagged.groupBy("kind", "visible").agg(F.count("*").alias("n"))
 
 
 @query(H(" SELECT src, relation, ['inferred', 'likely', 'certain'][min(list_position(['inferred', 'likely', 'certain'], confidence))] AS confidence, count(*) AS n_transitions FROM edges GROUP BY 1, 2"))
 def weakest_confidence(spark, sf):
-    return V.weakest_confidence(T.edges(spark, sf), ["src", "relation"])
+    return V.weakest_confidence(graph(spark, sf)[1], ["src", "relation"])
 
 
 @query(H(_OWNER + ", shown AS (SELECT node_key, CASE WHEN owner IS NULL OR owner = sha256('node|package|nation:' || (SELECT n_name FROM nation WHERE n_nationkey = 3)) THEN node_key ELSE owner END AS rep FROM owners), s1 AS MATERIALIZED (SELECT edges.*, rep AS a FROM edges JOIN shown ON src = node_key), s2 AS MATERIALIZED (SELECT s1.*, rep AS b FROM s1 JOIN shown ON dst = node_key) SELECT a AS src, b AS dst, relation, count(*) AS n_edges FROM s2 WHERE a <> b GROUP BY 1, 2, 3", recursive=True))
@@ -603,7 +604,7 @@ def coalesced_rows(spark, sf):
 
 @query(H(", first AS (SELECT src, min(edge_key) AS k FROM edges WHERE relation = 'imports' GROUP BY 1) SELECT e.src, e.dst, e.origin FROM first JOIN edges e ON e.edge_key = k"))
 def first_import(spark, sf):
-    return Q.first_target(T.edges(spark, sf), "imports")
+    return Q.first_target(graph(spark, sf)[1], "imports")
 
 
 @query(H(", w AS (SELECT node_key AS root, node_key AS node, 0 AS hop FROM nodes WHERE kind = 'package' UNION SELECT root, dst, hop + 1 FROM w JOIN edges ON src = node JOIN nodes n ON n.node_key = dst WHERE relation = 'contains' AND n.kind = 'package') SELECT root, node, min(hop) AS hop FROM w GROUP BY 1, 2", recursive=True))
@@ -656,7 +657,9 @@ def doc_links(spark, sf):
     return X.html_links(T.table(spark, sf, "pages"), "page_id", "html")
 
 
-@query("""WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM events), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM g), f AS (SELECT *, min(ts) OVER (PARTITION BY user_id, island) AS first FROM i)
-SELECT user_id, CAST(island AS BIGINT) AS island, CAST((epoch_us(ts) - epoch_us(first)) // 172800000000 AS BIGINT) AS part, min(ts) AS start, max(ts) AS end, count(*) AS n_events FROM f GROUP BY ALL""")
+@query("""WITH RECURSIVE g AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM events), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM g),
+b AS (SELECT user_id, island, min(ts) AS first, 0 AS part FROM i GROUP BY 1, 2 UNION ALL SELECT b.user_id, b.island, (SELECT min(ts) FROM i WHERE i.user_id = b.user_id AND i.island = b.island AND i.ts > b.first + INTERVAL 48 HOUR), part + 1 FROM b WHERE EXISTS (SELECT 1 FROM i WHERE i.user_id = b.user_id AND i.island = b.island AND i.ts > b.first + INTERVAL 48 HOUR)),
+c AS (SELECT i.user_id, i.island, i.ts, max(b.part) AS part FROM i JOIN b ON i.user_id = b.user_id AND i.island = b.island AND b.first <= i.ts GROUP BY i.event_id, i.user_id, i.island, i.ts)
+SELECT user_id, CAST(island AS BIGINT) AS island, CAST(part AS BIGINT) AS part, min(ts) AS start, max(ts) AS end, count(*) AS n_events FROM c GROUP BY user_id, island, part""")
 def debounce_batches(spark, sf):
     return R.debounce(T.table(spark, sf, "events"), "user_id", "12 HOURS", "48 HOURS")

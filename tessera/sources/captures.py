@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Languages by file name, extension and interpreter; in order of precedence within each kind.
-BY_NAME = {"Dockerfile": "dockerfile", "Makefile": "make", "CMakeLists.txt": "cmake"}
-BY_EXTENSION = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "proto": "protobuf", "md": "markdown", "tf": "terraform", "sh": "shell", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml"}
-BY_INTERPRETER = {"python": "python", "node": "javascript", "bash": "shell", "sh": "shell"}
+# Languages in order of precedence, with their file names, extensions and patterns of generated paths.
+BY_NAME = {"dockerfile": "dockerfile", "containerfile": "dockerfile", "makefile": "shell", "go.mod": "toml", "go.work": "toml", "cmakelists.txt": "cmake", ".gitignore": "repository-config", "yarn.lock": "repository-config"}
+EXTENSIONS = {
+    "typescript": "ts tsx mts cts", "javascript": "js jsx mjs cjs", "python": "py pyi", "cpp": "cc cpp cxx hh hpp hxx", "c": "c h", "go": "go", "rust": "rs", "java": "java", "protobuf": "proto",
+    "terraform": "tf tfvars", "yaml": "yaml yml", "markdown": "md markdown", "json": "json jsonc", "shell": "sh bash", "toml": "toml", "cmake": "cmake",
+}
+BY_EXTENSION = {e: name for name, own in EXTENSIONS.items() for e in own.split()}
+BY_INTERPRETER = {"javascript": r"^#!.*\bnode\b", "python": r"^#!.*\bpython(?:3(?:\.\d+)?)?\b", "shell": r"^#!.*\b(?:ba|z|k)?sh\b"}
+GENERATED = {
+    "typescript": r"\.d\.(?:ts|mts|cts)$", "javascript": r"\.min\.js$", "python": r"\bsite-packages\b", "cpp": r"\b(?:cmake-build|generated)\b", "c": r"\b(?:cmake-build|generated)\b", "go": r"\.pb\.go$",
+    "rust": r"\btarget\b", "java": r"\b(?:build|generated)\b", "terraform": r"\.terraform/", "json": r"package-lock\.json$",
+}
 EXCLUDED = ("node_modules", ".git", "dist", "build", "coverage", "target", "__pycache__")
 MOST_BYTES = 5 << 20
 
@@ -37,22 +45,20 @@ def scan(files: DataFrame, ignored: list[str] = (), most_bytes: int = MOST_BYTES
 
 
 def language(path, first_line):
-    """By file name, then extension, then the interpreter line."""
-    base = F.element_at(F.split(path, "/"), -1)
+    """By file name, then extension, both in any case, then the interpreter line; null without one."""
+    base = F.lower(F.element_at(F.split(path, "/"), -1))
     look = lambda table, key: F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))]), key)
-    bang = F.regexp_extract(first_line, r"^#!.*?\b(python|node|bash|sh)\d*(?:\.\d+)?\s*$", 1)
-    return F.coalesce(look(BY_NAME, base), look(BY_EXTENSION, F.regexp_extract(base, r"\.([^.]+)$", 1)), look(BY_INTERPRETER, bang))
-
-
-# Paths of generated files per language.
-GENERATED = {"typescript": r"\.(generated|gen)\.tsx?$|\.d\.ts$", "javascript": r"\.min\.js$|\.bundle\.js$", "python": r"_pb2(_grpc)?\.py$", "go": r"\.pb\.go$|_gen\.go$", "java": r"/generated(-sources)?/", "cpp": r"\.pb\.(cc|h)$"}
+    bang = F.lit(None).cast("string")
+    for name, pattern in reversed(BY_INTERPRETER.items()):
+        bang = F.when(first_line.rlike(pattern), F.lit(name)).otherwise(bang)
+    return F.coalesce(look(BY_NAME, base), look(BY_EXTENSION, F.regexp_extract(base, r"^.+\.([^.]+)$", 1)), bang)
 
 
 def is_generated(path, lang):
-    """Whether the path matches its language's patterns for generated files."""
+    """Whether the path matches its language's pattern for generated files, in any case."""
     out = F.lit(False)
     for name, pattern in GENERATED.items():
-        out = out | ((lang == name) & path.rlike(pattern))
+        out = out | ((lang == name) & path.rlike(f"(?i){pattern}"))
     return F.coalesce(out, F.lit(False))
 
 
@@ -71,7 +77,7 @@ def commit_files(log: DataFrame) -> DataFrame:
     return lines.select(F.col("l")[0].alias("sha"), "ordinal", F.explode(F.slice("l", 2, 1 << 30)).alias("file")).where("trim(file) <> ''")
 
 
-#: What events stand for.
+#: What the driver's events stand for; our own choice.
 ROLE = {"view": "read", "click": "planned", "purchase": "modified", "signup": "test_selected", "error": "interrupted"}
 
 

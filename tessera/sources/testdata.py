@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import model
+from tessera.functions.shared import shared_dir
+from tessera.operators.store import SnapshotStore
 
 BASE, HEAD = "base", "head"
 #: Orders of a snapshot: base ends before 2001, head starts in 1996.
@@ -76,6 +80,26 @@ def edges(spark: SparkSession, sf_dir: str, snapshot: str = HEAD) -> DataFrame:
     return every.select(model.edge_key(F.col("src"), F.col("relation"), F.col("dst")).alias("edge_key"), *every.columns)
 
 
+_STORES: dict[tuple[str, str], SnapshotStore] = {}
+
+
+def published(spark: SparkSession, sf_dir: str, snapshot: str = HEAD) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a snapshot as a session's store has them; the first to ask publishes it, with its files."""
+    name = spark.sparkContext.applicationId, sf_dir
+    if name not in _STORES:
+        _STORES[name] = SnapshotStore(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}")
+    store = _STORES[name]
+    log = {r["workspace_hash"]: r for r in store.activations().collect()}  # a row a snapshot
+    if snapshot not in log:
+        n, e = nodes(spark, sf_dir, snapshot), edges(spark, sf_dir, snapshot)
+        files = n.where("kind = 'file'").select(F.col("file").alias("path"), "package", "language")
+        head = store.head()
+        found = store.publish(n, e, snapshot, head[0] if head else None, files=files)
+    else:
+        found = log[snapshot]["snapshot_id"]
+    return store.read("nodes", found), store.read("edges", found)
+
+
 def nodes_sql(snapshot: str = HEAD) -> str:
     """The same nodes in SQL, for oracles."""
     return f"""

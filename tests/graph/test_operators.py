@@ -82,8 +82,14 @@ def test_paths_cycles_and_limits(spark):
     got = traverse.k_paths(e, node_frame(spark, "a"), node_frame(spark, "c"), 5)
     assert [(x.rank, x.edge_keys, x.status) for x in got.orderBy("rank").collect()] == [(1, ["e9"], "ok"), (2, ["e1", "e4"], "ok"), (3, ["e3", "e4"], "ok")]
     assert [x.n_edges for x in traverse.k_paths(e, node_frame(spark, "a"), node_frame(spark, "a"), 2).collect()] == [0]
-    assert traverse.k_paths(e, node_frame(spark, "c"), node_frame(spark, "a"), 2).count() == 0
-    assert rows(traverse.nearest_approach(e, node_frame(spark, "a"), node_frame(spark, "d"), 3)) == [("a", 0, None), ("b", 1, None), ("c", 1, None)]
+    assert rows(traverse.k_paths(e, node_frame(spark, "c"), node_frame(spark, "a"), 2)) == [("no_path", None, None, None, None)]
+    assert traverse.k_paths(e, node_frame(spark, "a"), node_frame(spark, "d"), 1, most_edges=1).first().status == "search_limit"
+    assert traverse.k_paths(e, node_frame(spark, "a"), node_frame(spark, "d"), 1, most_rows=1).first().status == "search_limit"
+    # c is one edge away, but the longest way that was found has two
+    assert rows(traverse.nearest_approach(e, node_frame(spark, "a"), node_frame(spark, "d"))) == [("a", 0, None), ("b", 1, None), ("c", 2, None)]
+    assert rows(traverse.nearest_approach(e, node_frame(spark, "a"), node_frame(spark, "b"))) == []
+    chain = edges(spark, *[(f"n{i}", "calls", f"n{i + 1}") for i in range(6)])
+    assert [x[0] for x in traverse.nearest_approach(chain, node_frame(spark, "n0"), node_frame(spark, "n6"), most_edges=2).collect()] == ["n2", "n1", "n0"]
 
 
 def test_impact_depths(spark):
@@ -162,7 +168,8 @@ def test_debounce(spark):
     ms = [0, 50, 100, 175, 251, 400, *range(1000, 1601, 50)]
     df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(ms)], "event_id int, task int, ms int").withColumn("ts", F.timestamp_millis("ms"))
     got = review.debounce(df, "task", "0.075 SECONDS", "0.5 SECONDS").orderBy("start").collect()
-    assert [x.n_events for x in got] == [4, 1, 1, 10, 3]
+    # 175 to 251 is over the quiet time; the long run is cut 500 ms after its first event, and again from the next one on
+    assert [x.n_events for x in got] == [4, 1, 1, 11, 2]
 
 
 def test_text_extractors(spark):

@@ -45,7 +45,7 @@ def test_pages_and_documents(spark):
 
 
 def test_generated(spark):
-    df = spark.createDataFrame([("a.d.ts", "typescript"), ("x_pb2.py", "python"), ("x.py", "python"), ("a.d.ts", None)], "p string, l string")
+    df = spark.createDataFrame([("a.d.ts", "typescript"), ("a/site-packages/x.py", "python"), ("x.py", "python"), ("a.d.ts", None)], "p string, l string")
     assert [x[0] for x in df.select(captures.is_generated(F.col("p"), F.col("l"))).collect()] == [True, True, False, False]
 
 
