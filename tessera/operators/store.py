@@ -10,6 +10,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera import model
 
@@ -52,9 +53,10 @@ class SnapshotStore:
         row = self.activations().orderBy(F.desc("activation_id")).first()
         return (row["activation_id"], row["snapshot_id"]) if row else None
 
-    def read(self, table: str, snapshot_id: int) -> DataFrame:
-        """A snapshot's rows; the partition filter prunes all other snapshots' files."""
-        return self.spark.read.parquet(f"{self.root}/{table}").where(F.col("snapshot_id") == snapshot_id).drop("snapshot_id")
+    def read(self, table: str, snapshot_id: int, schema: StructType | None = None) -> DataFrame:
+        """A snapshot's rows; the partition filter prunes all other snapshots' files. A schema is needed only where a table may have no rows at all."""
+        reader = self.spark.read.schema(StructType([*schema, StructField("snapshot_id", LongType())])) if schema else self.spark.read
+        return reader.parquet(f"{self.root}/{table}").where(F.col("snapshot_id") == snapshot_id).drop("snapshot_id")
 
     def publish(self, nodes: DataFrame, edges: DataFrame, workspace_hash: str, expected: int | None, **more: DataFrame) -> int:
         """Writes a snapshot and activates it if the head's activation id still is `expected`.
@@ -69,7 +71,7 @@ class SnapshotStore:
             for name, df in {"nodes": nodes, "edges": edges, **more}.items():
                 df.withColumn("snapshot_id", F.lit(snapshot)).write.partitionBy("snapshot_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.root}/{name}")
             # what is written is checked, not computed again; without an activation it isn't published
-            if not model.dangling(self.read("edges", snapshot), self.read("nodes", snapshot)).isEmpty():
+            if not model.dangling(self.read("edges", snapshot, edges.schema), self.read("nodes", snapshot, nodes.schema)).isEmpty():
                 raise ValueError("dangling edges")
         now = self.head()
         if (now[0] if now else None) != expected:

@@ -212,6 +212,10 @@ def test_store(spark, tmp_path):
     assert s.head() == (3, 1) and s.read("edges", 1).count() == 1
     with pytest.raises(ValueError):
         s.prune(1)
+    with pytest.raises(ValueError, match="task"):
+        s.prune(2, active=(2,))
+    with pytest.raises(store.Conflict):
+        s._activate({"activation_id": 3, "snapshot_id": 9, "workspace_hash": "Z", "previous": 1})  # a writer that saw the head before
     s.prune(2)
     assert s.read("nodes", 1).count() == 2 and s.read("nodes", 2).count() == 0 and s.activations().count() == 3
 
@@ -279,3 +283,9 @@ def test_reach_has_no_bound(spark, monkeypatch, walk):
 
 def test_within_budget_takes_all_that_fits(spark):
     assert traverse.within_budget(spark.range(10_100), [F.asc("id")], F.lit(1), 10_050).count() == 10_050
+
+
+def test_walk_over_a_long_chain(spark):
+    chain = spark.range(230).select(F.concat(F.lit("n"), "id").alias("src"), F.concat(F.lit("n"), F.col("id") + 1).alias("dst")).coalesce(1)
+    got = traverse.reach(node_frame(spark, "n190"), chain)
+    assert got.count() == 41 and got.agg(F.max("hop")).first()[0] == 40
