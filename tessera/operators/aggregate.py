@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import model
+from tessera.functions.shared import materialize
 
 
 def relation_histogram(edges: DataFrame) -> DataFrame:
@@ -77,11 +78,33 @@ def extractor_inventory(contributions: DataFrame) -> DataFrame:
 
 
 def omission_fold(omissions: DataFrame, keys: list[str], keep: int = 19) -> DataFrame:
-    """Sums per key; beyond keep + 1 rows all after the first `keep` by size are folded to one `other` row."""
-    sums = omissions.groupBy(*keys).agg(F.sum("n").alias("n"))
-    ranked = sums.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("n"), *keys))).withColumn("_all", F.count("*").over(Window.partitionBy(F.lit(1))))
-    folded = (F.col("_all") > keep + 1) & (F.col("_r") > keep)
-    return ranked.groupBy(*[F.when(folded, F.lit("other")).otherwise(F.col(k)).alias(k) for k in keys]).agg(F.sum("n").alias("n"))
+    """Sums per key; beyond keep + 1 rows all after the first `keep` by size are folded to one `other` row: the total less the first ones, so only these are ordered."""
+    sums = materialize(omissions.groupBy(*keys).agg(F.sum("n").alias("n")), "sums")
+    order = [F.desc("n"), *keys]
+    top = sums.orderBy(*order).limit(keep + 1).withColumn("r", F.row_number().over(Window.orderBy(*order)))
+    all_ = sums.agg(F.count("*").alias("rows"), F.sum("n").alias("total"))  # one row
+    marked = top.crossJoin(all_)
+    first = marked.where((F.col("rows") <= keep + 1) | (F.col("r") <= keep)).select(*keys, "n")
+    other = marked.where((F.col("rows") > keep + 1) & (F.col("r") <= keep)).groupBy("total").agg(F.sum("n").alias("kept"))
+    return first.unionByName(other.select(*[F.lit("other").alias(k) for k in keys], (F.col("total") - F.col("kept")).alias("n")))
+
+
+def median(values: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The middle value, or the mean of the two middle ones, exactly; ranks are over (value, count) pairs as in nearest_rank."""
+    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*by)
+    upto = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col(value)))
+    return upto.groupBy(*by).agg(((at(F.floor((F.col("_all") + 1) / 2)) + at(F.floor((F.col("_all") + 2) / 2))) / 2).alias("median"), F.max("_all").alias("n"))
+
+
+def aggregate_provenance(edges: DataFrame, by: list[str]) -> DataFrame:
+    """For each aggregate (by): its edges, the (origin, confidence, resolution) buckets as sorted `o/c/r=n` text, distinct languages, capabilities and derivations, and the evidence it leaves out (n_evidence summed)."""
+    buckets = edges.groupBy(*by, "origin", "confidence", "resolution").agg(F.count("*").alias("n"))
+    text = F.concat(F.concat_ws("/", "origin", "confidence", "resolution"), F.lit("="), F.col("n"))
+    buckets = buckets.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(text)), ",").alias("buckets"))
+    sets = [F.array_join(F.array_sort(F.collect_set(c)), ",").alias(name) for c, name in (("language", "languages"), ("capability", "capabilities"), ("derivation", "derivations"))]
+    return edges.groupBy(*by).agg(F.count("*").alias("n_edges"), *sets, F.sum("n_evidence").alias("n_evidence_omitted")).join(buckets, by)
 
 
 def nearest_rank(values: DataFrame, by: list[str], value: str, share: float) -> DataFrame:

@@ -25,6 +25,10 @@ def key_diff(base: DataFrame, head: DataFrame, key: str, state: list[str]) -> Da
     return both.withColumn("change", change).where("change IS NOT NULL").select(key, "change")
 
 
+#: What a removed and an added node must share in either stage; the first stage asks for the trailing name, too.
+NODE_KEY = ["kind", "body", "analyzer", "extractor", "extractor_version"]
+
+
 def _grouped(rows: DataFrame, keys: list[str], side: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias(f"{side}_n"), F.min("id").alias(f"{side}_id"))
 
@@ -73,3 +77,15 @@ def paged(parts: list[tuple[str, DataFrame]], key: str, offset: int, limit: int)
         own = df.select(F.lit(i).alias("part_no"), F.lit(name).alias("part"), F.col(key).alias("key"))
         tagged = own if tagged is None else tagged.unionByName(own)
     return tagged.orderBy("part_no", "key").offset(offset).limit(limit).select("part", "key")
+
+
+def page_counts(parts: list[tuple[str, DataFrame]], offset: int, limit: int) -> DataFrame:
+    """part, total, shown and omitted of each list under a page, and the next cursor (null after the last page)."""
+    spark = parts[0][1].sparkSession
+    totals = [df.count() for _, df in parts]
+    rows, before = [], 0
+    for (name, _), n in zip(parts, totals, strict=True):
+        shown = max(0, min(before + n, offset + limit) - max(before, offset))
+        rows.append((name, n, shown, n - shown, offset + limit if offset + limit < sum(totals) else None))
+        before += n
+    return spark.createDataFrame(rows, "part string, total long, shown long, omitted long, next_cursor long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.shared import materialize
 from tessera.operators.review import unique_match
+from tessera.sources.captures import normalized
 
 
 def resolve_exports(declared: DataFrame, reexports: DataFrame) -> DataFrame:
@@ -98,3 +99,21 @@ def express_routes(lines: DataFrame) -> DataFrame:
     part = lambda g: F.regexp_extract("line", EXPRESS, g)
     literal = (part(2) != "") & ~((part(2) == "`") & F.contains(part(3), F.lit("${")))
     return hit.select("path", "n", F.upper(part(1)).alias("method"), F.when(literal, part(3)).alias("route"), F.when(part(5) != "", part(5)).alias("handler"), F.when(literal, "resolved").otherwise("unresolved").alias("resolution"))
+
+
+def path_references(lines: DataFrame, pattern: str, files: DataFrame) -> DataFrame:
+    """lines (path, n, line) whose pattern's first group is a path, relative to the file's folder or else to the root: path, n, target (a file of files) and resolution."""
+    hit = lines.withColumn("asked", F.regexp_extract("line", pattern, 1)).where("asked <> ''")
+    folder = F.regexp_replace("path", r"[^/]*$", "")
+    near, far = normalized(F.concat(folder, F.col("asked"))), normalized(F.col("asked"))
+    rows = hit.select("path", "n", near.alias("near"), far.alias("far"))
+    known = files.select("path").distinct()
+    rows = rows.join(known.select(F.col("path").alias("near"), F.lit(True).alias("a")), "near", "left").join(known.select(F.col("path").alias("far"), F.lit(True).alias("b")), "far", "left")
+    target = F.when(F.col("a"), F.col("near")).when(F.col("b"), F.col("far"))
+    return rows.select("path", "n", target.alias("target"), F.when(target.isNull(), "unresolved").otherwise("resolved").alias("resolution"))
+
+
+#: Our own patterns: markers of generated bindings, includes and started scripts.
+GENERATED_FROM = r"(?i)\bgenerated-from:\s*([^\s]+)"
+INCLUDE = r'^\s*#\s*include\s*"([^"]+)"'
+STARTED = r"""\b(?:subprocess\.\w+|exec|spawn)\s*\(\s*\[?\s*["'](?:(?:python3?|node|bash|sh)["']\s*,\s*["'])?([\w./-]+\.(?:py|js|sh))["']"""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera import model
+from tessera.sources.captures import normalized
 
 FRESHNESS = "CASE WHEN live_hash IS NULL AND stored_hash IS NULL THEN 'unknown' WHEN live_hash IS NULL THEN 'stale' WHEN stored_hash IS NULL THEN 'unknown' WHEN live_hash = stored_hash THEN 'fresh' ELSE 'stale' END"
 
@@ -122,6 +123,44 @@ def worst_freshness(files: DataFrame, of: DataFrame, by: str) -> DataFrame:
     return of.join(files, "path", "left").groupBy(by).agg(F.max(F.coalesce(rank, F.lit(1))).alias("r")).select(by, F.get(F.array(F.lit("fresh"), F.lit("unknown"), F.lit("stale")), F.col("r")).alias("freshness"))
 
 
+def freshness_reasons(wanted: DataFrame, stored: DataFrame, live: DataFrame, pending: DataFrame) -> DataFrame:
+    """wanted (path), stored and live (path, hash; a live file that can't be read has none), pending (path) -> path, status, reason. What is asked first decides: not in the snapshot, a refresh pending, outside the root, unreadable, changed, the same."""
+    rows = wanted.select("path").distinct().join(stored.select("path", F.col("hash").alias("s")), "path", "left").join(live.select("path", F.col("hash").alias("l")), "path", "left")
+    rows = rows.join(pending.select("path", F.lit(True).alias("p")).distinct(), "path", "left")
+    reason = (
+        F.when(F.col("s").isNull(), "not_in_snapshot").when(F.col("p"), "refresh_pending").when(normalized(F.col("path")).isNull(), "outside_repository")
+        .when(F.col("l").isNull(), "unreadable").when(F.col("s") != F.col("l"), "content_changed").otherwise("matches_snapshot")
+    )
+    status = F.when(F.col("reason").isin("refresh_pending", "content_changed"), "stale").when(F.col("reason") == "matches_snapshot", "fresh").otherwise("unknown")
+    return rows.withColumn("reason", reason).select("path", status.alias("status"), "reason")
+
+
+def orphan_chain(edges: DataFrame, nodes: DataFrame, files: DataFrame, member_edges: DataFrame, member_nodes: DataFrame, member_files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edge, node and file entities to collect, in this order: an edge (edge_key, src, dst) without membership; a node (node_key, file) without one that no remaining edge has as an end; a file without one that no remaining node is in."""
+    gone = orphans(edges, "edge_key", member_edges.select("edge_key"))
+    left = edges.join(gone.select("edge_key"), "edge_key", "left_anti")
+    loose = orphans(nodes, "node_key", member_nodes.select("node_key"), left.select("src"), left.select("dst"))
+    kept = nodes.join(loose.select("node_key"), "node_key", "left_anti")
+    return gone, loose, orphans(files, "file", member_files.select("file"), kept.select("file"))
+
+
+#: What a region's files declare; a change of these keys isn't regional.
+DECLARATION_KINDS = ("function", "method", "class", "interface", "type", "route", "test")
+
+
+def region_faults(before: DataFrame, replacement: DataFrame, invalidated: DataFrame, nodes: DataFrame, new_nodes: DataFrame) -> DataFrame:
+    """key, fault of a replacement that can't be merged. before, replacement: path, language; invalidated: path; nodes have node_key, kind, file."""
+    fault = lambda df, key, what: df.select(F.col(key).cast("string").alias("key"), F.lit(what).alias("fault"))
+    paths = invalidated.select("path")
+    out = fault(paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path", "invalidated twice")
+    out = out.union(fault(paths.join(replacement, "path", "left_anti").distinct(), "path", "missing replacement")).union(fault(replacement.join(paths, "path", "left_anti"), "path", "unexpected replacement"))
+    out = out.union(fault(paths.join(before, "path", "left_anti").distinct(), "path", "not in the previous graph"))
+    out = out.union(fault(replacement.join(before.select("path", F.col("language").alias("was")), "path").where(~F.col("language").eqNullSafe(F.col("was"))), "path", "language changed"))
+    declares = lambda df: df.where(F.col("kind").isin(*DECLARATION_KINDS)).join(paths.select(F.col("path").alias("file")).distinct(), "file", "left_semi").select("node_key")
+    old, new = declares(nodes), declares(new_nodes)
+    return out.union(fault(old.join(new, "node_key", "left_anti"), "node_key", "declaration gone")).union(fault(new.join(old, "node_key", "left_anti"), "node_key", "declaration added"))
+
+
 def workspace_hash(files: DataFrame, by: list[str]) -> DataFrame:
     """SHA-256 of the sorted `path NUL hash` lines of each workspace. A line is 64 bytes and a path, so a workspace's lines fit one value; many workspaces are dealt out."""
     line = F.concat(F.col("path"), F.lit("\0"), F.col("hash"))

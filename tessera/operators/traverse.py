@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import materialize
@@ -151,21 +151,33 @@ def story(edges: DataFrame, entry: DataFrame, depth: int = 8, relations=("routes
     return steps.select("hop", "src", "edge_key", "relation", "dst", F.expr(STORY_LABEL).alias("label"))
 
 
-def context(edges: DataFrame, nodes: DataFrame, anchor: DataFrame, depth: int = 2, relations=("calls", "imports", "tests")) -> DataFrame:
+def context(edges: DataFrame, nodes: DataFrame, anchor: DataFrame, depth: int = 2, relations=("calls", "imports", "tests"), signature_types: DataFrame | None = None) -> DataFrame:
     """Ranked neighbours of the anchor (node): distance both ways, fan-in, linked test, same package, best connecting confidence, and the linear score.
 
     Hard priority: 2 for a compiler-made, certain and resolved caller or callee or a certainly linked test,
-    1 for other callers and callees, else 0. Order: priority, score, confidence, key.
+    1 for other callers and callees, else 0; 2 for the types that the anchor's signature names (node). Callers,
+    callees, certainly linked tests and signature types belong to the context whatever the relations; the
+    walk goes on from them, but for types that no edge reaches. Order: priority, score, confidence, key.
     """
     use = materialize(edges.where(F.col("relation").isin(*relations)), "use")
     both = use.select("src", "dst", "relation", "origin", "confidence", "resolution").union(use.select("dst", "src", "relation", "origin", "confidence", "resolution"))
-    seen = reach(anchor, both.select("src", "dst"), depth)
+    at = anchor.select("node").distinct()
+    sides = edges.where("relation = 'calls' OR (relation = 'tests' AND confidence = 'certain')").select(F.inline(F.array(F.struct("src", "dst", "relation", "origin", "confidence", "resolution"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation", "origin", "confidence", "resolution"))))
+    forced = sides.join(at.toDF("src"), "src").join(nodes.select(F.col("node_key").alias("dst"), "kind"), "dst").where("relation = 'calls' OR kind = 'test'").where("src <> dst").select("src", "dst", "relation", "origin", "confidence", "resolution")
+    forced = materialize(forced, "forced")
+    seen = reach(anchor, both.select("src", "dst").union(forced.select("src", "dst")), depth)
+    # the forced edges, seen from their far end, connect it to the anchor
+    both = both.union(forced.where(~F.col("relation").isin(*relations)).select("dst", "src", "relation", "origin", "confidence", "resolution"))
     rank = F.expr("CASE confidence WHEN 'certain' THEN 2 WHEN 'likely' THEN 1 ELSE 0 END")
     kinds = nodes.select(F.col("node_key").alias("node"), "kind", "package")
     # connecting edges lead to a node exactly one hop nearer
     near = seen.select(F.col("node").alias("dst"), (F.col("hop") + 1).alias("hop"))
     hard = F.when((F.col("hop") == 1) & (F.col("relation") == "calls"), F.when(F.expr("origin = 'compiler' AND confidence = 'certain' AND resolution = 'resolved'"), 2).otherwise(1)).otherwise(0)
     linked = both.join(seen.withColumnRenamed("node", "src"), "src").join(near, ["dst", "hop"]).groupBy(F.col("src").alias("node"), "hop").agg(F.max(rank).alias("confidence_rank"), F.max(hard).alias("call_priority"), F.max(F.when((F.col("hop") == 1) & (F.col("relation") == "tests"), F.when(F.col("confidence") == "certain", 2).otherwise(1)).otherwise(0)).alias("test_link"))
+    if signature_types is not None:
+        typed = signature_types.select("node").distinct().join(at, "node", "left_anti")
+        apart = typed.join(linked.select("node"), "node", "left_anti").select("node", F.lit(1).alias("hop"), F.lit(0).alias("confidence_rank"), F.lit(0).alias("call_priority"), F.lit(0).alias("test_link"))
+        linked = linked.unionByName(apart).join(typed.withColumn("typed", F.lit(2)), "node", "left").withColumn("call_priority", F.greatest("call_priority", F.coalesce("typed", F.lit(0)))).drop("typed")
     own = kinds.join(anchor.select("node"), "node").select(F.col("package").alias("anchor_package"))
     fan = edges.where("relation IN ('imports', 'references', 'calls', 'implements', 'extends', 'routes_to')").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("fan_in"))
     rows = linked.join(kinds, "node").join(fan, "node", "left").crossJoin(own.limit(1))  # one anchor row
@@ -187,3 +199,15 @@ def within_budget(ranked: DataFrame, order: list, cost, budget: int) -> DataFram
     top = ranked.withColumn("cost", cost).orderBy(*order).limit(budget)
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return top.withColumn("running", F.sum("cost").over(w)).where(F.col("running") <= budget)
+
+
+def budget_ladder(ranked: DataFrame, order: list, costs: dict[str, Column], budget: int) -> tuple[str, DataFrame]:
+    """The richest representation (costs: richest first) in which all rows fit the budget, else the last with the longest prefix that fits; a budget that not even the first row fits is refused."""
+    total = ranked.agg(*[F.sum(c).alias(n) for n, c in costs.items()]).first()
+    for name, cost in costs.items():
+        if (total[name] or 0) <= budget:
+            return name, within_budget(ranked, order, cost, budget)
+    shown = materialize(within_budget(ranked, order, cost, budget), "shown")
+    if shown.isEmpty():
+        raise ValueError(f"budget {budget} can't fit one candidate")
+    return name, shown

@@ -211,31 +211,31 @@ def manifest_diff(spark, sf):
 
 
 def renamed(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Documents: even ids are removed, odd ids added; some added ones bear another name."""
+    """Documents: even ids are removed, odd ids added; some added ones bear another name. Some are classes, the others functions; the language names the extractor."""
     name = F.when((F.col("doc_id") % 4 == 1), F.concat("lang", F.lit("2"))).otherwise(F.col("lang"))
-    d = T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), model.body_hash(F.col("text")).alias("body"), name.alias("name"))
+    d = T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), model.body_hash(F.col("text")).alias("body"), name.alias("name"), F.when(F.col("doc_id") % 10 == 3, "class").otherwise("function").alias("kind"), F.lit("1").alias("analyzer"), F.col("lang").alias("extractor"), (F.length("lang") % 2).cast("string").alias("extractor_version"))
     return d.where("id % 2 = 0"), d.where("id % 2 = 1")
 
 
-RENAMED_SQL = r"""WITH d AS (SELECT doc_id AS id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS body, CASE WHEN doc_id % 4 = 1 THEN lang || '2' ELSE lang END AS name FROM documents),
-r AS (SELECT *, count(*) OVER (PARTITION BY body, name) AS c FROM d WHERE id % 2 = 0), a AS (SELECT *, count(*) OVER (PARTITION BY body, name) AS c FROM d WHERE id % 2 = 1),
-pa AS (SELECT r.id AS removed_id, a.id AS added_id FROM r JOIN a ON r.body = a.body AND r.name = a.name WHERE r.c = 1 AND a.c = 1),
-r2 AS (SELECT *, count(*) OVER (PARTITION BY body) AS c2 FROM r WHERE id NOT IN (SELECT removed_id FROM pa)), a2 AS (SELECT *, count(*) OVER (PARTITION BY body) AS c2 FROM a WHERE id NOT IN (SELECT added_id FROM pa))"""
+RENAMED_SQL = r"""WITH d AS (SELECT doc_id AS id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS body, CASE WHEN doc_id % 4 = 1 THEN lang || '2' ELSE lang END AS name, CASE WHEN doc_id % 10 = 3 THEN 'class' ELSE 'function' END AS kind, lang AS extractor FROM documents),
+r AS (SELECT *, count(*) OVER (PARTITION BY body, kind, extractor, name) AS c FROM d WHERE id % 2 = 0), a AS (SELECT *, count(*) OVER (PARTITION BY body, kind, extractor, name) AS c FROM d WHERE id % 2 = 1),
+pa AS (SELECT r.id AS removed_id, a.id AS added_id FROM r JOIN a ON r.body = a.body AND r.kind = a.kind AND r.extractor = a.extractor AND r.name = a.name WHERE r.c = 1 AND a.c = 1),
+r2 AS (SELECT *, count(*) OVER (PARTITION BY body, kind, extractor) AS c2 FROM r WHERE id NOT IN (SELECT removed_id FROM pa)), a2 AS (SELECT *, count(*) OVER (PARTITION BY body, kind, extractor) AS c2 FROM a WHERE id NOT IN (SELECT added_id FROM pa))"""
 
 
 @query(RENAMED_SQL + " SELECT * FROM pa")
 def rename_stage_a(spark, sf):
-    return D.unique_pairs(*renamed(spark, sf), ["body", "name"])
+    return D.unique_pairs(*renamed(spark, sf), [*D.NODE_KEY, "name"])
 
 
-@query(RENAMED_SQL + " SELECT r2.id AS removed_id, a2.id AS added_id FROM r2 JOIN a2 ON r2.body = a2.body WHERE r2.c2 = 1 AND a2.c2 = 1")
+@query(RENAMED_SQL + " SELECT r2.id AS removed_id, a2.id AS added_id FROM r2 JOIN a2 ON r2.body = a2.body AND r2.kind = a2.kind AND r2.extractor = a2.extractor WHERE r2.c2 = 1 AND a2.c2 = 1")
 def rename_stage_b(spark, sf):
-    return D.unique_pairs(*D.residual(*renamed(spark, sf), "name", ["body"]), ["body"])
+    return D.unique_pairs(*D.residual(*renamed(spark, sf), "name", D.NODE_KEY), D.NODE_KEY)
 
 
-@query(RENAMED_SQL + " SELECT body, (SELECT count(*) FROM r2 x WHERE x.body = k.body) AS removed_n, (SELECT count(*) FROM a2 x WHERE x.body = k.body) AS added_n FROM (SELECT body FROM r2 INTERSECT SELECT body FROM a2) k WHERE removed_n > 1 OR added_n > 1")
+@query(RENAMED_SQL + " SELECT body, kind, extractor, (SELECT count(*) FROM r2 x WHERE (x.body, x.kind, x.extractor) = (k.body, k.kind, k.extractor)) AS removed_n, (SELECT count(*) FROM a2 x WHERE (x.body, x.kind, x.extractor) = (k.body, k.kind, k.extractor)) AS added_n FROM (SELECT body, kind, extractor FROM r2 INTERSECT SELECT body, kind, extractor FROM a2) k WHERE removed_n > 1 OR added_n > 1")
 def ambiguous_groups(spark, sf):
-    return D.ambiguous_groups(*D.residual(*renamed(spark, sf), "name", ["body"]), ["body"])
+    return D.ambiguous_groups(*D.residual(*renamed(spark, sf), "name", D.NODE_KEY), D.NODE_KEY).drop("analyzer", "extractor_version")
 
 
 @query("""WITH r AS (SELECT 'r' || l_orderkey || '-' || l_linenumber AS k, 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 2 = 0),
@@ -439,7 +439,7 @@ RULES = [{"id": "no-low-suppliers", "from": "c/*1", "deny": ["s/1*", "s/*7"], "s
 UNION ALL SELECT 'warn-all', 'warning', af, bf, relation FROM ends WHERE relation IN ('imports', 'calls') AND af LIKE '%/2%' AND bf = 's/3') SELECT DISTINCT rule, severity, 'file:' || f AS src, 'imports' AS relation, 'file:' || t AS dst FROM v"""))
 def boundary_violations(spark, sf):
     n, e = graph(spark, sf)
-    return R.violations(e, n, RULES)
+    return R.violations(e, n, RULES).drop("evidence", "n_edges")
 
 
 @query("WITH c AS (SELECT DISTINCT l_orderkey AS o, 'p' || l_partkey AS f FROM lineitem) SELECT a.f AS a, b.f AS b, count(*) AS n_commits, 'o' || min(a.o) AS newest FROM c a JOIN c b ON a.o = b.o AND a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 2")
@@ -594,11 +594,11 @@ def ranked_in_kind(spark, sf):
     return Q.ranked_in_kind(T.table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice"), "p_brand", [F.desc("p_retailprice"), F.asc("p_partkey")]).drop("p_retailprice").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(RENAMED_SQL + ", p AS (SELECT * FROM pa UNION ALL SELECT r2.id, a2.id FROM r2 JOIN a2 ON r2.body = a2.body WHERE r2.c2 = 1 AND a2.c2 = 1) SELECT removed_id, added_id, CASE WHEN r.name = a.name THEN 'move' ELSE 'rename' END AS kind, least(removed_id * 10, added_id * 10) || ',' || greatest(removed_id * 10, added_id * 10) AS rows FROM p JOIN d r ON r.id = removed_id JOIN d a ON a.id = added_id")
+@query(RENAMED_SQL + ", p AS (SELECT * FROM pa UNION ALL SELECT r2.id, a2.id FROM r2 JOIN a2 ON r2.body = a2.body AND r2.kind = a2.kind AND r2.extractor = a2.extractor WHERE r2.c2 = 1 AND a2.c2 = 1) SELECT removed_id, added_id, CASE WHEN r.name = a.name THEN 'move' ELSE 'rename' END AS kind, least(removed_id * 10, added_id * 10) || ',' || greatest(removed_id * 10, added_id * 10) AS rows FROM p JOIN d r ON r.id = removed_id JOIN d a ON a.id = added_id")
 def coalesced_rows(spark, sf):
     gone, come = renamed(spark, sf)
     raw = T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") * 10).alias("index"))
-    out = Q.coalesced_rows(D.rename_pairs(gone, come, "name", ["body"]), gone, come, raw)
+    out = Q.coalesced_rows(D.rename_pairs(gone, come, "name", D.NODE_KEY), gone, come, raw)
     return out.withColumn("rows", F.array_join("rows", ","))
 
 

@@ -474,3 +474,164 @@ def refresh_batches(spark, sf):
     changes = s.select("event_id", F.concat(F.lit("k/"), F.get_json_object("props", "$.k")).alias("path"), F.expr("CASE event_type WHEN 'error' THEN 'rescan' WHEN 'click' THEN 'rename' ELSE 'change' END").alias("kind"))
     feeds.refresh_each(changes, lambda batch, generation: batch.withColumn("generation", F.lit(generation)).write.mode("overwrite").parquet(f"{at}/out/g{generation}"), f"{at}/state").awaitTermination()
     return spark.read.option("recursiveFileLookup", True).parquet(f"{at}/out")
+
+
+# what is left of reading, comparing and budgeting
+
+_ODD = ["a/./b.ts", "a/../b.ts", "../x", "/abs", "a//b/", "C:/x", "a/b/../../..", "a\\b", ""]
+_CLEAN = ["a/b.ts", "b.ts", None, None, "a/b", None, None, "a/b", ""]
+
+
+@query("SELECT p_partkey, " + "CASE CAST(p_partkey % 9 AS INTEGER) " + " ".join(f"WHEN {i} THEN " + ("NULL" if c is None else f"'{c}'") for i, c in enumerate(_CLEAN)) + " END AS path FROM part")
+def normalized_paths(spark, sf):
+    return T.table(spark, sf, "part").select(KEY, C.normalized(pick(_ODD)).alias("path"))
+
+
+@query("WITH s AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'excluded' WHEN doc_id % 5 = 0 THEN 'ignored' END AS reason, CASE WHEN doc_id % 7 = 0 THEN 'build/' ELSE '' END || doc_id || '.tmp' || CASE WHEN doc_id % 5 <> 0 THEN 'x' ELSE '' END AS path FROM documents) SELECT reason, count(*) AS n, min(path) AS first_path FROM s WHERE reason IS NOT NULL GROUP BY 1")
+def omission_evidence(spark, sf):
+    d = T.table(spark, sf, "documents").select(F.concat(F.when(F.col("doc_id") % 7 == 0, "build/").otherwise(""), "doc_id", F.lit(".tmp"), F.when(F.col("doc_id") % 5 != 0, "x").otherwise("")).alias("path"), F.lit(b"").alias("content"), F.lit(0).alias("size"))
+    return C.omissions(C.scan(d, ["*.tmp"]))
+
+
+@query("WITH s AS (SELECT CASE WHEN doc_id % 13 = 0 THEN '../' ELSE '' END || 'f' || doc_id AS path, doc_id, sha256(text) AS h FROM documents) SELECT path, CASE WHEN r IN ('refresh_pending', 'content_changed') THEN 'stale' WHEN r = 'matches_snapshot' THEN 'fresh' ELSE 'unknown' END AS status, r AS reason FROM (SELECT path, CASE WHEN doc_id % 5 = 0 OR h IS NULL THEN 'not_in_snapshot' WHEN doc_id % 11 = 0 THEN 'refresh_pending' WHEN doc_id % 13 = 0 THEN 'outside_repository' WHEN doc_id % 7 = 0 THEN 'unreadable' WHEN doc_id % 4 = 0 THEN 'content_changed' ELSE 'matches_snapshot' END AS r FROM s)")
+def freshness_reasons(spark, sf):
+    d = T.table(spark, sf, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 13 == 0, "../").otherwise(""), F.lit("f"), "doc_id").alias("path"), F.sha2("text", 256).alias("hash"))
+    live = d.where("doc_id % 7 <> 0").select("path", F.when(F.col("doc_id") % 4 == 0, "x").otherwise(F.col("hash")).alias("hash"))
+    return store.freshness_reasons(d, d.where("doc_id % 5 <> 0"), live, d.where("doc_id % 11 = 0"))
+
+
+@query(H(", gone AS (SELECT edge_key, src, dst FROM edges WHERE origin = 'heuristic'), kept AS (SELECT * FROM edges WHERE origin <> 'heuristic'), ends AS (SELECT src AS k FROM kept UNION SELECT dst FROM kept), loose AS (SELECT node_key, file FROM nodes WHERE kind IN ('method', 'test', 'function') AND node_key NOT IN (SELECT k FROM ends)), files AS (SELECT DISTINCT file FROM nodes WHERE file IS NOT NULL), stay AS (SELECT DISTINCT file FROM nodes WHERE node_key NOT IN (SELECT node_key FROM loose) AND file IS NOT NULL AND kind NOT IN ('file')) SELECT 'edge' AS what, count(*) AS n FROM gone UNION ALL SELECT 'node', count(*) FROM loose UNION ALL SELECT 'file', count(*) FROM files WHERE file NOT IN (SELECT file FROM stay)"))
+def orphan_chain(spark, sf):
+    """Claims of a heuristic have no membership, nor have orders and parts, nor files."""
+    n, e = graph(spark, sf)
+    own = n.where("kind <> 'file'")
+    edges_, nodes_, files_ = store.orphan_chain(e, own, n.where("file IS NOT NULL").select("file").distinct(), e.where("origin <> 'heuristic'"), own.where("kind NOT IN ('method', 'test', 'function')"), n.limit(0).select("file"))
+    count = lambda df, what: df.agg(F.lit(what).alias("what"), F.count("*").alias("n"))
+    return count(edges_, "edge").unionByName(count(nodes_, "node")).unionByName(count(files_, "file"))
+
+
+@query("SELECT 'f' || doc_id AS key, 'missing replacement' AS fault FROM documents WHERE doc_id % 2 = 0 AND doc_id % 6 = 0 UNION ALL SELECT 'f' || doc_id, 'unexpected replacement' FROM documents WHERE doc_id % 2 = 1 AND doc_id % 50 = 1 UNION ALL SELECT 'f' || doc_id, 'language changed' FROM documents WHERE doc_id % 10 = 0 AND doc_id % 6 <> 0 UNION ALL SELECT 'd' || doc_id, 'declaration gone' FROM documents WHERE doc_id % 2 = 0 AND doc_id % 8 = 0 UNION ALL SELECT 'n' || doc_id, 'declaration added' FROM documents WHERE doc_id % 2 = 0 AND doc_id % 8 = 4")
+def region_faults(spark, sf):
+    d = T.table(spark, sf, "documents").select("doc_id", text("f", "{doc_id}").alias("path"), F.lit("typescript").alias("language"))
+    again = d.where("(doc_id % 2 = 0 AND doc_id % 6 <> 0) OR doc_id % 50 = 1").withColumn("language", F.when((F.col("doc_id") % 10 == 0), "python").otherwise(F.col("language")))
+    nodes_ = d.select(text("d", "{doc_id}").alias("node_key"), F.lit("method").alias("kind"), F.col("path").alias("file"), "doc_id")
+    new = nodes_.where("doc_id % 8 <> 0").unionByName(nodes_.where("doc_id % 8 = 4").withColumn("node_key", text("n", "{doc_id}")))
+    return store.region_faults(d, again, d.where("doc_id % 2 = 0"), nodes_, new)
+
+
+@query("SELECT event_type, median(value) AS median, count(value) AS n FROM events GROUP BY 1")
+def median_value(spark, sf):
+    from tessera.operators import aggregate
+
+    return aggregate.median(T.table(spark, sf, "events"), ["event_type"], "value")
+
+
+@query(H(", x AS (SELECT relation, CASE WHEN confidence = 'certain' THEN 'go' ELSE 'rust' END AS language, CASE WHEN origin = 'compiler' THEN 'semantic' ELSE 'structural' END AS capability, resolution AS derivation, origin, confidence, resolution, length(src) % 7 + 1 AS n_evidence FROM edges), b AS (SELECT relation, string_agg(origin || '/' || confidence || '/' || resolution || '=' || n, ',' ORDER BY origin || '/' || confidence || '/' || resolution || '=' || n) AS buckets FROM (SELECT relation, origin, confidence, resolution, count(*) AS n FROM x GROUP BY ALL) GROUP BY 1) SELECT relation, count(*) AS n_edges, string_agg(DISTINCT language, ',' ORDER BY language) AS languages, string_agg(DISTINCT capability, ',' ORDER BY capability) AS capabilities, string_agg(DISTINCT derivation, ',' ORDER BY derivation) AS derivations, CAST(sum(n_evidence) AS BIGINT) AS n_evidence_omitted, any_value(buckets) AS buckets FROM x JOIN b USING (relation) GROUP BY 1"))
+def aggregate_provenance(spark, sf):
+    from tessera.operators import aggregate
+
+    e = graph(spark, sf)[1].select("*", F.when(F.col("confidence") == "certain", "go").otherwise("rust").alias("language"), F.when(F.col("origin") == "compiler", "semantic").otherwise("structural").alias("capability"), F.col("resolution").alias("derivation"), (F.length("src") % 7 + 1).alias("n_evidence"))
+    return aggregate.aggregate_provenance(e, ["relation"])
+
+
+_OWNED = ", p AS (SELECT node_key AS root, node_key AS node, 0 AS hop FROM nodes WHERE kind = 'package' UNION SELECT root, dst, hop + 1 FROM p JOIN edges ON src = node WHERE relation = 'contains'), m AS (SELECT node, min(hop) AS d FROM p GROUP BY 1), o AS (SELECT p.node, min(root) AS owner, count(*) AS n FROM p JOIN m ON p.node = m.node AND hop = d GROUP BY 1), owners AS (SELECT node AS node_key, owner FROM o WHERE n = 1)"
+
+
+@query(H(_OWNED + " SELECT sha256('package-edge|' || a.owner || '|' || relation || '|' || b.owner) AS group_key, edge_key FROM edges JOIN owners a ON src = a.node_key JOIN owners b ON dst = b.node_key WHERE a.owner <> b.owner", recursive=True))
+def package_edge_sources(spark, sf):
+    from tessera.operators import project
+
+    n, e = graph(spark, sf)
+    return project.package_edge_sources(e, project.ownership(n, e))
+
+
+@query(H(_OWNED + ", pk AS (SELECT node_key AS owner, CASE WHEN display_name < 'G' THEN sha256('region|project_root|early') ELSE sha256('region|package_containment|' || node_key) END AS region_key, CASE WHEN display_name < 'G' THEN 'Early' ELSE display_name END AS label, CASE WHEN display_name < 'G' THEN 'project_root' ELSE 'package_containment' END AS basis FROM nodes WHERE kind = 'package'), mem AS (SELECT node_key, region_key FROM owners JOIN pk USING (owner)), ent AS (SELECT region_key, count(*) AS n_entities, list(DISTINCT language) FILTER (language IS NOT NULL) AS own FROM nodes JOIN mem USING (node_key) GROUP BY 1), s AS (SELECT region_key, min(label) AS label, min(basis) AS basis, count(*) AS n_packages FROM pk GROUP BY 1), x AS MATERIALIZED (SELECT edges.*, a.region_key AS ra FROM edges JOIN mem a ON src = a.node_key), y AS MATERIALIZED (SELECT x.*, b.region_key AS rb FROM x JOIN mem b ON dst = b.node_key) SELECT region_key, label, basis, n_packages, coalesce(n_entities, 0) AS n_entities, array_to_string(list_sort(list_distinct(coalesce(own, []) || CASE WHEN basis = 'project_root' THEN ['go', 'SUPPLY'] ELSE [] END)), ',') AS languages, (SELECT count(*) FROM y WHERE ra = s.region_key AND ra <> rb) AS n_out, (SELECT count(*) FROM y WHERE rb = s.region_key AND ra <> rb) AS n_in, (SELECT count(*) FROM y WHERE ra = s.region_key AND ra = rb AND relation = 'contains') AS n_basis_edges FROM s LEFT JOIN ent USING (region_key)", recursive=True))
+def region_projection(spark, sf):
+    """Packages whose names come before G are one project."""
+    from tessera.operators import project
+
+    n, e = graph(spark, sf)
+    early = n.where("kind = 'package' AND display_name < 'G'").select(F.col("node_key").alias("package"), F.lit("early").alias("project"), F.lit("Early").alias("label"), F.array(F.lit("go"), F.lit("SUPPLY")).alias("languages"))
+    return project.region_projection(n, e, project.ownership(n, e), early)
+
+
+@query("SELECT 'a' AS part, (SELECT count(*) FROM nation) AS total, 20 AS shown, (SELECT count(*) FROM nation) - 20 AS omitted, 105 AS next_cursor UNION ALL SELECT 'b', (SELECT count(*) FROM region), (SELECT count(*) FROM region), 0, 105 UNION ALL SELECT 'c', (SELECT count(*) FROM supplier), 75, (SELECT count(*) FROM supplier) - 75, 105")
+def page_counts(spark, sf):
+    """A page from the sixth row on, a hundred rows long, over three lists."""
+    from tessera.operators import diff
+
+    return diff.page_counts([("a", T.table(spark, sf, "nation")), ("b", T.table(spark, sf, "region")), ("c", T.table(spark, sf, "supplier"))], 5, 100)
+
+
+@query(H(" SELECT 'no-five' AS rule, count(*) AS n_edges, min(edge_key) AS evidence, 'file:' || a.file AS src, 'file:' || b.file AS dst FROM edges JOIN nodes a ON src = a.node_key JOIN nodes b ON dst = b.node_key WHERE relation = 'imports' AND ends_with(a.file, '5') AND b.file = 's/5' GROUP BY a.file, b.file"))
+def violation_evidence(spark, sf):
+    n, e = graph(spark, sf)
+    return R.violations(e, n, [{"id": "no-five", "from": "c/*5", "deny": ["s/5"], "severity": "error"}]).select("rule", "n_edges", "evidence", "src", "dst")
+
+
+_W = "list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '')"
+_SCORED = f"""WITH h AS (SELECT p_partkey, p_name, p_type, len(w) AS len, len(list_filter(w, lambda x: starts_with(x, 're'))) AS f0, len(list_filter(w, lambda x: starts_with(x, 'wi'))) AS f1 FROM (SELECT *, {_W} AS w FROM part)),
+t AS (SELECT count(*) AS n, avg(len) AS mean, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM h)
+SELECT p_partkey, lower(p_name) = 're wi' AS exact, round(greatest(ln((n - n0 + 0.5) / (n0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * len / mean)) + greatest(ln((n - n1 + 0.5) / (n1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len / mean)), 6) AS score FROM h, t WHERE f0 > 0 AND f1 > 0 AND p_type = 'ECONOMY'"""
+
+
+def part_index(spark, sf):
+    from tessera.operators.search import PostingIndex
+
+    return PostingIndex.build(T.table(spark, sf, "part"), KEY, ["p_name"], f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+
+
+@query(f"SELECT *, (SELECT count(*) FROM ({_SCORED})) AS n_hits FROM ({_SCORED}) ORDER BY exact DESC, score DESC, p_partkey LIMIT 20")
+def index_search(spark, sf):
+    """Twenty hits of one type from the stored postings: the limit is the feature."""
+    return part_index(spark, sf).search(T.table(spark, sf, "part"), "re wi", ["p_name"], F.col("p_type") == "ECONOMY", 20)
+
+
+@query("SELECT p_partkey, 'missing' AS fault FROM (SELECT max(p_partkey) + 1 AS p_partkey FROM part) UNION ALL SELECT p_partkey, 'orphan' FROM part WHERE p_size = 7")
+def index_repair(spark, sf):
+    part = T.table(spark, sf, "part")
+    return part_index(spark, sf).faults(part.where("p_size <> 7").select(KEY).union(part.agg(F.max(KEY) + 1)))
+
+
+_FORCED = """, a AS (SELECT sha256('node|function|part:1') AS node), f AS (SELECT src AS node, relation, origin, confidence, resolution FROM edges, a WHERE dst = a.node AND (relation = 'calls' OR (relation = 'tests' AND confidence = 'certain'))),
+l1 AS (SELECT node, max(CASE confidence WHEN 'certain' THEN 2 WHEN 'likely' THEN 1 ELSE 0 END) AS cr, max(CASE WHEN relation = 'calls' THEN CASE WHEN origin = 'compiler' AND confidence = 'certain' AND resolution = 'resolved' THEN 2 ELSE 1 END ELSE 2 END) AS pr, max(CASE WHEN relation = 'tests' THEN 1 ELSE 0 END) AS linked FROM f GROUP BY 1),
+l2 AS (SELECT dst AS node, max(CASE confidence WHEN 'certain' THEN 2 WHEN 'likely' THEN 1 ELSE 0 END) AS cr FROM edges JOIN l1 ON src = l1.node WHERE relation = 'imports' GROUP BY 1), ty AS (SELECT node_key AS node FROM nodes WHERE kind = 'package' AND display_name IN ('ASIA', 'EUROPE')),
+al AS (SELECT node, 1 AS hop, pr AS priority, cr AS confidence_rank, linked FROM l1 UNION ALL SELECT node, 2, 0, cr, 0 FROM l2 UNION ALL SELECT node, 1, 2, 0, 0 FROM ty), fi AS (SELECT dst, count(*) AS fan_in FROM edges WHERE relation IN ('imports', 'references', 'calls', 'implements', 'extends', 'routes_to') GROUP BY 1)"""
+
+
+def forced_context(spark, sf):
+    n, e = graph(spark, sf)
+    types = Q.mentions(spark.createDataFrame([("part:1", "make(a: ASIA, b: EUROPE[]): void")], "id string, signature string"), n.where("kind = 'package'"))
+    return G.context(e, n, keyed(spark, ("function", "part:1")), 2, ("imports",), types.select(F.col("node_key").alias("node")))
+
+
+@query(H(_FORCED + " SELECT al.node, hop, priority, coalesce(fan_in, 0) AS fan_in, confidence_rank, round(2.5 / (1 + hop) + ln(1 + coalesce(fan_in, 0)) + 1.5 * linked + 0.5 * CASE WHEN package = (SELECT package FROM nodes JOIN a ON node_key = a.node) THEN 1 ELSE 0 END, 6) AS score FROM al JOIN nodes ON node_key = al.node LEFT JOIN fi ON dst = al.node"))
+def context_forced(spark, sf):
+    """Imports alone are asked for: callers, certain tests and signature types come all the same."""
+    return forced_context(spark, sf)
+
+
+@query("SELECT 'd' || doc_id AS node, 'commit:' || lang AS evidence FROM documents WHERE doc_id % 3 = 0 AND lang IS NOT NULL UNION ALL SELECT 'd' || doc_id, 'e' || doc_id FROM documents WHERE doc_id % 3 <> 0")
+def commit_evidence(spark, sf):
+    d = T.table(spark, sf, "documents").where("doc_id % 3 <> 0 OR lang IS NOT NULL")
+    own = F.when(F.col("doc_id") % 3 != 0, F.array(text("e", "{doc_id}"))).otherwise(F.array().cast("array<string>"))
+    return d.select(text("d", "{doc_id}").alias("node"), F.array_join(views.evidence_or_commit(own, F.col("lang")), ",").alias("evidence"))
+
+
+@query("WITH c AS (SELECT p_partkey, CAST(length(p_name) AS BIGINT) AS name, CAST(length(p_name) * 4 AS BIGINT) AS signature FROM part), r AS (SELECT *, CAST(sum(name) OVER (ORDER BY p_partkey) AS BIGINT) AS running FROM c) SELECT 'name' AS level, p_partkey, running FROM r WHERE running <= 900 UNION ALL SELECT 'signature', p_partkey, CAST(sum(signature) OVER (ORDER BY p_partkey) AS BIGINT) FROM c WHERE p_partkey < 12")
+def context_ladder(spark, sf):
+    """All parts don't fit as signatures, so names fill the budget; the first dozen do."""
+    part = T.table(spark, sf, "part").select(KEY, "p_name")
+    costs = {"signature": (F.length("p_name") * 4).cast("long"), "name": F.length("p_name").cast("long")}
+    level, rows = G.budget_ladder(part, [F.asc(KEY)], costs, 900)
+    few, some = G.budget_ladder(part.where("p_partkey < 12"), [F.asc(KEY)], costs, 900)
+    return rows.select(F.lit(level).alias("level"), KEY, "running").unionByName(some.select(F.lit(few).alias("level"), KEY, "running"))
+
+
+@query("SELECT 'a' || p_size || '/f' || p_partkey || '.py' AS path, unnest([1, 2, 3, 4]) AS n, unnest(['proto/x.proto', CASE WHEN p_size = 7 THEN 'a7/h.h' END, 'tools/run.sh', NULL]) AS target, unnest(['resolved', CASE WHEN p_size = 7 THEN 'resolved' ELSE 'unresolved' END, 'resolved', 'unresolved']) AS resolution FROM part")
+def path_references(spark, sf):
+    """Generated bindings, includes and started scripts."""
+    src = T.table(spark, sf, "part").select(F.concat(F.lit("a"), "p_size", F.lit("/f"), KEY, F.lit(".py")).alias("path"), F.lit('# generated-from: ../proto/x.proto\n#include "h.h"\nsubprocess.run(["bash", "tools/run.sh"])\n#include "../../out.h"').alias("t"))
+    lines = X.lines_of(src, "path", "t")
+    known = spark.createDataFrame([("proto/x.proto",), ("a7/h.h",), ("tools/run.sh",)], "path string")
+    return N.path_references(lines, N.GENERATED_FROM, known).unionByName(N.path_references(lines, N.INCLUDE, known)).unionByName(N.path_references(lines, N.STARTED, known))

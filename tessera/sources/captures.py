@@ -92,3 +92,17 @@ def accept_events(events: DataFrame, targets: DataFrame) -> tuple[DataFrame, Dat
     known = targets.select("file").distinct()
     reason = F.when(F.col("file").isNull(), "missing target").otherwise("unknown target")
     return events.join(known, "file", "left_semi"), events.join(known, "file", "left_anti").withColumn("reason", reason)
+
+
+def normalized(path):
+    """A relative path without `.`, empty and `..` parts, in POSIX form; null where it is absolute or leaves its root."""
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    none = F.lit(None).cast("array<string>")
+    step = lambda a, p: F.when(a.isNull(), none).when(p.isin("", "."), a).when(p != "..", F.concat(a, F.array(p))).when(F.size(a) == 0, none).otherwise(F.slice(a, F.lit(1), F.size(a) - 1))
+    clean = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.when(path.rlike(r"^(?:/|\\|[A-Za-z]:)"), F.lit(None).cast("string")).otherwise(F.array_join(clean, "/"))
+
+
+def omissions(scanned: DataFrame) -> DataFrame:
+    """reason, n and the least path of what a scan left out: its evidence."""
+    return scanned.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
