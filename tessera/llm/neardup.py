@@ -222,7 +222,7 @@ def _cross(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int) ->
         yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 80, den: int = 100, bands: int = 40, rows: int = 4, block_docs: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 80, den: int = 100, bands: int = 40, rows: int = 4, block_docs: int = 1024) -> DataFrame:
     """id, n_shingles, component_id and kept for every row."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
