@@ -25,18 +25,19 @@ from pyspark.sql import functions as F
 
 from tessera.functions.shared import materialize
 
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+SYMBOLS = r"[#*$%&|<>]+"
+#: A line with a word.
+LINE = r"[^\n]*[^\x20\x09-\x0D][^\n]*"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def words(text: Column) -> Column:
     """Runs of characters other than space and U+0009 to U+000D."""
-    return F.filter(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), lambda w: w != "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
-def _removed(text: Column, chars: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
+def _removed(text: Column, pattern: str) -> Column:
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
 
 
 def windows(w: Column) -> Column:
@@ -53,7 +54,7 @@ FEW = 16
 
 
 def repeat_words(w: Column) -> Column:
-    """Words in 3-word windows found twice or more. Sorted hashes tell which windows repeat; their places, in order, each add the words not yet counted.
+    """Words in 3-word windows found twice or more. Where no hash comes twice there are none; else sorted hashes tell which windows repeat, and their places, in order, each add the words not yet counted.
 
     Few repeated hashes are looked up; with more of them, hashes are sorted together with their places.
     """
@@ -64,7 +65,7 @@ def repeat_words(w: Column) -> Column:
     few = lambda g, d: F.filter(F.transform(g, lambda h, i: F.when(F.array_contains(d, h), i)), lambda i: i.isNotNull())
     added = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     count = lambda g, d: F.when(F.size(d) == 0, 0).when(F.size(d) <= FEW, let(few(g, d), added)).otherwise(let(many(g), added))
-    return let(windows(w), lambda g: let(twice(g), lambda d: count(g, d)))
+    return let(windows(w), lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), 0).otherwise(let(twice(g), lambda d: count(g, d))))
 
 
 class Measures:
@@ -74,11 +75,11 @@ class Measures:
         self.text, self.w = text, w
 
     n_words = property(lambda self: F.size(self.w).cast("long"))
-    word_chars = property(lambda self: F.char_length(F.translate(self.text, BLANKS, "")).cast("long"))
+    word_chars = property(lambda self: F.aggregate(self.w, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x)))
     n_symbols = property(lambda self: _removed(self.text, SYMBOLS).cast("long"))
     n_dup_lines = property(lambda self: let(self.lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     n_repeat_words = property(lambda self: repeat_words(self.w).cast("long"))
-    lines = property(lambda self: F.filter(F.split(self.text, "\n"), lambda x: F.translate(x, BLANKS, "") != ""))
+    lines = property(lambda self: F.regexp_extract_all(self.text, F.lit(LINE), 0))
 
 
 class Counted(Measures):
@@ -124,7 +125,7 @@ BASE_RULES = (Rule("few_words", lambda m: m.n_words < 50, "n_words < 50"), Rule(
 #: Rules beyond the base; thresholds are ours and catch text drowned in symbols, tables, gaps, copied lines, lists, teasers and figures.
 RULES = (
     Rule("symbols", lambda m: 100 * m.n_symbols > 15 * m.n_words, "100 * n_symbols > 15 * n_words"),
-    Rule("word_length", lambda m: (m.word_chars > 25 * m.n_words) | (m.word_chars < 2 * m.n_words), "word_chars > 25 * n_words OR word_chars < 2 * n_words"),
+    Rule("word_length", lambda m: let(m.word_chars, lambda c: (c > 25 * m.n_words) | (c < 2 * m.n_words)), "word_chars > 25 * n_words OR word_chars < 2 * n_words"),
     Rule("dup_lines", lambda m: 10 * m.n_dup_lines > F.greatest(F.lit(40), m.n_words), "n_dup_lines > 4 AND 10 * n_dup_lines > n_words"),
     Rule("repetition", lambda m: 100 * m.n_repeat_words > 30 * m.n_words, "100 * n_repeat_words > 30 * n_words", covers="mostly_repeated"),
     Rule("bullets", lambda m: share_of_lines(m, lambda x: _any(F.startswith, F.ltrim(x), BULLETS), 9, 10), "10 * len(list_filter(lines, lambda x: " + " OR ".join(f"starts_with(ltrim(x, ' '), '{b}')" for b in BULLETS) + ")) > 9 * len(lines)"),
