@@ -18,15 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import materialize
-from tessera.llm.quality import BLANKS
+from tessera.llm.quality import words
 
 WEIGHTS = (5, 2, 1)
 
 
 def count_words(text: Column) -> Column:
     """Number of runs of characters other than space and U+0009 to U+000D; null: 0."""
-    plain = F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS))
-    return F.size(F.filter(F.split(plain, " "), lambda w: w != "")).cast("long")
+    return F.size(words(F.coalesce(text, F.lit("")))).cast("long")
 
 
 def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS) -> DataFrame:
