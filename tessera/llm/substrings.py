@@ -13,8 +13,10 @@ in and writes the next files. In the end suffixes with a common prefix of length
 whose preceding symbols end in the same d bytes are windows that repeat; so every byte offset is judged,
 though only every sixteenth suffix is sorted.
 
-A key with more than `most` different contexts is too hot for one block: its windows are counted one by
-one by digest instead, an exact way that pre-aggregates and has no large group.
+A key with more than `most` different contexts is too hot for one block. Its contexts are dealt out anew by a
+longer k-gram: each window takes its gram with as many bytes more to the right as reach halfway to the whole
+window, or to the left where they don't fit, so a context falls into two parts at most, and equal windows
+still meet. Parts of keys that are still hot go on; a gram as long as a window has one context only.
 
 Defined results: matches never cross documents; null or shorter texts keep all their bytes; repeated rows
 are documents of their own, so each is a repeat of the other; an empty table gives an empty result.
@@ -242,12 +244,12 @@ def repeats(texts: list[bytes], places: np.ndarray, windows: np.ndarray, counts:
     return out[np.lexsort([out[:, 1], out[:, 0]])]
 
 
-MARKS = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("spans", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), ("hot", pa.list_(pa.binary()))])
+MARKS = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("spans", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))])
 SPANS = "array<struct<lo:int,hi:int>>"
 
 
 def _mark(batches: Iterator[pa.RecordBatch], length: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, hot ones last: marks of all contexts, in blocks of whole keys; contexts of hot keys give their windows' digests instead."""
+    """Rows sorted by key: marks of all contexts, in blocks of whole keys."""
     folder = tempfile.mkdtemp()
     rows: list[tuple] = []
     try:
@@ -266,22 +268,14 @@ def _mark(batches: Iterator[pa.RecordBatch], length: int, block: int) -> Iterato
                 hi = np.concatenate([lo[1:], [len(hits)]]) - 1
                 for c, a, b in zip(hits[lo, 0].tolist(), hits[lo, 1].tolist(), hits[hi, 1].tolist(), strict=True):
                     spans[c].append({"lo": a, "hi": b})
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(digest, pa.int64()), pa.array(spans, MARKS.field("spans").type), pa.array([None] * len(key), MARKS.field("hot").type)], schema=MARKS)
-
-        def windows_of(hot_rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for key, digest, windows, _, _, text in hot_rows:
-                own = [hashlib.blake2b(text[i : i + length], digest_size=16).digest() for i in range(windows)]
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([digest], pa.int64()), pa.array([None], MARKS.field("spans").type), pa.array([own], MARKS.field("hot").type)], schema=MARKS)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(digest, pa.int64()), pa.array(spans, MARKS.field("spans").type)], schema=MARKS)
 
         held = 0
         for batch in batches:
             data, offs = batch_text(batch.column("bytes"))
-            columns = [batch.column(c).to_pylist() for c in ("key", "digest", "windows", "place", "n", "hot")]
-            for k, (key, digest, windows, place, n, hot) in enumerate(zip(*columns, strict=True)):
+            columns = [batch.column(c).to_pylist() for c in ("key", "digest", "windows", "place", "n")]
+            for k, (key, digest, windows, place, n) in enumerate(zip(*columns, strict=True)):
                 row = (key, digest, windows, place, n, data[offs[k] : offs[k + 1]].tobytes())
-                if hot:
-                    yield from windows_of([row])
-                    continue
                 if held > block and rows[-1][0] != key:
                     yield from solve(rows)
                     rows, held = [], 0
@@ -292,15 +286,41 @@ def _mark(batches: Iterator[pa.RecordBatch], length: int, block: int) -> Iterato
         shutil.rmtree(folder, ignore_errors=True)
 
 
+PARTS = "key0 long, digest0 long, lo int, key long, digest long, windows int, place int, gram int, n long, bytes binary"
+
+
+def parts_by_longer_gram(raw: bytes, windows: int, place: int, gram: int, length: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """First window, number of windows, place of the longer gram (in the context) and its bytes, for each part of a context."""
+    longer = (length + gram + 1) // 2
+    cut = min(max(place - (length - longer), 0), windows)  # windows from here on have room to the right
+    for lo, hi, start in ((0, cut, place + gram - longer), (cut, windows, place)):
+        if hi > lo:
+            yield lo, hi - lo, start, raw[start : start + longer]
+
+
+def _extend(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in PARTS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    number = lambda raw: int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True)
+    for batch, _, _ in blocks(batches, "bytes"):
+        out: list[list] = [[] for _ in names]
+        for r in batch.to_pylist():
+            for lo, windows, start, own in parts_by_longer_gram(r["bytes"], r["windows"], r["place"], r["gram"], length):
+                raw = r["bytes"][lo : lo + windows - 1 + length]
+                for column, v in zip(out, (r["key0"], r["digest0"], r["lo"] + lo, number(own), number(raw), windows, start - lo, len(own), r["n"], raw), strict=True):
+                    column.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+
+
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the contexts listed for each text."""
-    names = ["key", "digest", "windows", "place", "n", "hot", "bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+    names = ["key", "digest", "windows", "place", "n", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
     for batch, data, offs in blocks(batches, "text"):
         raw, out = data.tobytes(), [[] for _ in names]
         for o, own in zip(offs[:-1].tolist(), batch.column("contexts").to_pylist(), strict=True):
             for c in own or ():
-                for column, v in zip(out, (c["key"], c["digest"], c["windows"], c["place"], c["n"], c["hot"], raw[o + c["start"] : o + c["start"] + c["windows"] - 1 + length]), strict=True):
+                for column, v in zip(out, (c["key"], c["digest"], c["windows"], c["place"], c["n"], raw[o + c["start"] : o + c["start"] + c["windows"] - 1 + length]), strict=True):
                     column.append(v)
         for lo in range(0, len(out[0]), 2000):
             yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 2000], k) for c, k in zip(out, kinds, strict=True)], names)
@@ -329,7 +349,7 @@ def _remove(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.
         yield pa.RecordBatch.from_pydict({n: cols[n] for n in names})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 128, most: int = 4096, block: int = 1 << 20, payload: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 128, most: int = 1024, block: int = 1 << 20, payload: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, spans (byte offsets in the text, maximal and apart) and kept_sha256 for each row; with payload also kept, the bytes that stay."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -340,20 +360,40 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = materialize(found.join(twice, "key", "left_semi"), "repeated")
     distinct = again.groupBy("key", "digest").agg(F.min(F.struct("id", "th", "start", "windows", "place")).alias("x"), F.count("*").alias("n")).select("key", "digest", "x.*", "n")
     distinct = materialize(distinct, "distinct")
-    hot_keys = materialize(distinct.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > most).select("key", F.lit(True).alias("hot")), "hot")
-    distinct = distinct.join(hot_keys, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    listed = distinct.groupBy("id", "th").agg(F.collect_list(F.struct("key", "digest", "start", "windows", "place", "n", "hot")).alias("contexts"))
+    hot_keys = materialize(distinct.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > most).select("key"), "hot")
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
-    # a repeated row would give its contexts twice: counts are taken, so one of them is enough
-    texts = slim.join(listed, same(slim, listed)).select("text", "contexts", slim["id"], slim["th"])
-    cut = texts.mapInArrow(lambda b: _cut(b, length), "key long, digest long, windows int, place int, n long, hot boolean, bytes binary")
-    # contexts of a key meet; those of hot keys needn't
-    dealt = cut.withColumn("deal", F.when(F.col("hot"), F.col("digest")).otherwise(F.col("key"))).repartition(partitions(spark), "deal").sortWithinPartitions("hot", "key", "digest").drop("deal")
-    marks = materialize(dealt.mapInArrow(lambda b: _mark(b, length, block), f"key long, digest long, spans {SPANS}, hot array<binary>"), "marks")
-    usual = marks.where("size(spans) > 0").select("key", "digest", F.explode("spans").alias("s")).select("key", "digest", "s.*")
-    hot = marks.where("hot IS NOT NULL").select("key", "digest", F.posexplode("hot").alias("lo", "window"))
-    counts = hot.join(again.groupBy("key", "digest").agg(F.count("*").alias("n")), ["key", "digest"]).groupBy("window").agg(F.sum("n").alias("n")).where("n > 1")
-    usual = usual.union(hot.join(counts, "window", "left_semi").select("key", "digest", "lo", F.col("lo").alias("hi"))).distinct()
+
+    def with_bytes(contexts: DataFrame) -> DataFrame:
+        listed = contexts.groupBy("id", "th").agg(F.collect_list(F.struct("key", "digest", "start", "windows", "place", "n")).alias("contexts"))
+        # a repeated row would give its contexts twice: counts are taken, so one of them is enough
+        texts = slim.join(listed, same(slim, listed)).select("text", "contexts", slim["id"], slim["th"])
+        return texts.mapInArrow(lambda b: _cut(b, length), "key long, digest long, windows int, place int, n long, bytes binary")
+
+    def marked(contexts: DataFrame) -> DataFrame:
+        dealt = contexts.repartition(partitions(spark), "key").sortWithinPartitions("key", "digest")
+        marks = materialize(dealt.mapInArrow(lambda b: _mark(b, length, block), f"key long, digest long, spans {SPANS}"), "marks")
+        return marks.where("size(spans) > 0").select("key", "digest", F.explode("spans").alias("s")).select("key", "digest", "s.*")
+
+    if hot_keys.isEmpty():
+        usual = marked(with_bytes(distinct)).distinct()
+    else:
+        usual = marked(with_bytes(distinct.join(hot_keys, "key", "left_anti")))
+        parts = with_bytes(distinct.join(hot_keys, "key", "left_semi"))
+        parts = parts.select(F.col("key").alias("key0"), F.col("digest").alias("digest0"), F.lit(0).alias("lo"), "key", "digest", "windows", "place", F.lit(gram).alias("gram"), "n", "bytes")
+        while True:
+            parts = materialize(parts.mapInArrow(lambda b: _extend(b, length), PARTS), "parts")
+            # bytes stay out of the sums: one row of each context brings them afterwards
+            sums = materialize(parts.groupBy("key", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("key0", "digest0", "lo")).alias("one")), "sums")
+            still = materialize(sums.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > most).select("key"), "hot")
+            one = sums.join(still, "key", "left_anti").select("one.*", "key", "digest", "n")
+            several = parts.drop("n").join(one, ["key0", "digest0", "lo", "key", "digest"]).select("key", "digest", "windows", "place", "n", "bytes")
+            found = marked(several).withColumnsRenamed({"lo": "from", "hi": "to"})
+            back = parts.select("key0", "digest0", "lo", "key", "digest").join(found, ["key", "digest"])
+            usual = usual.unionByName(back.select(F.col("key0").alias("key"), F.col("digest0").alias("digest"), (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi")))
+            if still.isEmpty():
+                break
+            parts = parts.join(still, "key", "left_semi").select(*[x.split()[0] for x in PARTS.split(", ")])
+        usual = materialize(usual.distinct(), "usual")
     spans = again.join(usual, ["key", "digest"]).select("id", "th", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + length).alias("hi"))
     owned = spans.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     full = slim.join(owned, same(slim, owned), "left").select(slim["id"], "text", "spans")
