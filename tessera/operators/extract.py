@@ -12,6 +12,9 @@ from tessera import model
 from tessera.operators.review import unique_match
 from tessera.operators.textlines import lines_of
 
+_C_TYPES = [("type", r"^\s*(?:typedef\s+)?(?:struct|union|enum(?:\s+class)?)\s+(\w+)\s*(?:[:{]|$)"), ("type", r"^\s*typedef\s[^;{]*?\b(\w+)\s*;")]
+_JAVA = r"(?:(?:public|protected|private|static|final|abstract|sealed|synchronized|native|default|strictfp)\s+)*"
+
 # Our own patterns: what declares something in a line, per language; the first group is the name.
 PATTERNS = {
     "protobuf": [("type", r"^\s*message\s+(\w+)"), ("interface", r"^\s*service\s+(\w+)"), ("method", r"^\s*rpc\s+(\w+)")],
@@ -22,21 +25,28 @@ PATTERNS = {
     "cmake": [("function", r"(?i)^\s*add_(?:executable|library)\s*\(\s*(\S+?)[\s)]")],
     "python": [("class", r"^\s*class\s+(\w+)"), ("function", r"^\s*(?:async\s+)?def\s+(\w+)")],
     "go": [("function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)"), ("type", r"^type\s+(\w+)")],
-    "rust": [("function", r"^\s*(?:pub\s+)?fn\s+(\w+)"), ("type", r"^\s*(?:pub\s+)?(?:struct|enum|trait)\s+(\w+)")],
+    "rust": [("function", r"^\s*(?:pub\s+)?fn\s+(\w+)"), ("type", r"^\s*(?:pub\s+)?(?:struct|enum)\s+(\w+)"), ("interface", r"^\s*(?:pub\s+)?trait\s+(\w+)")],
+    # definitions at the line's start; a call or a prototype ends in a semicolon
+    "c": [("function", r"^(?!typedef\b|return\b|else\b)[A-Za-z_][\w\s*]*[\s*](\w+)\s*\([^;]*$"), *_C_TYPES],
+    "cpp": [("function", r"^(?!typedef\b|using\b|return\b|else\b)[A-Za-z_][\w\s*&:<>,]*[\s*&](?:\w+::)*(~?\w+)\s*\([^;]*$"), ("class", r"^\s*class\s+(\w+)\s*(?:final\s*)?(?:[:{]|$)"), *_C_TYPES],
+    "java": [
+        ("class", rf"^\s*{_JAVA}class\s+(\w+)"),
+        ("interface", rf"^\s*{_JAVA}interface\s+(\w+)"),
+        ("type", rf"^\s*{_JAVA}(?:enum|record)\s+(\w+)"),
+        ("method", rf"^\s*(?!.*\brecord\s)(?!(?:return|new|else|throw|if|for|while|switch|catch|try|do)\b)(?=.*\)\s*(?:throws\s[\w., ]+)?\{{\s*$|(?:public|protected|private|abstract)\b){_JAVA}(?:<[^>]+>\s+)?(?:[\w.<>\[\],?]+\s+)?(\w+)\s*\([^=]*$"),
+    ],
 }
 
 
 def declarations(files: DataFrame) -> DataFrame:
-    """path, language, text -> path, n (line), kind, name of lines that declare something."""
-    out = None
+    """path, language, text -> path, n (line), kind, name of lines that declare something. The texts are cut into lines once, each line is asked its own language's patterns."""
     lines = files.select(F.struct("path", "language").alias("f"), "text")
     rows = lines_of(lines, "f", "text").select("f.path", "f.language", "n", "line")
-    for name, patterns in PATTERNS.items():
-        own = rows.where(F.col("language") == name)
-        for kind, pattern in patterns:
-            hit = own.where(F.col("line").rlike(pattern)).select("path", "n", F.lit(kind).alias("kind"), F.regexp_extract("line", pattern, 1).alias("name"))
-            out = hit if out is None else out.union(hit)
-    return out
+    hit = lambda kind, pattern: F.when(F.col("line").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("line", pattern, 1).alias("name")))
+    found = F.lit(None)
+    for language, patterns in PATTERNS.items():
+        found = F.when(F.col("language") == language, F.array_compact(F.array(*[hit(*x) for x in patterns]))).otherwise(found)
+    return rows.where(F.col("language").isin(*PATTERNS)).select("path", "n", F.explode(found).alias("d")).select("path", "n", "d.kind", "d.name")
 
 
 def extracted(files: DataFrame, extractor: Callable[[str, str], Iterator[dict]], schema: str) -> DataFrame:

@@ -103,7 +103,8 @@ def nearest_in_direction(points: DataFrame, at: str, dx: int, dy: int) -> DataFr
 
 
 def relax(seeds: DataFrame, links: DataFrame, by: str, rounds: int = 200, most: int = 2000) -> DataFrame:
-    """Spring layout of each group (a level of a package): seeds (by, node, x, y), links (by, a, b). Groups over `most` nodes keep their seeds; a task holds one smaller group."""
+    """Spring layout of each group (a level of a package): seeds (by, node, x, y), links (by, a, b). Groups over `most` nodes keep their seeds; a task holds one smaller group. Nodes that are true in a column `pinned` push and pull but stay where they are."""
+    seeds = seeds.select(by, "node", "x", "y", (F.coalesce("pinned", F.lit(False)) if "pinned" in seeds.columns else F.lit(False)).alias("pinned"))
     sizes = seeds.groupBy(by).agg(F.count("*").alias("n"))
     small = seeds.join(sizes.where(F.col("n") <= most).select(by), by)
     kind = dict(seeds.dtypes)
@@ -112,6 +113,7 @@ def relax(seeds: DataFrame, links: DataFrame, by: str, rounds: int = 200, most:
     def run(key: tuple, points: pd.DataFrame, ties: pd.DataFrame) -> pd.DataFrame:
         points = points.sort_values("node").reset_index(drop=True)
         place = points[["x", "y"]].to_numpy(float)
+        free = ~points["pinned"].to_numpy(bool)
         at = {n: i for i, n in enumerate(points["node"])}
         pairs = np.array([(at[a], at[b]) for a, b in zip(ties["a"], ties["b"], strict=True) if a in at and b in at], int).reshape(-1, 2)
         for turn in range(rounds):
@@ -125,13 +127,33 @@ def relax(seeds: DataFrame, links: DataFrame, by: str, rounds: int = 200, most:
                 np.add.at(pull, pairs[:, 1], -d)
             step = push + 0.1 * pull
             size = np.maximum(np.hypot(step[:, 0], step[:, 1]), 1e-9)
-            place = place + step / size[:, None] * np.minimum(size, 1 - turn / rounds)[:, None]
+            place = place + free[:, None] * step / size[:, None] * np.minimum(size, 1 - turn / rounds)[:, None]
         return points[[by, "node"]].assign(x=place[:, 0], y=place[:, 1])
 
-    moved = small.select(by, "node", "x", "y").groupBy(by).cogroup(links.select(by, "a", "b").join(sizes.where(F.col("n") <= most).select(by), by).groupBy(by)).applyInPandas(lambda k, p, t: run(k, p, t) if len(p) else p[[by, "node", "x", "y"]], schema)
+    moved = small.groupBy(by).cogroup(links.select(by, "a", "b").join(sizes.where(F.col("n") <= most).select(by), by).groupBy(by)).applyInPandas(lambda k, p, t: run(k, p, t) if len(p) else p[[by, "node", "x", "y"]], schema)
     return moved.unionByName(seeds.join(sizes.where(F.col("n") > most).select(by), by).select(by, "node", "x", "y"))
 
 
+def append_seeds(placed: DataFrame, added: DataFrame, by: str) -> DataFrame:
+    """Start (x, y) of added nodes (by, node) near the mean (cx, cy) of their group's placed nodes (by, node, x, y), of all placed nodes where the group has none, of the origin where nothing is placed; a hash of the node moves it by up to a half."""
+    mean = lambda df: df.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    own = mean(placed.groupBy(by)).toDF(by, "gx", "gy")
+    near = added.select(by, "node").join(own, by, "left").crossJoin(mean(placed))  # one row
+    near = near.select(by, "node", F.round(F.coalesce("gx", "mx", F.lit(0.0)), 6).alias("cx"), F.round(F.coalesce("gy", "my", F.lit(0.0)), 6).alias("cy"))
+    part = lambda at: F.conv(F.substring(F.sha2(F.col("node").cast("string"), 256), at, 8), 16, 10).cast("double") / float(1 << 32) - 0.5
+    return near.select("*", F.round(F.col("cx") + part(1), 6).alias("x"), F.round(F.col("cy") + part(9), 6).alias("y"))
+
+
+def append_layout(placed: DataFrame, added: DataFrame, links: DataFrame, by: str, radius: float = 25.0, rounds: int = 50, most: int = 2000) -> DataFrame:
+    """by, node, x, y of added nodes: they relax among the placed ones, which don't move, and end at most `radius` from their centre. Links are those inside a group; groups over `most` nodes keep the starts."""
+    seeds = append_seeds(placed, added, by)
+    every = placed.select(by, "node", "x", "y", F.lit(True).alias("pinned")).unionByName(seeds.select(by, "node", "x", "y", F.lit(False).alias("pinned")))
+    end = relax(every, links, by, rounds, most).withColumnsRenamed({"x": "ex", "y": "ey"})
+    far = F.hypot(F.col("ex") - F.col("cx"), F.col("ey") - F.col("cy"))
+    share = F.when(far > radius, radius / far).otherwise(1.0)
+    return seeds.select(by, "node", "cx", "cy").join(end, [by, "node"]).select(by, "node", (F.col("cx") + (F.col("ex") - F.col("cx")) * share).alias("x"), (F.col("cy") + (F.col("ey") - F.col("cy")) * share).alias("y"))
+
+
 def overview(nodes: DataFrame, edges: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """claim, value (text) rows of a repository: sizes, relations, languages and severities."""
     count = lambda df, what: df.agg(F.lit(what).alias("claim"), F.count("*").cast("string").alias("value"))

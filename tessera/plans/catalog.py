@@ -255,6 +255,21 @@ def edge_coalesce(spark, sf):
     return D.coalesce_edges(removed, added, orders.union(parts))
 
 
+@query("""WITH r AS (SELECT 'r' || l_orderkey || '-' || l_linenumber AS k, 'o' || (l_orderkey + 1) AS src, CASE WHEN l_partkey % 3 = 0 THEN 'p7' ELSE 'p' || l_partkey END AS dst FROM lineitem WHERE l_orderkey % 2 = 0),
+a AS (SELECT 'a' || l_orderkey || '-' || l_linenumber AS k, 'o' || l_orderkey AS src, CASE WHEN l_partkey % 50 = 0 THEN 'p7' ELSE 'p' || l_partkey END AS dst FROM lineitem WHERE l_orderkey % 2 = 1),
+rn AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY k) AS n FROM r), an AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY k) AS n FROM a)
+SELECT rn.k AS removed_edge, an.k AS added_edge FROM rn JOIN an USING (src, dst, n)""")
+def edge_coalesce_lines(spark, sf):
+    """The scenario of edge_coalesce over all line items: lines of even orders are the removed edges, lines of odd orders the added ones."""
+    line = T.table(spark, sf, "lineitem")
+    part = F.concat(F.lit("p"), "l_partkey")
+    edge = lambda df, mark, dst: df.select(F.concat(F.lit(mark), "l_orderkey", F.lit("-"), "l_linenumber").alias("edge_key"), F.concat(F.lit("o"), "l_orderkey").alias("src"), F.lit("calls").alias("relation"), dst.alias("dst"))
+    even = F.col("l_orderkey") % 2 == 0
+    orders = T.table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("removed_id"), F.concat(F.lit("o"), (F.col("o_orderkey") + 1).cast("string")).alias("added_id"))
+    parts = T.table(spark, sf, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("removed_id"), F.lit("p7").alias("added_id"))
+    return D.coalesce_edges(edge(line.where(even), "r", part), edge(line.where(~even), "a", F.when(F.col("l_partkey") % 50 == 0, "p7").otherwise(part)), orders.union(parts))
+
+
 @query(diffs_sql("SELECT part, key FROM (SELECT 0 AS o, 'addedNodes' AS part, node_key AS key FROM nh WHERE node_key NOT IN (SELECT node_key FROM nb) UNION ALL SELECT 1, 'removedNodes', node_key FROM nb WHERE node_key NOT IN (SELECT node_key FROM nh) UNION ALL SELECT 2, 'edges', edge_key FROM h WHERE edge_key NOT IN (SELECT edge_key FROM b)) ORDER BY o, key LIMIT 500 OFFSET 100"))
 def review_page(spark, sf):
     """The second page of a review: a limit is its feature."""
@@ -546,6 +561,22 @@ def _points(spark, sf) -> DataFrame:
     return T.table(spark, sf, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
 
 
+_APPENDED = """WITH p AS (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), g AS (SELECT label, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY 1),
+n AS (SELECT c_nationkey % 15 AS label, 'c' || c_custkey AS node, sha256('c' || c_custkey) AS h FROM customer)
+SELECT n.label, node, round(coalesce(cx, (SELECT avg(x) FROM p)), 6) AS cx, round(coalesce(cy, (SELECT avg(y) FROM p)), 6) AS cy, CAST(('0x' || substr(h, 1, 8)) AS BIGINT) / 4294967296.0 - 0.5 AS dx, CAST(('0x' || substr(h, 9, 8)) AS BIGINT) / 4294967296.0 - 0.5 AS dy FROM n LEFT JOIN g USING (label)"""
+
+
+def _appended(spark, sf) -> tuple[DataFrame, DataFrame]:
+    placed = T.table(spark, sf, "embeddings").select("label", F.concat(F.lit("v"), "vec_id").alias("node"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return placed, T.table(spark, sf, "customer").select((F.col("c_nationkey") % 15).alias("label"), F.concat(F.lit("c"), "c_custkey").alias("node"))
+
+
+@query(f"SELECT label, node, round(cx + dx, 6) AS x, round(cy + dy, 6) AS y FROM ({_APPENDED})")
+def append_seeds(spark, sf):
+    """Customers take places among the vectors of a label; labels 10 to 14 have no vector."""
+    return Q.append_seeds(*_appended(spark, sf), "label").drop("cx", "cy")
+
+
 @query()
 def group_hulls(spark, sf):
     return V.hulls(_points(spark, sf), "label")
@@ -577,6 +608,13 @@ def index_faults(spark, sf):
     return Q.index_faults(T.table(spark, sf, "part"), indexed, "p_partkey")
 
 
+@query("WITH n AS (SELECT o_custkey + CASE WHEN o_orderstatus = 'P' THEN 100000000 ELSE 0 END AS c_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT c_custkey, 'missing' AS fault FROM customer ANTI JOIN n USING (c_custkey) UNION ALL SELECT c_custkey, CASE WHEN c_custkey IN (SELECT c_custkey FROM customer) THEN 'repeated' ELSE 'orphan' END FROM n WHERE n > 1 OR c_custkey NOT IN (SELECT c_custkey FROM customer)")
+def index_faults_orders(spark, sf):
+    """All orders index their customer; those of status P are indexed under a key that no customer has."""
+    moved = F.when(F.col("o_orderstatus") == "P", 100000000).otherwise(0)
+    return Q.index_faults(T.table(spark, sf, "customer"), T.table(spark, sf, "orders").select((F.col("o_custkey") + moved).alias("c_custkey")), "c_custkey")
+
+
 @query("SELECT p_brand || '/' || p_size AS snapshot, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) ELSE 'mixed' END AS version FROM part GROUP BY 1")
 def analyzer_versions(spark, sf):
     members = T.table(spark, sf, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("snapshot"), F.col("p_type").alias("version"))

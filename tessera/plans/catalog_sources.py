@@ -322,6 +322,21 @@ def line_declarations(spark, sf):
     return E.declarations(code(spark, sf))
 
 
+_BRACED = {
+    "c": ("struct s{0} {\n  int a;\n};\nint f{0}(int a);\nstatic char *g{0}(int a) {\n  return h(a);\n}\ntypedef unsigned u{0};", [(1, "type", "s{0}"), (5, "function", "g{0}"), (8, "type", "u{0}")]),
+    "cpp": ("class K{0} : public B {\n};\nvoid K{0}::run(int a) {\n  go(a);\n}\nenum class E{0} {\n};", [(1, "class", "K{0}"), (3, "function", "run"), (6, "type", "E{0}")]),
+    "java": ("public final class C{0} {\n  C{0}(int a) {\n    if (a > 0) {\n      go(a);\n    }\n  }\n  abstract List<String> m{0}(int a);\n}\ninterface I{0} {\n}\nrecord R{0}(int x) {\n}", [(1, "class", "C{0}"), (2, "method", "C{0}"), (7, "method", "m{0}"), (9, "interface", "I{0}"), (11, "type", "R{0}")]),
+    "rust": ("pub trait T{0} {\n  fn f(&self);\n}", [(1, "interface", "T{0}"), (2, "function", "f")]),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{language}/' || s_suppkey AS path, {n} AS n, '{kind}' AS kind, replace('{name}', '{{0}}', CAST(s_suppkey AS VARCHAR)) AS name FROM supplier" for language, (_, found) in _BRACED.items() for n, kind, name in found))
+def braced_declarations(spark, sf):
+    """Each supplier is a file in four languages."""
+    files = F.array(*[F.struct(F.concat(F.lit(f"{language}/"), "s_suppkey").alias("path"), F.lit(language).alias("language"), F.replace(F.lit(body), F.lit("{0}"), F.col("s_suppkey").cast("string")).alias("text")) for language, (body, _) in _BRACED.items()])
+    return E.declarations(T.table(spark, sf, "supplier").select(F.inline(files)))
+
+
 @query(f"SELECT 'p/' || p_partkey AS path, {pick_sql([str(t.count(chr(10)) + 1) for _, t in _CODE])}::BIGINT AS n_lines FROM part")
 def plugin_rows(spark, sf):
     """A plug-in that counts lines."""

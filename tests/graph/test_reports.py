@@ -35,6 +35,23 @@ def test_layout_and_directions(spark):
     assert [x.placed for x in reports.badges(marks, pts.withColumnRenamed("node", "node_key")).orderBy("node_key").collect()] == [True, False]
 
 
+def test_append_layout_keeps_placed_nodes_and_radius(spark):
+    placed = spark.createDataFrame([("g", f"p{i}", float(i), 0.0) for i in range(4)] + [("h", "q", 100.0, 0.0)], "g string, node string, x double, y double")
+    added = spark.createDataFrame([("g", "a"), ("g", "b"), ("none", "c")], "g string, node string")
+    links = spark.createDataFrame([("g", "a", "p0")], "g string, a string, b string")
+    seeds = {r.node: r for r in reports.append_seeds(placed, added, "g").collect()}
+    assert (seeds["a"].cx, seeds["a"].cy) == (1.5, 0.0) and seeds["c"].cx == 21.2
+    assert all(abs(r.x - r.cx) <= 0.5 and abs(r.y - r.cy) <= 0.5 for r in seeds.values())
+    for radius in (25.0, 0.01):
+        got = {r.node: r for r in reports.append_layout(placed, added, links, "g", radius).collect()}
+        assert set(got) == {"a", "b", "c"}
+        assert all(((r.x - seeds[n].cx) ** 2 + (r.y - seeds[n].cy) ** 2) ** 0.5 <= radius + 1e-9 for n, r in got.items())
+    pins = placed.selectExpr("*", "true AS pinned")
+    assert {r.node: (r.x, r.y) for r in reports.relax(pins, links, "g").collect()} == {r.node: (r.x, r.y) for r in placed.collect()}
+    assert reports.append_layout(placed, added.limit(0), links, "g").collect() == []
+    assert {r.cx for r in reports.append_seeds(placed.limit(0), added, "g").collect()} == {0.0}
+
+
 def test_pages_and_documents(spark):
     df = spark.range(5).toDF("k")
     got, more = reports.first_rows(df, [F.asc("k")], 3)
