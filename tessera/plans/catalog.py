@@ -577,7 +577,15 @@ def append_seeds(spark, sf):
     return Q.append_seeds(*_appended(spark, sf), "label").drop("cx", "cy")
 
 
-@query()
+# a corner begins an edge that has no point on its right and, of points in line, none beyond its ends; corners go round their mean, which lies inside
+@query("""WITH p AS (SELECT DISTINCT label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+e AS (SELECT a.label, a.x, a.y FROM p a JOIN p b ON a.label = b.label AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.label = a.label AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
+    OR ((b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND ((c.x - a.x) * (c.x - b.x) > 0 OR (c.y - a.y) * (c.y - b.y) > 0))))),
+k AS (SELECT DISTINCT * FROM e UNION SELECT * FROM p WHERE label IN (SELECT label FROM p GROUP BY 1 HAVING count(*) = 1)),
+m AS (SELECT label, avg(x) AS cx, avg(y) AS cy, min((x, y)) AS s FROM k GROUP BY 1),
+t AS (SELECT k.*, atan2(y - cy, x - cx) - atan2(s[2] - cy, s[1] - cx) AS turn, (x, y) = s AS first FROM k JOIN m USING (label))
+SELECT label, row_number() OVER (PARTITION BY label ORDER BY NOT first, CASE WHEN turn < 0 THEN turn + 2 * pi() ELSE turn END) - 1 AS corner, x, y FROM t""")
 def group_hulls(spark, sf):
     return V.hulls(_points(spark, sf), "label")
 
