@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import contamination, hardneg, linededup, mixing, neardup, quality, sharding, substrings, tokencount, urlfilter, warc
+from tessera.llm import contamination, hardneg, importance, linededup, mixing, neardup, packing, quality, sharding, substrings, tokencount, urlfilter, warc
 
 #: Fixed values of the contract for URL rules: (host, path, verdict).
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -196,11 +196,44 @@ SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive
 """
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+# The table of a byte's CRC follows from the polynomial, a word's CRC from its bytes.
+OP12_SQL = r"""
+WITH k AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+m AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS w FROM d), mw AS (SELECT unnest(w) AS w FROM m),
+x AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM mw)),
+b AS (SELECT w, xor(list_reduce(list_concat([4294967295], list_transform(range(1, CAST(length(h) / 2 AS BIGINT) + 1), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT))), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS b FROM x, k),
+s AS (SELECT b, count(*) AS s FROM dw JOIN b USING (w) GROUP BY b), t AS (SELECT b, count(*) AS t FROM mw JOIN b USING (w) GROUP BY b),
+g AS (SELECT b, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM dw) + 10000) / (CAST(s + 1 AS DOUBLE) * ((SELECT count(*) FROM mw) + 10000)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (b)),
+v AS (SELECT doc_id, CAST(sum(g) AS BIGINT) AS weight FROM dw JOIN b USING (w) JOIN g USING (b) GROUP BY doc_id),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN v USING (doc_id)),
+f AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM c),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM f WHERE n_features >= 20)
+SELECT f.doc_id, n_features, weight, score, CAST(k AS BIGINT) AS rank FROM f LEFT JOIN (SELECT * FROM r WHERE k <= (SELECT count(*) FROM r) * 10 // 100) AS r ON r.doc_id = f.doc_id
+"""
+
+
+def op13_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    """The tokenizer file's path is a parameter; by default the public byte-level one's."""
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path, keep=["doc_id"], with_ids=False)
+    return out.select("row.doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
     pairs = {"op1_warc": OP1_SQL, "op2_suffix_array_dedup": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op7_substring_dedup": OP7_SQL}
-    pairs |= {"op4_benchmark_decontamination": OP4_SQL, "op5_quality_rules": OP5_SQL, "op8_source_mixing": OP8_SQL, "op10_url_filters": OP10_SQL, "op11_hard_negatives": OP11_SQL}
+    pairs |= {"op4_benchmark_decontamination": OP4_SQL, "op5_quality_rules": OP5_SQL, "op8_source_mixing": OP8_SQL, "op10_url_filters": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_importance_resampling": OP12_SQL}
     return pairs
