@@ -12,9 +12,8 @@ Pieces of equal length are ranked: a task numbers its own, and counts of (length
 rank tells the pattern, sequence and place by a search in a table whose size is bounded by `capacity`. Neither
 a length nor a document's pieces ever meet in one task.
 
-Ids are those of the whole text. It is cut into segments in front of a space between two letters, where no token
-of a byte-level vocabulary with its usual pattern can cross; distinct segments are encoded once a block of text.
-Other tokenizers encode whole texts.
+Ids are those of the whole text. It is cut into segments where no match of a byte-level vocabulary's usual pattern
+can cross (`segment_starts`); distinct segments are encoded once a block of text. Other tokenizers encode whole texts.
 
 Defined results: null and empty texts have the end id only; repeated rows are packed each; a very long text is a
 block of its own; an empty table gives no pieces. Further columns may have any names.
@@ -26,6 +25,7 @@ import functools
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,44 +36,74 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from tessera.functions.shared import materialize
-from tessera.llm.bytetext import blocks, members, small_batches
+from tessera.llm.bytetext import blocks, small_batches
 
 END_ID = 0
-LETTER = members([*range(0x41, 0x5B), *range(0x61, 0x7B)])
+#: Kinds of characters; SOLID ones are only known not to be blank.
+UNKNOWN, L, DIGIT, SIGN, APOSTROPHE, SOLID, BLANK, BREAK = range(8)
+KIND = np.zeros(256, np.uint8)
+KIND[0x21:0x7F] = SIGN
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = L
+KIND[0x30:0x3A] = DIGIT
+KIND[0x27], KIND[0x20], KIND[0x09:0x0E] = APOSTROPHE, BLANK, BREAK
 #: Segments kept between blocks, and the longest of them; these change speed only.
-KEPT, KEPT_BYTES = 100_000, 64
+KEPT, KEPT_LENGTH = 1_000_000, 40
 
 
-def splits_at_spaces(spec: str) -> bool:
-    """Whether a tokenizer file's tokens never cross from a letter to a space before a letter."""
+def added_tokens(spec: str) -> list[bytes]:
+    return [a["content"].encode() for a in json.loads(spec).get("added_tokens", [])]
+
+
+def splits_by_kind(spec: str) -> bool:
+    """Whether a tokenizer file is byte-level with its usual pattern, whose matches segment_starts knows."""
     t = json.loads(spec)
     pre = t.get("pre_tokenizer") or {}
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not t.get("normalizer") and not t.get("truncation")
-    return plain and not any(" " in a["content"] or a.get("lstrip") or a.get("rstrip") or a.get("single_word") for a in t.get("added_tokens", []))
+    return plain and not any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") for a in t.get("added_tokens", []))
 
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(spec: str):
-    """Kept in a process: loading takes longer than a block."""
+    """A tokenizer and the segments known so far, kept in a process: loading takes longer than a block, and one worker process runs many tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_str(spec)
+    return Tokenizer.from_str(spec), {}
 
 
-def segment_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Starts of texts that aren't empty, and places of a space between two letters: ASCII, U+00C0 to U+00FF but for the two signs, U+0400 to U+047F."""
-    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
-    ascii_letter = LETTER[data]
-    before[1:], after[:-1] = ascii_letter[:-1], ascii_letter[1:]
-    second = np.zeros(len(data), bool)  # of a two-byte letter
+def segment_starts(data: np.ndarray, offs: np.ndarray, whole: list[bytes] = ()) -> np.ndarray:
+    """Starts of texts that aren't empty, and places between two characters that the pattern never takes into one
+    match, whatever stands around them: a blank after a character that is none; a change between letters, digits and
+    signs, but for what follows an apostrophe; and what follows a single line break or tab.
+
+    Characters whose kind isn't known from their bytes alone (most outside ASCII but for Latin and Cyrillic letters)
+    are left uncut. `whole` are strings, the added tokens, that aren't cut inside.
+    """
+    kind = KIND[data]
     lead, low = data[:-1], data[1:]
-    second[1:] = (lead == 0xC3) & (low != 0x97) & (low != 0xB7) | (lead == 0xD0) | (lead == 0xD1)
-    before[1:] |= second[:-1]
-    after[:-2] |= second[2:]
-    cut = (data == 0x20) & before & after
+    second = (lead == 0xC3) & (low != 0x97) & (low != 0xB7) | (lead == 0xD0) | (lead == 0xD1)  # of a two-byte letter
+    kind[1:][second] = L
+    kind[:-1][second] = L
+    # U+00D7 to U+07FF but for these letters, and U+4000 to U+CFFF, hold no blanks
+    kind[1:][(lead >= 0xC3) & (lead <= 0xDF) & ~second] = SOLID
+    kind[2:][(data[:-2] >= 0xE4) & (data[:-2] <= 0xEC)] = SOLID
+    before, here = kind[:-1], kind[1:]
+    solid, blank = (kind >= L) & (kind <= SOLID), kind >= BLANK
+    cut = np.zeros(len(data), bool)
+    cut[1:] = blank[1:] & solid[:-1]
+    cut[1:] |= (before == L) & (here >= DIGIT) & (here <= APOSTROPHE)
+    cut[1:] |= (before == DIGIT) & ((here == L) | (here == SIGN) | (here == APOSTROPHE))
+    cut[1:] |= (before == SIGN) & ((here == L) | (here == DIGIT))
+    cut[2:] |= (before[1:] == BREAK) & solid[:-2] & (here[1:] >= L) & (here[1:] <= APOSTROPHE)
+    raw = data.tobytes() if whole else b""
+    for token in whole:
+        at = raw.find(token)
+        while at >= 0:
+            cut[at + 1 : at + len(token)] = False
+            at = raw.find(token, at + 1)
     first = offs[:-1][np.diff(offs) > 0]
-    cut[offs[1:][np.diff(offs) > 0] - 1] = False
+    after = first + 1
+    cut[after[after < len(data)]] &= kind[first[after < len(data)]] != BREAK  # what stands before it is another text
     cut[first] = True
     return np.flatnonzero(cut)
 
@@ -82,24 +112,29 @@ class Encoder:
     """Ids of the texts of a block, each followed by the end id."""
 
     def __init__(self, spec: str, cut: bool):
-        self.model, self.cut, self.known = tokenizer(spec), cut, {}
+        self.model, self.known = tokenizer(spec)
+        self.cut, self.whole = cut, added_tokens(spec)
 
-    def segments(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def segments(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all distinct segments end to end, and their numbers."""
         if len(self.known) > KEPT:
             self.known.clear()
-        fresh = [s for s in distinct if s not in self.known]
-        made = {s: np.array(e.ids, "<u4").tobytes() for s, e in zip(fresh, self.model.encode_batch_fast([s.decode() for s in fresh], add_special_tokens=False), strict=True)}
-        found = [made[s] if s in made else self.known[s] for s in distinct]
-        self.known.update((s, v) for s, v in made.items() if len(s) <= KEPT_BYTES)
-        return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        known = self.known
+        fresh = [s for s in distinct if s not in known]
+        for s, e in zip(fresh, self.model.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            known[s] = array("I", e.ids).tobytes()
+        found = [known[s] for s in distinct]
+        for s in fresh:
+            if len(s) > KEPT_LENGTH:
+                del known[s]
+        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one more entry at the end)."""
         texts = len(offs) - 1
-        starts = segment_starts(data, offs) if self.cut else offs[:-1][np.diff(offs) > 0]
+        starts = segment_starts(data, offs, self.whole) if self.cut else offs[:-1][np.diff(offs) > 0]
         bounds = np.append(starts, len(data)).astype(np.int64)
-        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
         flat, sizes = self.segments(coded.dictionary.to_pylist())
         at = coded.indices.to_numpy() if len(starts) else np.zeros(0, np.int64)
         begins = np.cumsum(sizes) - sizes
@@ -113,7 +148,7 @@ class Encoder:
 
 def cut_pieces(docs: DataFrame, text_col: str, keep: list[str], spec: str, capacity: int) -> DataFrame:
     """row, doc_tokens, start, length, ids (little-endian unsigned 32 bits), their crc, part and k: the k-th piece of its length in the task."""
-    sent, cut = docs.sparkSession.sparkContext.broadcast(spec), splits_at_spaces(spec)
+    sent, cut = docs.sparkSession.sparkContext.broadcast(spec), splits_by_kind(spec)
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), docs[f"`{text_col}`"].alias("text"))
     schema = StructType([packed.schema["row"], *[StructField(c, LongType()) for c in ("doc_tokens", "start", "length", "crc")], StructField("part", IntegerType()), StructField("k", LongType()), StructField("ids", BinaryType())])
 

@@ -53,6 +53,19 @@ def test_packs_every_id_once(spark, capacity, rounds):
     holds([(r.row.doc_id, r.start, r.length, r.crc, r.doc_tokens, r.sequence_id, r.offset) for r in got], docs, capacity)
 
 
+def test_segments_never_cross_a_match():
+    r = random.Random(5)
+    marks = [*"ab Z0 9'  \n\t.,-'s{}ÿéß×÷жЯ߿\u00a0\u2003\u3000日本\u0301²½_\x1c\x7f\r\u0085\u1680", "<|endoftext|>", "'ll", "'re", " ", ",", "  "]
+    texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 40))) for _ in range(5000)]
+    with open(PATH, encoding="utf-8") as f:
+        spec = f.read()
+    encoder = packing.Encoder(spec, packing.splits_by_kind(spec))
+    raw = [t.encode() for t in texts]
+    ids, begins = encoder.block(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(t) for t in raw])))
+    want = Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)
+    assert encoder.cut and [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] == [e.ids + [0] for e in want]
+
+
 def test_empty_and_query(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(empty, PATH).count() == 0
