@@ -272,7 +272,7 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str, part_bytes: int)
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", width: int = 10, part_bytes: int = 16 << 20, parts_a_pass: int = 4) -> DataFrame:
     """`row` (struct of the kept input columns, all by default), n_words, spans (merged; byte offsets in the text and word numbers) and items (sorted ids as strings), for each row of docs."""
     keep = docs.columns if keep is None else keep
-    out = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs[text_col].alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(T.ArrayType(SPAN)).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    out = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), docs[text_col].alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(T.ArrayType(SPAN)).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     for k, part in enumerate(_parts(benchmark, item_id, item_text, part_bytes)):

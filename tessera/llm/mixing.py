@@ -54,7 +54,7 @@ def offset(source: Column, seed: int) -> Column:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, seed: int = 7, id_block: int = 4096, payload: bool = False) -> DataFrame:
     """id, source, size, source_size, target, copies; with payload also `row`, the struct of all input columns."""
-    extra = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if payload else []
+    extra = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if payload else []
     base = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), count_words(docs[text_col]).alias("size"), *extra)
     base = materialize(base, "sizes")  # texts are cut into words once
     slim = base.select("id", "source", "size").withColumn("block", F.floor(F.col("id") / id_block))

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tessera.functions.shared import materialize
 
 SYMBOLS = r"[#*$%&|<>]+"
-#: A line with a word.
-LINE = r"[^\n]*[^\x20\x09-\x0D][^\n]*"
+#: A line with a word. It begins at a line's start only and gives back no blanks, so long runs of blanks cost their length once.
+LINE = r"(?<![^\n])[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D][^\n]*"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -119,6 +119,8 @@ def share_of_lines(m: Measures, ends: Callable[[Column], Column], num: int, den:
 BULLETS, DOTS = ("-", "*", "•"), ("...", "…")
 #: Words with a letter.
 LETTERED = r"[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*"
+#: As many matches as LETTERED has, each of a word up to its first letter: linear in long words without any.
+FIRST_LETTER = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]*+\p{L}"
 BASE = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
 #: The base as rules of their own, for cascades without finished counts.
 BASE_RULES = (Rule("few_words", lambda m: m.n_words < 50, "n_words < 50"), Rule("mostly_repeated", lambda m: 100 * m.n_repeat_words > 50 * m.n_words, "100 * n_repeat_words > 50 * n_words"))
@@ -130,7 +132,7 @@ RULES = (
     Rule("repetition", lambda m: 100 * m.n_repeat_words > 30 * m.n_words, "100 * n_repeat_words > 30 * n_words", covers="mostly_repeated"),
     Rule("bullets", lambda m: share_of_lines(m, lambda x: _any(F.startswith, F.ltrim(x), BULLETS), 9, 10), "10 * len(list_filter(lines, lambda x: " + " OR ".join(f"starts_with(ltrim(x, ' '), '{b}')" for b in BULLETS) + ")) > 9 * len(lines)"),
     Rule("teasers", lambda m: share_of_lines(m, lambda x: _any(F.endswith, F.rtrim(x), DOTS), 3, 10), "10 * len(list_filter(lines, lambda x: " + " OR ".join(f"ends_with(rtrim(x, ' '), '{d}')" for d in DOTS) + ")) > 3 * len(lines)"),
-    Rule("figures", lambda m: 10 * F.regexp_count(m.text, F.lit(LETTERED)) < 7 * m.n_words, f"10 * len(regexp_extract_all(t, '{LETTERED}')) < 7 * n_words"),
+    Rule("figures", lambda m: 10 * F.regexp_count(m.text, F.lit(FIRST_LETTER)) < 7 * m.n_words, f"10 * len(regexp_extract_all(t, '{LETTERED}')) < 7 * n_words"),
 )
 
 

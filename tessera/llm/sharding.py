@@ -133,7 +133,7 @@ def cut_share(dealt: DataFrame) -> DataFrame:
 def with_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", name: str = "shard") -> DataFrame:
     """docs with a shard column. Rows find their shard by id and text; of rows equal in both, each shard takes as many as it was dealt."""
     key = lambda i: F.struct(i.alias("i"), F.col("grp").alias("g")).alias("key")
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), F.substring(F.sha2(docs[text_col], 256), 1, 32).alias("grp")).select("row", key(F.col("id")))
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), F.substring(F.sha2(docs[text_col], 256), 1, 32).alias("grp")).select("row", key(F.col("id")))
     left = own.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
     dealt = assign_shards(docs, shards, id_col, text_col, groups=True).select(key(F.col("id")), "shard").groupBy("key", "shard").agg(F.count("*").alias("n"))
     upto = dealt.withColumn("upto", F.sum("n").over(Window.partitionBy("key").orderBy("shard")))

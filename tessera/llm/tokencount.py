@@ -166,7 +166,7 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], text_col:
         raise ValueError("vocabulary too large to send to every task")
     small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
-    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs[text_col].alias("text"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), docs[text_col].alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = rows.select("row", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("score")).schema
     return rows.mapInArrow(lambda b: _count(b, shared.value, byte_fallback, cache_words, keep_blanks), schema)

@@ -124,7 +124,7 @@ def _probe(frames: Iterator[pd.DataFrame], array: DigestArray) -> Iterator[pd.Da
 def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url_col: str = "url", keep: list[str] | None = None, default: str = "allow", part_bytes: int = 16 << 20, parts_a_pass: int = 4) -> DataFrame:
     """Kept input columns, host, path, rule (null without one) and verdict. rules: (host, path, allow or block)."""
     keep = pages.columns if keep is None else keep
-    out = pages.select(F.struct(*[pages[c] for c in keep]).alias("row"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(-1).cast("long").alias("strength"))
+    out = pages.select(F.struct(*[pages[f"`{c}`"] for c in keep]).alias("row"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(-1).cast("long").alias("strength"))
     slim = out.schema
     sc = pages.sparkSession.sparkContext
     for k, part in enumerate(_parts(rules, part_bytes)):

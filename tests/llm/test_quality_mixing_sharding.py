@@ -160,3 +160,35 @@ def test_surplus_moves_as_whole_groups(spark):
     got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 8).selectExpr("CAST(id AS BIGINT) DIV 4 AS grp", "shard")
     cut = sharding.cut_share(got).first()
     assert cut.linked == 800 and cut.cut <= 2 * 8 * 2  # a group or two a shard in part
+
+
+def test_long_runs_are_linear(spark):
+    """A megabyte of blanks, of one word without letters, and of blank lines: a pattern that backtracks would not end."""
+    import time
+
+    texts = [" " * 1_000_000, "7" * 1_000_000, " \n" * 500_000, "7 " * 500_000 + "a", " " * 500_000 + "a" + "\t" * 500_000, "x" * 1_000_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = {r.row.doc_id: (r.n_words, r.word_chars, r.n_dup_lines, r.kept) for r in quality.judge(df).collect()}
+    assert got == {0: (0, 0, 0, False), 1: (1, 1_000_000, 0, False), 2: (0, 0, 0, False), 3: (500_001, 500_001, 0, False), 4: (1, 1, 0, False), 5: (1, 1_000_000, 0, False)}
+    assert quality.select_kept(df).count() == 0 and time.time() - began < 60
+
+
+def test_line_and_letter_patterns(spark):
+    r = random.Random(12)
+    texts = ["".join(r.choice("a7é \n\t\r-ß日 ") for _ in range(r.randint(0, 30))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", F.regexp_extract_all("t", F.lit(quality.LINE), 0).alias("l"), F.regexp_count("t", F.lit(quality.FIRST_LETTER)).alias("n"), F.regexp_count("t", F.lit(quality.LETTERED)).alias("m")).collect()
+    blank = " \t\n\x0b\x0c\r"
+    assert {x.i: x.l for x in got} == {i: [y for y in t.split("\n") if y.strip(blank)] for i, t in enumerate(texts)} and all(x.n == x.m for x in got)
+
+
+def test_column_names_with_dots(spark):
+    """Operators that carry rows along take columns of any name."""
+    from tessera.llm import contamination, tokencount, urlfilter
+
+    df = spark.createDataFrame([(1, "one two", "s", "http://a.net/", 5), (2, None, None, None, 6)], "doc_id long, text string, source string, url string, `a.b` int")
+    outs = [mixing.mix(df, payload=True), sharding.with_shards(df, 2), contamination.find_contamination(df, df.select(df["doc_id"].alias("item_id"), "text")), tokencount.count_tokens(df, [("\u2581one", -1.0)]), urlfilter.filter_urls(df, [("net", "/", "block")])]
+    for out in outs:
+        rows = out.collect()
+        assert sorted((r.row if "row" in out.columns else r)["a.b"] for r in rows) == [5, 6]
