@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera import model
 from tessera.operators import aggregate as A
 from tessera.operators import diff as D
+from tessera.operators import intervals as I
 from tessera.operators import project as P
 from tessera.operators import review as R
 from tessera.operators import reports as Q
@@ -498,13 +499,13 @@ def _spans(spark, sf) -> DataFrame:
 @query(f"SELECT file, point, node FROM (SELECT s.file, p.s_suppkey AS point, node, row_number() OVER (PARTITION BY s.file, p.s_suppkey ORDER BY s_end - s_start, s_start, node) AS k FROM ({_SPANS}) s JOIN supplier p ON s.file = 'c' || s_nationkey AND s_start <= s_suppkey * 7 % 500 AND s_suppkey * 7 % 500 <= s_end) WHERE k = 1")
 def enclosing_symbol(spark, sf):
     points = T.table(spark, sf, "supplier").select(F.concat(F.lit("c"), "s_nationkey").alias("file"), F.col("s_suppkey").alias("point"), (F.col("s_suppkey") * 7 % 500).alias("at"))
-    return R.enclosing(points, _spans(spark, sf))
+    return I.enclosing(points, _spans(spark, sf))
 
 
 @query(f"SELECT s_suppkey AS hunk, node FROM ({_SPANS}) s JOIN supplier ON file = 'c' || s_nationkey AND s_start <= s_suppkey % 500 + 5 AND s_end >= s_suppkey % 500")
 def hunk_overlap(spark, sf):
     hunks = T.table(spark, sf, "supplier").select(F.concat(F.lit("c"), "s_nationkey").alias("file"), F.col("s_suppkey").alias("hunk"), (F.col("s_suppkey") % 500).alias("h_start"), (F.col("s_suppkey") % 500 + 5).alias("h_end"))
-    return R.overlaps(hunks, _spans(spark, sf)).select("hunk", "node")
+    return I.overlaps(hunks, _spans(spark, sf)).select("hunk", "node")
 
 
 # views

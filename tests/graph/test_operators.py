@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import model
-from tessera.operators import aggregate, diff, project, review, search, store, textlines, traverse
+from tessera.operators import aggregate, diff, intervals, project, review, search, store, textlines, traverse
 from tessera.sources import captures
 
 EDGE = "edge_key string, src string, relation string, dst string, origin string, confidence string, resolution string"
@@ -159,9 +159,9 @@ def test_overlay_and_matches(spark):
 def test_intervals(spark):
     spans = spark.createDataFrame([("f", "outer", 1, 50), ("f", "inner", 10, 20), ("g", "other", 1, 5)], "file string, node string, s_start int, s_end int")
     points = spark.createDataFrame([("f", 1, 15), ("f", 2, 30), ("g", 3, 6)], "file string, point int, at int")
-    assert rows(review.enclosing(points, spans)) == [("f", 1, "inner"), ("f", 2, "outer")]
+    assert rows(intervals.enclosing(points, spans)) == [("f", 1, "inner"), ("f", 2, "outer")]
     hunks = spark.createDataFrame([("f", 20, 22)], "file string, h_start int, h_end int")
-    assert [x.node for x in review.overlaps(hunks, spans).orderBy("node").collect()] == ["inner", "outer"]
+    assert [x.node for x in intervals.overlaps(hunks, spans).orderBy("node").collect()] == ["inner", "outer"]
 
 
 def test_debounce(spark):
