@@ -3,24 +3,38 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-# Letters that count as another without their accent.
-ACCENTS, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _accented() -> tuple[str, str]:
+    """Lower-case letters whose full decomposition is a Latin letter and marks, and these letters: Vietnamese, Polish and others with one or more marks. Letters with a stroke (ł, đ) decompose to nothing and stay."""
+    found = {}
+    for c in map(chr, range(0x80, 0x10000)):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and "a" <= base <= "z" and all(unicodedata.combining(m) for m in marks):
+            found[c] = base
+    return "".join(found), "".join(found.values())
+
+
+ACCENTS, PLAIN = _accented()
+#: Marks that follow their letter as characters of their own.
+MARKS = "[\u0300-\u036f]"
 
 
 def compile_query(query: str) -> list[list[str]]:
     """Tokens of letters, digits, `_` and `$`; each is a phrase of the index's words whose last is a prefix. All must match; none gives no result."""
-    joined = re.findall(r"(?:\w|\$)+", query.lower().translate(str.maketrans(ACCENTS, PLAIN)))
+    joined = re.findall(r"(?:\w|\$)+", re.sub(MARKS, "", query.lower()).translate(str.maketrans(ACCENTS, PLAIN)))
     return [p for p in ([w for w in re.split(r"[_$]+", t) if w] for t in joined) if p]
 
 
 def fold(text: Column) -> Column:
     """Lower-case without accents."""
-    return F.translate(F.lower(text), ACCENTS, PLAIN)
+    return F.translate(F.regexp_replace(F.lower(text), MARKS, ""), ACCENTS, PLAIN)
 
 
 def words_of(text: Column) -> Column:

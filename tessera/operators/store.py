@@ -70,7 +70,7 @@ class SnapshotStore:
         snapshot = old["snapshot_id"] if old else (log.agg(F.max("snapshot_id")).first()[0] or 0) + 1
         if not old:
             for name, df in {"nodes": nodes, "edges": edges, **more}.items():
-                df.withColumn("snapshot_id", F.lit(snapshot)).write.partitionBy("snapshot_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.root}/{name}")
+                self._write(name, df.withColumn("snapshot_id", F.lit(snapshot)))
             # what is written is checked, not computed again; without an activation it isn't published
             if not model.dangling(self.read("edges", snapshot, edges.schema), self.read("nodes", snapshot, nodes.schema)).isEmpty():
                 raise ValueError("dangling edges")
@@ -80,6 +80,9 @@ class SnapshotStore:
         self._activate({"activation_id": (now[0] if now else 0) + 1, "snapshot_id": snapshot, "workspace_hash": workspace_hash, "previous": now[1] if now else None})
         return snapshot
 
+    def _write(self, name: str, df: DataFrame) -> None:
+        df.write.partitionBy("snapshot_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.root}/{name}")
+
     def prune(self, snapshot_id: int, pinned: tuple[int, ...] = (), active: tuple[int, ...] = ()) -> None:
         """Drops a snapshot's memberships; the head, pinned ones and those of active tasks are refused. Activation rows stay."""
         if snapshot_id in pinned or (self.head() or (0, None))[1] == snapshot_id:

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import shared_dir
-from tessera.operators import keypaths, refresh, scopes
-from tessera.plans.catalog import ORACLES, query
+from tessera.operators import digests, keypaths, refresh, scopes, search
+from tessera.plans.catalog import H, ORACLES, diffs_sql, graph, query
 from tessera.sources import testdata as T
 from tessera.streaming import feeds, timers
 
@@ -117,3 +117,48 @@ def debounce_stream(spark, sf):
     q = batches.drop("changes").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("user_id long, generation long, start timestamp, end timestamp, n_events long").parquet(f"{at}/out")
+
+
+# digests, comparisons of graphs, folding
+
+_ROW = "sha256(to_json(struct_pack(confidence := confidence, dst := dst, edge_key := edge_key, origin := origin, relation := relation, resolution := resolution, src := src)))"
+
+
+@query(H(f""", r AS (SELECT substr(edge_key, 1, 2) AS prefix, edge_key || ' ' || {_ROW} || ' 1' AS line FROM edges),
+l2 AS (SELECT prefix, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest, count(*) AS n FROM r GROUP BY prefix),
+l1 AS (SELECT substr(prefix, 1, 1) AS prefix, sha256(string_agg(digest, chr(10) ORDER BY prefix)) AS digest, sum(n) AS n FROM l2 GROUP BY substr(l2.prefix, 1, 1)),
+l0 AS (SELECT '' AS prefix, sha256(string_agg(digest, chr(10) ORDER BY prefix)) AS digest, sum(n) AS n FROM l1)
+SELECT prefix, digest, CAST(n AS BIGINT) AS n FROM (FROM l2 UNION ALL FROM l1 UNION ALL FROM l0)"""))
+def content_digests(spark, sf):
+    """The digest tree of the edges, by canonical JSON."""
+    return digests.digest_tree(graph(spark, sf)[1], "edge_key", least=2).where(F.length("prefix") <= 2)
+
+
+_NODE_STATE = ["display_name", "kind", "language", "package"]
+
+
+@query(diffs_sql("""SELECT 'node' AS part, coalesce(nb.node_key, nh.node_key) AS key, CASE WHEN nb.node_key IS NULL THEN 'added' WHEN nh.node_key IS NULL THEN 'removed' ELSE 'metadata_changed' END AS change, NULL AS src, NULL AS relation, NULL AS dst, NULL AS before_origin, NULL AS before_confidence, NULL AS before_resolution, NULL AS after_origin, NULL AS after_confidence, NULL AS after_resolution
+FROM nb FULL JOIN nh ON nb.node_key = nh.node_key WHERE nb.node_key IS NULL OR nh.node_key IS NULL OR (nb.display_name, nb.kind, nb.language, nb.package) IS DISTINCT FROM (nh.display_name, nh.kind, nh.language, nh.package)
+UNION ALL SELECT 'edge', coalesce(b.edge_key, h.edge_key), CASE WHEN b.edge_key IS NULL THEN 'added' WHEN h.edge_key IS NULL THEN 'removed' ELSE 'changed' END, coalesce(b.src, h.src), coalesce(b.relation, h.relation), coalesce(b.dst, h.dst), b.origin, b.confidence, b.resolution, h.origin, h.confidence, h.resolution
+FROM b FULL JOIN h ON b.edge_key = h.edge_key WHERE b.edge_key IS NULL OR h.edge_key IS NULL OR (b.origin, b.confidence, b.resolution) IS DISTINCT FROM (h.origin, h.confidence, h.resolution)"""))
+def live_graph_diff(spark, sf):
+    """The served base against the graph as the tables now give it, nodes and edges."""
+    return digests.graph_diff(graph(spark, sf, T.BASE), (T.nodes(spark, sf), T.edges(spark, sf)), _NODE_STATE)
+
+
+@query(ORACLES["edge_diff"])
+def working_tree_edges(spark, sf):
+    """The base is published, the live graph reconciled with it; the diff reads folders whose digests differ."""
+    at = digests.ContentStore(spark, f"{shared_dir(spark)}/content-{uuid.uuid4().hex}")
+    at.publish_content(*graph(spark, sf, T.BASE), None)
+    return digests.working_tree_changes(at, graph(spark, sf))[2]
+
+
+_MARKED = "translate(coalesce(text, ''), 'aeiouncz', 'ắếịờủńćż')"
+
+
+@query(rf"SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, sha256(array_to_string(w, ' ')) AS words_sha256 FROM (SELECT doc_id, regexp_extract_all(lower(translate(strip_accents(coalesce(text, '')), 'ắếịờủńćż', 'aeiouncz')), '[\p{{L}}\p{{N}}]+') AS w FROM documents)")
+def folded_words(spark, sf):
+    """Every document written with Vietnamese and Polish letters has the words of the plain text."""
+    words = search.words_of(F.expr(_MARKED))
+    return T.table(spark, sf, "documents").select("doc_id", F.size(words).cast("long").alias("n_words"), F.sha2(F.array_join(words, " "), 256).alias("words_sha256"))
