@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import model
@@ -49,6 +49,46 @@ def declarations(files: DataFrame) -> DataFrame:
     return rows.where(F.col("language").isin(*PATTERNS)).select("path", "n", F.explode(found).alias("d")).select("path", "n", "d.kind", "d.name")
 
 
+def register_plugin(spark: SparkSession, name: str, schema: str, plugin: type) -> None:
+    """Makes a plug-in a table function of SQL: `SELECT ... FROM name(TABLE(files) PARTITION BY path)` over path and text.
+
+    A plug-in's read(path, text) yields rows for a file, its end() for the path's files together; rows are
+    dictionaries by the schema's names. What isn't in the schema is a fault, as is a missing column: the call fails
+    and names it. The table may have more columns; they aren't seen. One object serves one path.
+    """
+    from pyspark.sql.functions import AnalyzeResult, udtf
+    from pyspark.sql.types import StructType
+
+    kind = StructType.fromDDL(schema)
+    names = set(kind.names)
+
+    def checked(row: dict) -> tuple:
+        if set(row) != names:
+            raise ValueError(f"the plug-in's row has {sorted(row)}, declared are {sorted(names)}")
+        return tuple(row[n] for n in kind.names)
+
+    class Function:
+        def __init__(self):
+            self.plugin = plugin()
+
+        @staticmethod
+        def analyze(files):
+            have = {} if files.dataType is None else {f.name for f in files.dataType}
+            if not files.isTable or not {"path", "text"} <= set(have):
+                raise ValueError("a plug-in takes a table with path and text")
+            return AnalyzeResult(schema=kind)
+
+        def eval(self, row):
+            for out in self.plugin.read(row["path"], row["text"]):
+                yield checked(out)
+
+        def terminate(self):
+            for out in self.plugin.end():
+                yield checked(out)
+
+    spark.udtf.register(name, udtf(Function))
+
+
 def extracted(files: DataFrame, extractor: Callable[[str, str], Iterator[dict]], schema: str) -> DataFrame:
     """A plug-in over (path, text) of each file yields rows; it runs in the executors, batch by batch."""
     from pyspark.sql.types import _parse_datatype_string

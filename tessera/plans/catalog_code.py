@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import shared_dir
-from tessera.operators import digests, keypaths, refresh, scopes, search
+from tessera.operators import digests, extract, keypaths, refresh, scopes, search, segments
+from tessera.plans import catalog_sources  # noqa: F401  its SQL is asked for here
 from tessera.plans.catalog import H, ORACLES, diffs_sql, graph, query
 from tessera.sources import testdata as T
 from tessera.streaming import feeds, timers
@@ -162,3 +163,43 @@ def folded_words(spark, sf):
     """Every document written with Vietnamese and Polish letters has the words of the plain text."""
     words = search.words_of(F.expr(_MARKED))
     return T.table(spark, sf, "documents").select("doc_id", F.size(words).cast("long").alias("n_words"), F.sha2(F.array_join(words, " "), 256).alias("words_sha256"))
+
+
+# index segments and plug-ins
+
+@query(ORACLES["index_search"])
+def index_repaired(spark, sf):
+    """An index with missing, changed, repeated and foreign rows, after a repair and a merge, finds what a new one does: twenty hits, the limit is the feature."""
+    part = T.table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    wrong = part.where("p_size <> 7").withColumn("p_name", F.when(F.col("p_size") == 3, F.concat("p_name", F.lit(" re wi"))).otherwise(F.col("p_name")))
+    wrong = wrong.union(part.where("p_size = 9")).union(part.where("p_size = 5").withColumn("p_partkey", -F.col("p_partkey")))
+    index = segments.SegmentedIndex.create(wrong, "p_partkey", ["p_name"], f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}")
+    index.repair(part)
+    index.merge()
+    return index.search(part, "re wi", ["p_name"], F.col("p_type") == "ECONOMY", 20)
+
+
+@query("SELECT 'k' || doc_id % 50 AS path, count(*) AS n_files, sum(len(string_split(coalesce(text, ''), chr(10)))) AS n_lines, CAST(max(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS longest FROM documents GROUP BY 1")
+def plugin_table(spark, sf):
+    """A plug-in as a table function, called from SQL: each path's rows come to one call in parts."""
+    extract.register_plugin(spark, "text_sizes", _SIZES, TextSizes)
+    T.table(spark, sf, "documents").select(F.concat(F.lit("k"), F.col("doc_id") % 50).alias("path"), "text").createOrReplaceTempView("plugin_files")
+    return spark.sql("SELECT path, n_files, n_lines, longest FROM text_sizes(TABLE(plugin_files) PARTITION BY path)")
+
+
+_SIZES = "path string, n_files long, n_lines long, longest long"
+
+
+class TextSizes:
+    """A plug-in that sums up the files of a path; it holds three numbers, whatever their number."""
+
+    def __init__(self):
+        self.path, self.files, self.lines, self.longest = None, 0, 0, 0
+
+    def read(self, path, text):
+        text = text or ""
+        self.path, self.files, self.lines, self.longest = path, self.files + 1, self.lines + text.count("\n") + 1, max(self.longest, len(text.encode()))
+        return ()
+
+    def end(self):
+        yield {"path": self.path, "n_files": self.files, "n_lines": self.lines, "longest": self.longest}
