@@ -119,26 +119,34 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary_path: str | No
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated passages: runs of at least OP7_RUN words of repeated sentences go, single common lines stay."""
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents"), unit="sentence", min_run=OP7_RUN)
-    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return out.select(F.col("id").alias("doc_id"), "n_units", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+    """Every later occurrence of a line goes; passages that repeat, which begin and end inside lines, are further columns."""
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"), passage_words=OP7_PASSAGE)
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    size = lambda c: F.size(c).cast("long")
+    kept = F.sha2(F.coalesce("kept", F.lit("")), 256)
+    return out.select(F.col("id").alias("doc_id"), "n_units", size("removed").alias("n_removed"), spans("removed").alias("removed_spans"), kept.alias("kept_sha256"), size("passages").alias("n_passages"), spans("passages").alias("passage_spans"))
 
 
 #: A passage of over 50 words is cut by its ends inside sentences; half of it is asked to be whole ones.
-OP7_RUN = 25
+OP7_PASSAGE = 25
+
+
+def _again(unit: str) -> str:
+    """Units of all texts with their end (`upto`), words (`n`) and whether an equal one stands before."""
+    words = f"regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {SPACED_SQL})"
+    cut = f"SELECT doc_id, unnest(u) AS unit, generate_subscripts(u, 1) AS k FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{linededup.UNITS[unit]}') AS u FROM documents)"
+    placed = f"SELECT *, CAST(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS upto, {words} AS w FROM ({cut})"
+    return f"SELECT doc_id, unit, k, upto, len(w) AS n, len(w) > 0 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, k) > 1 AS again FROM ({placed})"
+
 
 OP7_SQL = rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{linededup.UNITS["sentence"]}') AS u FROM documents),
-l AS (SELECT doc_id, unnest(u) AS unit, generate_subscripts(u, 1) AS k FROM d),
-o AS (SELECT *, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS upto, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {SPACED_SQL}) AS w FROM l),
-r AS (SELECT *, len(w) AS n, len(w) > 0 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, k) > 1 AS again FROM o),
-i AS (SELECT *, sum(CASE WHEN n > 0 AND NOT again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM r),
-g AS (SELECT *, again AND sum(CASE WHEN again THEN n ELSE 0 END) OVER (PARTITION BY doc_id, run) >= {OP7_RUN} AS gone FROM i),
-k AS (SELECT doc_id, count(*) AS n_units, sum(gone::INT) AS n_removed, string_agg(CAST(CAST(upto - length(unit) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(upto AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (gone) AS spans,
-  string_agg(unit, '' ORDER BY k) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
-SELECT doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(spans, '') AS removed_spans, sha256(coalesce(kept, '')) AS kept_sha256
-FROM d LEFT JOIN k USING (doc_id)
+WITH l AS ({_again("line")}),
+k AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (again) AS n_removed, string_agg((upto - length(unit)) || '-' || upto, ',' ORDER BY k) FILTER (again) AS spans, string_agg(unit, '' ORDER BY k) FILTER (NOT again) AS kept FROM l GROUP BY doc_id),
+s AS (SELECT *, sum(CASE WHEN n > 0 AND NOT again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM ({_again("sentence")})),
+r AS (SELECT doc_id, min(upto - length(unit)) AS a, max(upto) AS b FROM s WHERE again GROUP BY doc_id, run HAVING sum(n) >= {OP7_PASSAGE}),
+p AS (SELECT doc_id, count(*) AS n_passages, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(k.spans, '') AS removed_spans, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_passages, 0) AS n_passages, coalesce(p.spans, '') AS passage_spans
+FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN p USING (doc_id)
 """
 
 

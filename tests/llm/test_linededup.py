@@ -65,6 +65,31 @@ def test_against_brute_force(spark, unit, least, run):
     assert linededup.dedup_lines(df.limit(0), unit=unit).count() == 0
 
 
+def test_passages_are_the_runs_of_sentences_beside_lines(spark):
+    r = random.Random(4)
+    pool = [" ".join(r.choice(["a", "B", "ç", "dd", "e"]) for _ in range(r.randint(0, 7))) for _ in range(60)]
+    rows = [(i, "".join(r.choice(pool) + r.choice([".", "?!", ". ", ""]) + r.choice(["\n", "", " "]) for _ in range(r.randint(0, 9)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, " \n" * 2000), (103, "Long one. " * 20_000), (104, "x" * 300_000)]
+    df = spark.createDataFrame([(*x, "k", "r") for x in rows], SCHEMA)
+    got = sorted(linededup.dedup_lines(df, passage_words=12).collect(), key=repr)
+    assert sorted([(x.id, x.n_units, [tuple(y) for y in x.removed], x.kept) for x in got], key=repr) == brute(rows, "line")
+    texts, want = dict(rows), {}
+    for i, n, gone, _ in brute(rows, "sentence", 1, 12):
+        numbers, text = {k for k, _, _ in gone}, texts[i] or ""
+        runs, held, at = [], [], 0
+        for k, u in enumerate(cut(text, "sentence")):
+            if k in numbers:
+                held += [at, at + len(u)]
+            elif u.split():
+                runs, held = runs + [(held[0], held[-1])] if held else runs, []
+            at += len(u)
+        want[i] = runs + [(held[0], held[-1])] if held else runs
+    assert {x.id: [tuple(y) for y in x.passages] for x in got} == want
+    assert sum(map(len, want.values())) > 5
+    with pytest.raises(ValueError, match="min_run"):
+        linededup.dedup_lines(df, unit="sentence", passage_words=12)
+
+
 def test_a_passage_inside_a_line_goes_and_a_common_line_stays(spark):
     passage = "One of these was long enough to be told. The next one follows it at once! And a third sentence ends it all."
     rows = [(1, f"First text here {passage} Own end.\nAll rights reserved."), (2, f"Second {passage} Other end.\nAll rights reserved.")]
