@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import model
-from tessera.operators import aggregate
+from tessera.functions.shared import materialize
+from tessera.operators import aggregate, layout
 from tessera.operators.search import words_of
 from tessera.operators.traverse import reach_from
 
@@ -134,6 +135,17 @@ def relax(seeds: DataFrame, links: DataFrame, by: str, rounds: int = 200, most:
     return moved.unionByName(seeds.join(sizes.where(F.col("n") > most).select(by), by).select(by, "node", "x", "y"))
 
 
+def relax_groups(seeds: DataFrame, links: DataFrame, by: str, rounds: int = 200, most: int = 2000) -> DataFrame:
+    """As relax, and groups over `most` nodes move too: by the same forces, of which far nodes act through cells, as joins (layout.relax_large)."""
+    seeds, links = materialize(seeds, "seeds"), materialize(links.select(by, "a", "b"), "ties")  # both are read for each kind of group
+    big = seeds.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") > most).select(by)
+    if big.isEmpty():
+        return relax(seeds, links, by, rounds, most)
+    big = materialize(big, "big")
+    rest = relax(seeds.join(big, by, "left_anti"), links, by, rounds, most)
+    return rest.unionByName(layout.relax_large(seeds.join(big, by, "left_semi"), links.join(big, by, "left_semi"), by, rounds))
+
+
 def append_seeds(placed: DataFrame, added: DataFrame, by: str) -> DataFrame:
     """Start (x, y) of added nodes (by, node) near the mean (cx, cy) of their group's placed nodes (by, node, x, y), of all placed nodes where the group has none, of the origin where nothing is placed; a hash of the node moves it by up to a half."""
     mean = lambda df: df.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
@@ -145,10 +157,10 @@ def append_seeds(placed: DataFrame, added: DataFrame, by: str) -> DataFrame:
 
 
 def append_layout(placed: DataFrame, added: DataFrame, links: DataFrame, by: str, radius: float = 25.0, rounds: int = 50, most: int = 2000) -> DataFrame:
-    """by, node, x, y of added nodes: they relax among the placed ones, which don't move, and end at most `radius` from their centre. Links are those inside a group; groups over `most` nodes keep the starts."""
+    """by, node, x, y of added nodes: they relax among the placed ones, which don't move, and end at most `radius` from their centre. Links are those inside a group; groups over `most` nodes are relaxed by joins."""
     seeds = append_seeds(placed, added, by)
     every = placed.select(by, "node", "x", "y", F.lit(True).alias("pinned")).unionByName(seeds.select(by, "node", "x", "y", F.lit(False).alias("pinned")))
-    end = relax(every, links, by, rounds, most).withColumnsRenamed({"x": "ex", "y": "ey"})
+    end = relax_groups(every, links, by, rounds, most).withColumnsRenamed({"x": "ex", "y": "ey"})
     far = F.hypot(F.col("ex") - F.col("cx"), F.col("ey") - F.col("cy"))
     share = F.when(far > radius, radius / far).otherwise(1.0)
     return seeds.select(by, "node", "cx", "cy").join(end, [by, "node"]).select(by, "node", (F.col("cx") + (F.col("ex") - F.col("cx")) * share).alias("x"), (F.col("cy") + (F.col("ey") - F.col("cy")) * share).alias("y"))

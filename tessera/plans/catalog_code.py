@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import shared_dir
-from tessera.operators import digests, extract, keypaths, refresh, scopes, search, segments
+from tessera.operators import containment, digests, dispatch, extract, keypaths, refresh, reports, scopes, search, segments
 from tessera.plans import catalog_sources  # noqa: F401  its SQL is asked for here
 from tessera.plans.catalog import H, ORACLES, diffs_sql, graph, query
 from tessera.sources import testdata as T
@@ -203,3 +204,83 @@ class TextSizes:
 
     def end(self):
         yield {"path": self.path, "n_files": self.files, "n_lines": self.lines, "longest": self.longest}
+
+
+# Files of parts lie in 35 folders. Packages pk0 to pk10 hold a quarter of them whatever their folder, `repo` the rest; pk11 and pk12 are empty.
+_TREE = """WITH f AS (SELECT 's' || p_size % 5 || '/b' || p_partkey % 7 || '/f' || p_partkey AS file, CASE WHEN p_partkey % 4 = 0 THEN 'pk' || p_partkey % 11 ELSE 'repo' END AS pk FROM part),
+j AS (SELECT s_suppkey AS id, 's' || s_suppkey % 4 || CASE WHEN s_suppkey % 2 = 0 THEN '/b' || s_suppkey % 7 ELSE '' END AS root, CASE WHEN s_suppkey % 3 = 0 THEN 'pk' || s_suppkey % 13 END AS name FROM supplier UNION ALL SELECT -1, '.', 'none'),
+h AS (SELECT file, pk, max_by(root, CASE WHEN root = '.' THEN 0 ELSE len(string_split(root, '/')) END) AS root FROM f JOIN (SELECT DISTINCT root FROM j) ON root = '.' OR starts_with(file, root || '/') GROUP BY file, pk),
+u AS (SELECT root, arg_min(name, id) FILTER (name IS NOT NULL) AS name FROM j GROUP BY root), e AS (SELECT root, min(file) AS evidence FROM h GROUP BY root),
+o AS (SELECT root, CASE WHEN name IN ('pk11', 'pk12') OR (name IN (SELECT pk FROM h) AND NOT EXISTS (SELECT 1 FROM h WHERE h.pk = u.name AND h.root <> u.root)) THEN name WHEN root = '.' THEN 'repo' END AS owner, name FROM u),
+p AS (SELECT root, coalesce(owner, sha256('node|package|project-root:' || root)) AS package, owner IS NULL AS is_new, CASE WHEN owner IS NULL THEN coalesce(name, string_split(root, '/')[-1]) END AS display_name, evidence FROM o LEFT JOIN e USING (root)),
+t AS (SELECT package, arg_min(root, CASE WHEN root = '.' THEN '0' ELSE len(string_split(root, '/')) || '' END) AS taken FROM p GROUP BY package)"""
+
+
+def _tree(spark, sf):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    file = F.concat(F.lit("s"), size % 5, F.lit("/b"), key % 7, F.lit("/f"), key)
+    parts = T.table(spark, sf, "part").select(file.alias("file"), F.when(key % 4 == 0, F.concat(F.lit("pk"), key % 11)).otherwise("repo").alias("src"))
+    none = F.lit(None).cast("string")
+    named = F.concat(F.lit("pk"), F.col("id").cast("string"))
+    packages = spark.range(13).select(named.alias("node_key"), F.lit("package").alias("kind"), named.alias("qualified_name"), named.alias("display_name"), none.alias("file"))
+    whole = spark.range(1).select(F.lit("repo").alias("node_key"), F.lit("package").alias("kind"), F.lit("repo").alias("qualified_name"), F.lit("repo").alias("display_name"), none.alias("file"))
+    nodes = parts.select(F.col("file").alias("node_key"), F.lit("file").alias("kind"), F.col("file").alias("qualified_name"), F.col("file").alias("display_name"), "file").unionByName(packages).unionByName(whole)
+    edges = parts.select(F.concat("src", F.lit(">"), "file").alias("edge_key"), "src", F.lit("contains").alias("relation"), F.col("file").alias("dst"))
+    s = F.col("s_suppkey")
+    root = F.concat(F.lit("s"), s % 4, F.when(s % 2 == 0, F.concat(F.lit("/b"), s % 7)).otherwise(""))
+    projects = T.table(spark, sf, "supplier").select(s.cast("long").alias("project_id"), root.alias("root"), F.when(s % 3 == 0, F.concat(F.lit("pk"), s % 13)).alias("name"))
+    projects = projects.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("project_id"), F.lit(".").alias("root"), F.lit("none").alias("name")))
+    return nodes, edges, projects.select("*", none.alias("manifest"), F.array(F.lit("go")).alias("languages"))
+
+
+@query(_TREE + " SELECT root, package, is_new, display_name, evidence FROM p")
+def project_root_packages(spark, sf):
+    """Each project root's package: a named one that holds no other root's file, the repository's, or a new one."""
+    nodes, edges, projects = _tree(spark, sf)
+    return containment.project_packages(nodes, edges, projects, "repo")[0].select("root", "package", "is_new", "display_name", "evidence")
+
+
+@query(_TREE + """, c AS (SELECT file, pk, h.root, p.package, p.evidence, taken, taken IS NOT NULL AND taken <> h.root AND (taken = '.' OR starts_with(h.root, taken || '/')) AS broader FROM h JOIN p USING (root) LEFT JOIN t ON t.package = pk),
+a AS (SELECT package AS src, CASE WHEN taken IS NULL THEN pk ELSE file END AS dst, evidence FROM c WHERE taken IS NULL OR broader OR (pk <> package AND taken IS NOT NULL)
+  UNION SELECT (SELECT arg_max(q.package, CASE WHEN q.root = '.' THEN 0 ELSE len(string_split(q.root, '/')) END) FROM p AS q WHERE q.root <> p.root AND (q.root = '.' OR starts_with(p.root, q.root || '/'))), package, evidence FROM p WHERE root <> '.')
+SELECT pk || '>' || file AS edge_key, pk AS src, file AS dst, NULL AS evidence, 'removed' AS change FROM c WHERE broader
+UNION ALL SELECT sha256('edge|' || src || '|contains|' || dst), src, dst, min(evidence), 'added' FROM a WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM f WHERE f.pk = a.src AND f.file = a.dst) GROUP BY src, dst""")
+def project_root_changes(spark, sf):
+    """Edges from roots to files, packages and nested roots that are added, and the broader owners' that go."""
+    nodes, edges, projects = _tree(spark, sf)
+    return containment.containment_changes(nodes, edges, *containment.project_packages(nodes, edges, projects, "repo"))
+
+
+@query("""WITH d AS (SELECT 'p' || p_partkey AS symbol, 'n' || p_partkey % 700 AS name, CASE WHEN p_partkey % 9 > 0 THEN p_partkey % 3 END AS lo, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 3 + p_size % 2 ELSE 99 END AS hi FROM part WHERE p_partkey % 5 > 0
+  UNION ALL SELECT 'p' || p_partkey, 'n' || p_partkey % 700, 3, 3 FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 5 > 0)
+SELECT l_orderkey * 10 + l_linenumber AS call, 'c' || l_suppkey AS caller, 'n' || l_partkey % 900 AS name, l_linenumber % 5 AS n_args, CASE WHEN n = 1 THEN only_ END AS target, coalesce(n, 0) AS n_candidates, CASE WHEN n = 1 THEN 'heuristic' END AS origin, CASE WHEN n = 1 THEN 'likely' END AS confidence, CASE WHEN n = 1 THEN 'partial' ELSE 'unresolved' END AS resolution
+FROM lineitem LEFT JOIN (SELECT name, k, count(DISTINCT symbol) AS n, min(symbol) AS only_ FROM d JOIN (SELECT unnest(range(5)) AS k) ON lo IS NULL OR k BETWEEN lo AND hi GROUP BY name, k) AS x ON x.name = 'n' || l_partkey % 900 AND x.k = l_linenumber % 5""")
+def calls_by_arity(spark, sf):
+    """Every line calls a name with some arguments; parts are its overloaded candidates."""
+    key = F.col("p_partkey")
+    part = T.table(spark, sf, "part").withColumn("kind", F.get(F.array(*[F.lit(k) for k in ("class", "method", "function", "method", "function")]), (key % 5).cast("int")))
+    own = part.select(F.concat(F.lit("p"), key).alias("symbol"), "kind", F.concat(F.lit("n"), key % 700).alias("name"), F.when(key % 9 > 0, key % 3).alias("min_args"), F.when(key % 4 > 0, key % 3 + F.col("p_size") % 2).alias("max_args"))
+    more = part.where(key % 2 == 0).select(F.concat(F.lit("p"), key).alias("symbol"), "kind", F.concat(F.lit("n"), key % 700).alias("name"), F.lit(3).alias("min_args"), F.lit(3).alias("max_args"))
+    calls = T.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call"), F.concat(F.lit("c"), "l_suppkey").alias("caller"), F.concat(F.lit("n"), F.col("l_partkey") % 900).alias("name"), (F.col("l_linenumber") % 5).alias("n_args"))
+    return dispatch.calls_by_arity(calls, own.unionByName(more))
+
+
+@query("""WITH c AS (SELECT 'f' || o_custkey % 50 AS file, 'c' || o_orderkey % 97 AS caller, 'handlers[' || o_orderpriority || ']' AS label, CAST(o_orderkey % 300 AS BIGINT) AS line FROM orders)
+SELECT sha256('file|' || file) AS src, 'contains' AS relation, sha256('node|unresolved|' || file || '::<unresolved ' || label || '>') AS dst, 'compiler' AS origin, 'certain' AS confidence, 'resolved' AS resolution, CAST(1 AS BIGINT) AS n_sites, min(line) AS line FROM c GROUP BY file, label
+UNION ALL SELECT caller, 'calls', sha256('node|unresolved|' || file || '::<unresolved ' || label || '>'), 'heuristic', 'inferred', 'unresolved', count(*), min(line) FROM c GROUP BY caller, file, label""")
+def computed_calls(spark, sf):
+    """Every order is a call of a computed member: nodes that stand for what isn't known, with their edges."""
+    o = T.table(spark, sf, "orders").select(F.concat(F.lit("f"), F.col("o_custkey") % 50).alias("file"), F.concat(F.lit("c"), F.col("o_orderkey") % 97).alias("caller"), F.concat(F.lit("handlers["), "o_orderpriority", F.lit("]")).alias("label"), (F.col("o_orderkey") % 300).cast("long").alias("line"))
+    return dispatch.unresolved_edges(o, dispatch.unresolved_nodes(o))
+
+
+@query()
+def layout_by_cells(spark, sf):
+    """A group per order priority and one of all orders, linked to the customer's next order, after five rounds. Iterated sums of doubles have no SQL; tests hold them against all pairs."""
+    key = F.col("o_orderkey")
+    o = T.table(spark, sf, "orders").select(key.alias("node"), "o_custkey", F.explode(F.array(F.lit("all"), F.col("o_orderpriority"))).alias("level"))
+    part = lambda at: F.conv(F.substring(F.sha2(F.col("node").cast("string"), 256), at, 8), 16, 10).cast("double") / float(1 << 32) * 200 - 100
+    seeds = o.select("level", "node", part(1).alias("x"), part(9).alias("y"))
+    after = F.lead("node").over(Window.partitionBy("level", "o_custkey").orderBy("node"))
+    links = o.select("level", F.col("node").alias("a"), after.alias("b")).where("b IS NOT NULL")
+    return reports.relax_groups(seeds, links, "level", rounds=5).select("level", "node", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
