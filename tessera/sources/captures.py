@@ -40,7 +40,7 @@ def scan(files: DataFrame, ignored: list[str] = (), most_bytes: int = MOST_BYTES
             rule = rule | F.endswith("path", F.lit(r[1:]))
         else:
             rule = rule | (F.col("path") == r)
-    reason = F.when(inside, "excluded").when(rule, "ignored").when(F.col("size") > most_bytes, "too_large").when(F.instr(F.hex("content"), "00") > 0, F.when(F.exists(F.sequence(F.lit(1), F.greatest(F.octet_length("content"), F.lit(1))), lambda i: F.substring("content", i, F.lit(1)) == F.lit(b"\x00")), "binary"))
+    reason = F.when(inside, "excluded").when(rule, "ignored").when(F.col("size") > most_bytes, "too_large").when(F.contains("content", F.lit(b"\0")), "binary")
     return files.select("path", reason.alias("reason"), F.sha2("content", 256).alias("hash"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions.shared import shared_dir
-from tessera.operators.store import SnapshotStore
+from tessera.operators.store import Conflict, SnapshotStore
 
 BASE, HEAD = "base", "head"
 #: Orders of a snapshot: base ends before 2001, head starts in 1996.
@@ -80,23 +80,36 @@ def edges(spark: SparkSession, sf_dir: str, snapshot: str = HEAD) -> DataFrame:
     return every.select(model.edge_key(F.col("src"), F.col("relation"), F.col("dst")).alias("edge_key"), *every.columns)
 
 
-_STORES: dict[tuple[str, str], SnapshotStore] = {}
+_STORES: dict[tuple[str, str, str], SnapshotStore] = {}
+_READ = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of the input files' names, lengths and times; their content isn't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{sf_dir}/{t}.parquet" for t in _READ])
+    mark = F.xxhash64("path", "length", "modificationTime")
+    n, total = files.agg(F.count("*"), F.sum(mark.cast("decimal(20,0)"))).first()
+    return f"{n}:{total}"
 
 
 def published(spark: SparkSession, sf_dir: str, snapshot: str = HEAD) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a snapshot as a session's store has them; the first to ask publishes it, with its files."""
-    name = spark.sparkContext.applicationId, sf_dir
-    if name not in _STORES:
-        _STORES[name] = SnapshotStore(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}")
-    store = _STORES[name]
-    log = {r["workspace_hash"]: r for r in store.activations().collect()}  # a row a snapshot
-    if snapshot not in log:
+    """Nodes and edges of a snapshot as a session's store has them; the first to ask publishes it, with its files. Changed input files have a store of their own."""
+    name = spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir)
+    store = _STORES.setdefault(name, SnapshotStore(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"))
+    while True:
+        log = {r["workspace_hash"]: r for r in store.activations().collect()}  # a row a snapshot
+        if snapshot in log:
+            found = log[snapshot]["snapshot_id"]
+            break
         n, e = nodes(spark, sf_dir, snapshot), edges(spark, sf_dir, snapshot)
         files = n.where("kind = 'file'").select(F.col("file").alias("path"), "package", "language")
         head = store.head()
-        found = store.publish(n, e, snapshot, head[0] if head else None, files=files)
-    else:
-        found = log[snapshot]["snapshot_id"]
+        try:
+            found = store.publish(n, e, snapshot, head[0] if head else None, files=files)
+            break
+        except Conflict:
+            if store.activations().count() == len(log):
+                raise  # no other has published meanwhile
     return store.read("nodes", found), store.read("edges", found)
 
 

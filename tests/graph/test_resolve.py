@@ -78,3 +78,17 @@ def test_region_faults_of_a_sound_replacement(spark):
     f = spark.createDataFrame([("a", "go"), ("b", "go")], "path string, language string")
     n = spark.createDataFrame([("k", "method", "a")], "node_key string, kind string, file string")
     assert store.region_faults(f, f.where("path = 'a'"), f.where("path = 'a'").select("path"), n, n).count() == 0
+
+
+def test_changed_inputs_are_published_anew(spark, tmp_path):
+    from tessera.sources import testdata
+
+    for name in testdata._READ:
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    before = testdata.published(spark, str(tmp_path))[0].where("kind = 'function'").count()
+    stores = len(testdata._STORES)
+    testdata.published(spark, str(tmp_path))
+    assert len(testdata._STORES) == stores
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").limit(5).withColumn("p_partkey", F.col("p_partkey") + 10**6).write.mode("append").parquet(f"{tmp_path}/part.parquet")
+    assert testdata.published(spark, str(tmp_path))[0].where("kind = 'function'").count() == before + 5
+    assert len(testdata._STORES) == stores + 1
