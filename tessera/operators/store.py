@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera import model
+from tessera.functions.shared import materialize
 from tessera.sources.captures import normalized
 
 FRESHNESS = "CASE WHEN live_hash IS NULL AND stored_hash IS NULL THEN 'unknown' WHEN live_hash IS NULL THEN 'stale' WHEN stored_hash IS NULL THEN 'unknown' WHEN live_hash = stored_hash THEN 'fresh' ELSE 'stale' END"
@@ -194,3 +195,35 @@ def merge_region(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_e
     used = best.select(F.col("src").alias("node_key")).union(best.select("dst")).distinct()
     external = merged.where("kind = 'external_dep'").join(used, "node_key", "left_anti").select("node_key")
     return merged.join(external, "node_key", "left_anti"), best
+
+
+class UnsafeMerge(ValueError):
+    """A region can't be replaced by itself: a full build is needed."""
+
+
+def replace_region(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, new_evidence: DataFrame, invalidated: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and evidence of a snapshot with a region (invalidated: path) replaced, or UnsafeMerge where that isn't safe.
+
+    An edge goes with its source's file, and when any of its evidence (edge_key, file and more columns) is of an
+    invalidated file, whatever file its source is in. A new node that is still there by its key stays as it was.
+    The replacement must have the region's files, languages and declarations (region_faults), and every end of
+    a merged edge must be a node. Evidence of edges that are gone goes too. An empty region is not safe either.
+    """
+    paths = materialize(invalidated.select("path"), "invalidated")
+    if paths.isEmpty():
+        raise UnsafeMerge("no file is invalidated")
+    captured = lambda df: df.where("kind = 'file'").select(F.col("file").alias("path"), "language")
+    faults = region_faults(captured(nodes), captured(new_nodes), paths, nodes, new_nodes).limit(5).collect()
+    if faults:
+        raise UnsafeMerge("; ".join(f"{r['fault']}: {r['key']}" for r in faults))
+    files = paths.select(F.col("path").alias("file"))
+    stale = evidence.join(files, "file", "left_semi").select("edge_key").distinct()
+    kept = nodes.join(files, "file", "left_anti").select("node_key")
+    merged, best = merge_region(nodes, edges.join(stale, "edge_key", "left_anti"), new_nodes.join(kept, "node_key", "left_anti"), new_edges, files)
+    merged, best = materialize(merged, "merged-nodes"), materialize(best, "merged-edges")
+    loose = model.dangling(best, merged).select("edge_key").limit(5).collect()
+    if loose:
+        raise UnsafeMerge("ends outside the merged nodes: " + ", ".join(r["edge_key"] for r in loose))
+    old = evidence.join(files, "file", "left_anti").join(stale, "edge_key", "left_anti")
+    proof = old.unionByName(new_evidence.select(*evidence.columns)).distinct().join(best.select("edge_key"), "edge_key", "left_semi")
+    return merged, best, proof

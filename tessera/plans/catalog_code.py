@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import shared_dir
-from tessera.operators import containment, digests, dispatch, extract, keypaths, refresh, reports, scopes, search, segments
+from tessera.operators import containment, digests, dispatch, extract, keypaths, refresh, reports, scopes, search, segments, store
 from tessera.plans import catalog_sources  # noqa: F401  its SQL is asked for here
 from tessera.plans.catalog import H, ORACLES, diffs_sql, graph, query
 from tessera.sources import testdata as T
@@ -284,3 +284,16 @@ def layout_by_cells(spark, sf):
     after = F.lead("node").over(Window.partitionBy("level", "o_custkey").orderBy("node"))
     links = o.select("level", F.col("node").alias("a"), after.alias("b")).where("b IS NOT NULL")
     return reports.relax_groups(seeds, links, "level", rounds=5).select("level", "node", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(H(""", k AS (SELECT *, relation <> 'imports' OR confidence = 'certain' AS stays FROM edges)
+SELECT relation, count(*) FILTER (stays) AS n_edges, CAST(coalesce(sum(2) FILTER (stays AND relation = 'imports'), 0) + count(*) FILTER (stays AND relation <> 'imports') AS BIGINT) AS n_evidence FROM k GROUP BY relation HAVING count(*) FILTER (stays) > 0"""))
+def region_replaced(spark, sf):
+    """All supplier files come again, and of the imports whose evidence is in them the certain ones; every edge has its source as evidence, imports also their target's file."""
+    n, e = graph(spark, sf)
+    own = n.where("language = 'SUPPLY'")
+    proof = lambda df: df.select("edge_key", F.concat(F.lit("of "), "src").alias("file")).unionByName(df.where("relation = 'imports'").join(own.select(F.col("node_key").alias("dst"), "file"), "dst").select("edge_key", "file"))
+    again = e.where("relation = 'imports' AND confidence = 'certain'")
+    _, edges, evidence = store.replace_region(n, e, proof(e), own, again, proof(again), own.select(F.col("file").alias("path")))
+    n_proofs = evidence.join(edges.select("edge_key", "relation"), "edge_key").groupBy("relation").agg(F.count("*").alias("n_evidence"))
+    return edges.groupBy("relation").agg(F.count("*").alias("n_edges")).join(n_proofs, "relation")
