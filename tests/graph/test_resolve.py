@@ -92,3 +92,24 @@ def test_changed_inputs_are_published_anew(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/part.parquet").limit(5).withColumn("p_partkey", F.col("p_partkey") + 10**6).write.mode("append").parquet(f"{tmp_path}/part.parquet")
     assert testdata.published(spark, str(tmp_path))[0].where("kind = 'function'").count() == before + 5
     assert len(testdata._STORES) == stores + 1
+
+
+def test_edges_are_shuffled_and_stored_without_digests(spark, tmp_path):
+    from tessera import model
+    from tessera.operators import store
+    from tessera.sources import testdata
+
+    plan = testdata.edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(src" not in plan and "hashpartitioning(dst" not in plan
+    n = spark.createDataFrame([("file", "a|b"), ("test", "t")], "kind string, qualified_name string")
+    n = n.select(model.node_key(F.col("kind"), F.col("qualified_name")).alias("node_key"), "*")
+    e = spark.createDataFrame([("test", "t", "tests", "file", "a|b", "human")], "src_kind string, src_name string, relation string, dst_kind string, dst_name string, origin string")
+    s = store.NamedStore(spark, str(tmp_path / "named"))
+    assert s.publish(n, e, "A", None) == 1
+    assert "src" not in spark.read.parquet(f"{tmp_path}/named/edges").columns
+    keys = {x.kind: x.node_key for x in s.read("nodes", 1).collect()}
+    got = s.read("edges", 1).first()
+    assert (got.src, got.dst, got.relation, got.origin) == (keys["test"], keys["file"], "tests", "human")
+    assert s.read("edges", 1).where(F.col("edge_key") == model.edge_key(F.col("src"), F.col("relation"), F.col("dst"))).count() == 1
+    with pytest.raises(ValueError, match="dangling"):
+        s.publish(n.where("kind = 'file'"), e, "B", 1)
