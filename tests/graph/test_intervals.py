@@ -41,3 +41,12 @@ def test_one_file_with_many_nested_spans_is_linear(spark):
     got = intervals.enclosing(points, deep.union(small))
     assert got.count() == n and got.where("node >= 100000").count() == n // 2 and got.where("node < 100000").agg(F.min("node"), F.max("node")).first()[:] == (n // 2 - 1, n // 2 - 1)
     assert time.time() - began < 90
+
+
+def test_span_ends_are_rounded_as_the_sql_casts(spark, tmp_path):
+    """A balance of 2.5 is 2 in SQL's cast and 3.5 is 4."""
+    from tessera.plans import catalog
+
+    rows = [(1, 7, 2.5), (2, 7, 3.5), (3, 7, -0.5), (4, 7, 2.4)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    assert {x.node: x.s_end for x in catalog._spans(spark, str(tmp_path)).collect()} == {1: 43, 2: 46, 3: 43, 4: 46}
