@@ -2,14 +2,17 @@
 
 A row's digest is that of its canonical JSON: all columns, nulls included, by name. Rows are dealt out by the first
 hexadecimal digits of their key; a leaf's digest is that of its rows' digests in order, an inner node's that of its
-children's. The number of digits follows from the number of rows, so a leaf stays small and equal sets have equal
-trees. Two snapshots are compared from the root down: where digests agree, rows are the same and aren't read.
+children's. The number of digits follows from the number of rows unless it is given, so a leaf stays small and equal
+sets have equal trees. Two snapshots are compared from the root down: where digests agree, rows are the same and aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -34,21 +37,51 @@ def digits_for(n: int) -> int:
     return digits
 
 
-def _summed(parts: DataFrame, by: str, order: str) -> DataFrame:
-    lines = F.transform(F.sort_array(F.collect_list(F.struct(order, "digest"))), lambda x: x["digest"])
-    return parts.groupBy(F.col(by).alias("prefix")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"), F.sum("n").alias("n"))
-
-
-def digest_tree(rows: DataFrame, key: str, columns: list[str] | None = None, least: int = 1) -> DataFrame:
-    """prefix, digest, n of every node that has rows; the root's prefix is empty. Keys are hexadecimal digests; leaves have `least` digits or more. Repeated rows count each; an empty set has no rows."""
-    digits = max(least, digits_for(rows.count()))
-    own = rows.select(F.col(key).alias("_key"), F.sha2(canonical(columns or rows.columns), 256).alias("digest")).groupBy("_key", "digest").agg(F.count("*").alias("n"))
+def _summed(parts: DataFrame, digits: int) -> DataFrame:
+    """The nodes above, of `digits` digits; each has at most 16 children."""
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("prefix", "digest"))), lambda x: x["digest"])
+    return parts.groupBy(F.substring("prefix", 1, digits).alias("prefix")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"), F.sum("n").alias("n"))
+
+
+def _line_digests(batches):
+    """leaf, line, n in order of leaf and line -> prefix, digest, n. A leaf's lines go by and are never held together."""
+    leaf, sha, n = None, None, 0
+    for batch in batches:
+        leaves, lines, counts = (batch.column(c) for c in ("leaf", "line", "n"))
+        names, done = leaves.to_numpy(zero_copy_only=False), []
+        cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+        for begin, end in zip(cuts, cuts[1:]):
+            if begin == end:
+                continue
+            if sha is None or names[begin] != leaf:
+                if sha is not None:
+                    done.append((leaf, sha.hexdigest(), n))
+                leaf, sha, n = names[begin], hashlib.sha256(), 0
+            else:
+                sha.update(b"\n")
+            sha.update("\n".join(lines.slice(begin, end - begin).to_pylist()).encode())
+            n += pc.sum(counts.slice(begin, end - begin)).as_py()
+        if done:
+            yield _leaf_batch(done)
+    if sha is not None:
+        yield _leaf_batch([(leaf, sha.hexdigest(), n)])
+
+
+def _leaf_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"prefix": p, "digest": d, "n": n} for p, d, n in rows], schema=pa.schema([("prefix", pa.string()), ("digest", pa.string()), ("n", pa.int64())]))
+
+
+def digest_tree(rows: DataFrame, key: str, columns: list[str] | None = None, least: int = 1, digits: int | None = None) -> DataFrame:
+    """prefix, digest, n of every node that has rows; the root's prefix is empty. Keys are hexadecimal digests; leaves have `digits` digits or, where the number of rows decides, `least` or more. Repeated rows count each; an empty set has no rows."""
+    digits = digits or max(least, digits_for(rows.count()))
+    own = rows.select(F.substring(key, 1, digits).alias("leaf"), F.col(key).alias("_key"), F.unhex(F.sha2(canonical(columns or rows.columns), 256)).alias("digest")).repartition("leaf")
     # a row that stands n times is one line with its number, so that copies don't fill a leaf
-    own = own.select(F.substring("_key", 1, digits).alias("leaf"), F.concat_ws(" ", "_key", "digest", F.col("n").cast("string")).alias("digest"), "n")
-    level = materialize(_summed(own.withColumn("order", F.col("digest")), "leaf", "order"), "leaves")
+    own = own.groupBy("leaf", "_key", "digest").agg(F.count("*").alias("n")).sortWithinPartitions("leaf", "_key", "digest")
+    lines = own.select("leaf", F.concat_ws(" ", "_key", F.lower(F.hex("digest")), F.col("n").cast("string")).alias("line"), "n")
+    level = materialize(lines.mapInArrow(_line_digests, "prefix string, digest string, n long"), "leaves")
     tree = level
     for d in range(digits - 1, -1, -1):
-        level = _summed(level.withColumn("up", F.substring("prefix", 1, d)).withColumn("order", F.col("prefix")), "up", "order")
+        level = _summed(level, d)
         tree = tree.unionByName(level)
     return tree
 

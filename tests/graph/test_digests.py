@@ -1,3 +1,4 @@
+import hashlib
 import random
 import uuid
 
@@ -35,6 +36,20 @@ def test_trees_follow_content(spark, monkeypatch):
     assert [x.prefix for x in digests.changed_prefixes(a, b, 2).collect()] == [key[:2]]
 
 
+def test_given_digits_hash_rows_whatever_their_number(spark, monkeypatch):
+    monkeypatch.setattr(digests, "LEAF", 4)
+    rows = [(hashlib.sha256(str(i).encode()).hexdigest(), f"v{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows + rows[:9], "k string, v string").repartition(5)
+    got = {x.prefix: (x.digest, x.n) for x in digests.digest_tree(df, "k", digits=1).collect()}
+    lines = {}
+    for i, (k, v) in enumerate(rows):
+        own = hashlib.sha256(f'{{"k":"{k}","v":"{v}"}}'.encode()).hexdigest()
+        lines.setdefault(k[0], []).append((f"{k} {own} {2 if i < 9 else 1}", 2 if i < 9 else 1))
+    want = {p: (hashlib.sha256("\n".join(sorted(x for x, _ in own)).encode()).hexdigest(), sum(n for _, n in own)) for p, own in lines.items()}
+    want[""] = hashlib.sha256("\n".join(want[p][0] for p in sorted(want)).encode()).hexdigest(), 3009
+    assert got == want
+
+
 class Coarse(digests.ContentStore):
     DIGITS = 1
 
