@@ -135,7 +135,7 @@ class ContentStore(SnapshotStore):
         by = ["snapshot_id", "bucket"] if name in self.KEYS else ["snapshot_id"]
         # one task a folder, so that a snapshot has a file a folder and not one a task and folder
         out = df.repartition(*by) if name in self.KEYS else df
-        out.write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.root}/{name}")
+        out.write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(f"{self.root}/{name}")
 
     def tree(self, snapshot_id: int, table: str) -> DataFrame:
         return self.read("digests", snapshot_id).where(F.col("table") == table).select("prefix", "digest", "n")
