@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.shared import materialize
 from tessera.operators.review import unique_match
-from tessera.sources.captures import normalized
+from tessera.sources.captures import folder_of, normalized
 
 
 def resolve_exports(declared: DataFrame, reexports: DataFrame) -> DataFrame:
@@ -81,13 +81,14 @@ def linked_tests(tests: DataFrame, calls: DataFrame, symbols: DataFrame) -> Data
 
 
 def with_projects(files: DataFrame, projects: DataFrame) -> DataFrame:
-    """files (path, language) with the project (root, languages) of the deepest root above that has the language; `.` is above everything, null without one."""
-    parts = F.split("path", "/")
+    """files (path, language) with the project (root, languages) of the deepest root above that has the language; `.` is above everything, null without one. Each folder and language is looked up once, not each file."""
+    rows = files.select("path", "language", folder_of(F.col("path")).alias("in"))
+    parts = F.split("in", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n == 0, F.lit(".")).otherwise(F.array_join(F.slice(parts, F.lit(1), n), "/")))
-    rows = files.select("path", "language", F.posexplode(above).alias("depth", "root"))
-    hit = rows.join(projects.select("root", "languages"), "root").where(F.array_contains("languages", F.col("language")))
-    best = hit.groupBy("path").agg(F.max_by("root", "depth").alias("project"))
-    return files.select("path", "language").join(best, "path", "left")
+    places = rows.select("in", "language").distinct().select("in", "language", F.posexplode(above).alias("depth", "root"))
+    hit = places.join(projects.select("root", "languages"), "root").where(F.array_contains("languages", F.col("language")))
+    best = hit.groupBy("in", "language").agg(F.max_by("root", "depth").alias("project"))
+    return rows.join(best, ["in", "language"], "left").select("path", "language", "project")
 
 
 EXPRESS = r"""\b(?:app|router)\.(get|post|put|patch|delete|all|use)\s*\(\s*(?:(['"`])((?:(?!\2).)*)\2|([^,)]+))\s*,\s*([\w.$]+)?"""

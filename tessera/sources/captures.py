@@ -62,12 +62,19 @@ def is_generated(path, lang):
     return F.coalesce(out, F.lit(False))
 
 
+def folder_of(path):
+    """A path without its last part; the slash stays."""
+    return path.substr(F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)))
+
+
 def nearest_manifest(files: DataFrame, manifests: DataFrame) -> DataFrame:
-    """path -> name of the manifest (folder, name) in the nearest folder above; manifests without a name are passed over."""
-    parts = F.split("path", "/")
+    """path -> name of the manifest (folder, name) in the nearest folder above; manifests without a name are passed over. Each folder is looked up once, not each file."""
+    rows = files.select("path").distinct().withColumn("in", folder_of(F.col("path")))
+    parts = F.split("in", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    rows = files.select("path", F.explode(above).alias("folder")).join(manifests.where("name IS NOT NULL"), "folder")
-    return rows.groupBy("path").agg(F.max_by("name", F.length("folder")).alias("package"))
+    places = files.select(folder_of(F.col("path")).alias("in")).distinct().select("in", F.explode(above).alias("folder")).join(manifests.where("name IS NOT NULL"), "folder")
+    nearest = places.groupBy("in").agg(F.max_by("name", F.length("folder")).alias("package"))
+    return rows.join(nearest, "in").select("path", "package")
 
 
 def commit_files(log: DataFrame) -> DataFrame:

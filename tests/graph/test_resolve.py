@@ -127,3 +127,17 @@ def test_steps_of_walks_are_compressed_well(spark):
     assert {x.node: x.hop for x in got.collect()} == {"a": 0, "b": 1, "c": 2}
     new = [f for d in set(glob.glob(f"{root}/steps-*")) - before for f in glob.glob(f"{d}/*.parquet")]
     assert new and all(".zstd." in f for f in new)
+
+
+def test_folders_are_looked_up_once_each(spark):
+    """Roots come by folder, so no file is multiplied by its depth and no aggregate with a name is kept by path."""
+    f = spark.createDataFrame([("x.py", "python"), ("a/b/y.py", "python"), ("a/b/y.py", "python"), ("a/b/z.go", "go"), ("a/b", "go"), ("/abs", "go"), (None, "go"), ("a/n", None)], "path string, language string")
+    p = spark.createDataFrame([(".", ["python"]), ("a", ["go"]), ("a/b", ["python"]), ("", ["go"])], "root string, languages array<string>")
+    got = resolve.with_projects(f, p)
+    assert sorted(map(str, got.collect())) == sorted(f"Row(path={a!r}, language={b!r}, project={c!r})" for a, b, c in [("x.py", "python", "."), ("a/b/y.py", "python", "a/b"), ("a/b/y.py", "python", "a/b"), ("a/b/z.go", "go", "a"), ("a/b", "go", "a"), ("/abs", "go", ""), (None, "go", None), ("a/n", None, None)])
+    m = spark.createDataFrame([("", "root"), ("a/b", "deep"), ("a", None)], "folder string, name string")
+    near = captures.nearest_manifest(f, m)
+    assert {x.path: x.package for x in near.collect()} == {"x.py": "root", "a/b/y.py": "deep", "a/b/z.go": "deep", "a/b": "root", "/abs": "root", "a/n": "root"}
+    for df in (got, near):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "max_by" in line and "keys=[path" in line]
