@@ -60,3 +60,12 @@ def test_frames(spark):
     assert rows.where("what = 'declaration'").count() == sum(len(x[1]) for x in CODE.values()) + 5
     got = {(r.caller, r.name): (r.target, r.reason) for r in scopes.local_calls(rows).where("path = 'd'").collect()}
     assert got == {("a", "b"): (None, "no-local-structural-target"), ("a", "c"): ("c", None), ("a", "c2"): (None, "ambiguous-local-structural-target")}
+
+
+def test_words_before_parentheses_cost_their_length():
+    text = "class A {" + ("a" * 199 + "-(1);\n") * 20_000 + "}"
+    began = time.time()
+    scopes.parse("java", text)
+    assert time.time() - began < 3
+    for before, name in (("x", "x"), ("  foo  ", "foo"), ("9a", "a"), ("9", None), ("a.b$1 \n", "b$1"), ("é", None), ("aé", "aé"), ("", None), ("$", "$"), ("1_x9", "_x9")):
+        assert scopes._named_call(before, 0, len(before)) == name
