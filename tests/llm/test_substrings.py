@@ -72,3 +72,17 @@ def test_long_text_in_chunks(spark, monkeypatch):
             for s, w in zip(out.column("start").to_pylist(), out.column("windows").to_pylist(), strict=True):
                 starts |= set(range(s, s + w))
         assert starts == set(range(len(data[k]) - 40 + 1))
+
+
+def test_texts_without_repeats_stay_out_of_the_joins(spark):
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice("abcdefgh ") for _ in range(90))) for i in range(300)]
+    rows += [(None, rows[0][1]), (301, rows[1][1]), (302, None)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = substrings.remove_repeats(spark.createDataFrame([(*x, "s", "t") for x in rows], SCHEMA), length=40, gram=16)
+        found = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted([(x.id, x.n_bytes, x.n_removed, len(x.spans), x.kept_sha256) for x in found], key=repr) == brute(rows, 40)
+    assert "Union" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "map" in plan.split("LeftOuter")[-1]
