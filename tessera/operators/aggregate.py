@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,9 +64,9 @@ def fan_in(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("relation").isin(*model.FAN_IN_RELATIONS)).groupBy(F.col("dst").alias("node_key")).agg(F.count("*").alias("fan_in"))
 
 
-def hotspots(nodes: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
-    """Highest fan-in first, then name, then key."""
-    return nodes.join(fan_in(edges), "node_key").select("node_key", "display_name", "fan_in").orderBy(F.desc("fan_in"), "display_name", "node_key").limit(most)
+def hotspots(nodes: DataFrame, edges: DataFrame, most: int = 8, key: Callable[[Column], Column] = lambda k: k) -> DataFrame:
+    """Highest fan-in first, then name, then key. key: what the key is in the result, where nodes and edges meet by another."""
+    return nodes.join(fan_in(edges), "node_key").select(key(F.col("node_key")).alias("node_key"), "display_name", "fan_in").orderBy(F.desc("fan_in"), "display_name", "node_key").limit(most)
 
 
 def provenance_buckets(edges: DataFrame) -> DataFrame:
