@@ -127,7 +127,8 @@ def suite_summary(runs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def set_digest(rows: DataFrame, columns: list[str], prefix: int = 2) -> DataFrame:
-    """An order-independent digest: rows are hashed, hashes are sorted inside buckets, and the buckets' digests are joined in order, so no task holds all rows."""
+    """An order-independent digest: rows are hashed, hashes are sorted inside buckets, and the buckets' digests are joined in order, so no task holds all rows. Hashes travel as bytes, whose order is that of their digits."""
     row = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns]), 256)
-    buckets = rows.select(row.alias("h")).groupBy(F.substring("h", 1, prefix).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("d"), F.count("*").alias("n"))
+    digits = F.transform(F.sort_array(F.collect_list("h")), lambda x: F.lower(F.hex(x)))
+    buckets = rows.select(F.unhex(row).alias("h")).groupBy(F.substring(F.lower(F.hex("h")), 1, prefix).alias("b")).agg(F.sha2(F.array_join(digits, "\n"), 256).alias("d"), F.count("*").alias("n"))
     return buckets.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
