@@ -72,3 +72,24 @@ def test_added_nodes_of_a_large_group_move(spark):
     start = {x.node: (x.x, x.y) for x in reports.append_seeds(placed, added, "g").collect()}
     end = {x.node: (x.x, x.y) for x in reports.append_layout(placed, added, links, "g", rounds=2, most=20).collect()}
     assert end.keys() == {100, 101} and all(end[k] != start[k] for k in end)
+
+
+def test_nodes_are_not_written_once_a_level(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    sizes, write = [], layout.materialize
+
+    def counted(df, name, **options):
+        sizes.append((out := write(df, name, **options)).count())
+        return out
+
+    monkeypatch.setattr(layout, "materialize", counted)
+    df = frame(spark, {"even": r.uniform(-100, 100, (3000, 2))})
+    assert layout.repulsion(df, "g").count() == 3000
+    assert sum(sizes) <= 3000  # cells down to the group's depth, not 21 levels of nearly as many cells as nodes
+
+
+def test_null_places_are_left_out(spark):
+    rows = [("g", i, float(i), 0.0, False) for i in range(3)] + [("g", 3, None, 1.0, False), (None, 4, 1.0, 1.0, False)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = layout.relax_large(df, spark.createDataFrame([("g", 0, 3)], "g string, a int, b int"), "g", 1)
+    assert sorted(x.node for x in got.collect()) == [0, 1, 2]
