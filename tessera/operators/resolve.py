@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.shared import materialize
-from tessera.operators.review import unique_match
+from tessera.functions.shared import materialize, partitions
 from tessera.sources.captures import folder_of, normalized
 
 
@@ -67,15 +66,27 @@ def heritage(clauses: DataFrame, declared: DataFrame, kinds: DataFrame, imports:
     return rows.select("src", relation.alias("relation"), F.col("symbol").alias("dst"), F.col("name").alias("target"), "resolution")
 
 
-def linked_tests(tests: DataFrame, calls: DataFrame, symbols: DataFrame) -> DataFrame:
+def linked_tests(tests: DataFrame, calls: DataFrame, symbols: DataFrame, often: int = 100_000) -> DataFrame:
     """test, symbol, origin, confidence: symbols that a test calls are certain; else the only symbol whose name its title names as a word is inferred.
 
-    tests: test, title. calls: test, symbol. symbols: symbol, display_name.
+    tests: test, title. calls: test, symbol. symbols: symbol, display_name. Rows are dealt out in a fixed number of
+    parts: they compress so well that the optimizer would put too many of them into a task. A word in more than
+    `often` titles meets its name by a broadcast of such words, which are few.
     """
-    certain = calls.join(tests.select("test"), "test", "left_semi").select("test", "symbol").distinct()
-    named = tests.join(certain.select("test").distinct(), "test", "left_anti").select("test", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(r"[A-Za-z_$][\w$]*"), 0))).alias("probe"))
-    match = unique_match(named, symbols.select(F.col("display_name").alias("probe"), F.col("symbol").alias("candidate")), "probe").where("status = 'matched'")
-    by_name = match.select("test", F.col("candidate").alias("symbol")).distinct()
+    parts = partitions(tests.sparkSession)
+    dealt = lambda df: df.select("test").repartition(parts, "test")  # noqa: E731  a join's right side, so that it isn't moved above the join
+    certain = calls.join(dealt(tests), "test", "left_semi").select("test", "symbol").distinct()
+    named = tests.join(dealt(calls), "test", "left_anti").select("test", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(r"[A-Za-z_$][\w$]*"), 0))).alias("probe"))
+    named = materialize(named, "words")
+    frequent = materialize(named.groupBy("probe").agg(F.count("*").alias("n")).where(F.col("n") > often).select("probe"), "frequent")
+    names = symbols.groupBy(F.col("display_name").alias("probe")).agg(F.count("*").alias("n"), F.min("symbol").alias("symbol")).where("n = 1").select("probe", "symbol")
+    if frequent.isEmpty():
+        match = named.repartition(parts, "probe").join(names, "probe")
+    else:
+        frequent = F.broadcast(frequent)
+        match = named.join(frequent, "probe", "left_anti").repartition(parts, "probe").join(names, "probe")
+        match = match.unionByName(named.join(F.broadcast(names.join(frequent, "probe", "left_semi")), "probe"))
+    by_name = match.select("test", "symbol").repartition(parts, "test").distinct()
     mark = lambda df, origin, confidence: df.select("test", "symbol", F.lit(origin).alias("origin"), F.lit(confidence).alias("confidence"))
     return mark(certain, "compiler", "certain").unionByName(mark(by_name, "heuristic", "inferred"))
 

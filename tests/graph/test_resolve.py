@@ -141,3 +141,26 @@ def test_folders_are_looked_up_once_each(spark):
     for df in (got, near):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not [line for line in plan.splitlines() if "max_by" in line and "keys=[path" in line]
+
+
+def test_linked_tests_in_a_fixed_number_of_parts(spark):
+    tests = spark.range(300).select(F.concat(F.lit("t"), "id").alias("test"), F.concat(F.lit("covers part"), F.col("id") % 7, F.lit(" and part"), "id").alias("title"))
+    calls = spark.range(0, 300, 3).select(F.concat(F.lit("t"), "id").alias("test"), F.lit("s").alias("symbol"))
+    symbols = spark.range(20).select(F.concat(F.lit("p"), "id").alias("symbol"), F.concat(F.lit("part"), "id").alias("display_name"))
+    symbols = symbols.unionByName(spark.createDataFrame([("c", "covers"), ("d", "part19")], "symbol string, display_name string"))
+    frame = resolve.linked_tests(tests, calls, symbols)
+    got = sorted(tuple(x) for x in frame.collect())
+    want = {(f"t{i}", "s", "compiler", "certain") for i in range(0, 300, 3)}
+    for i in (i for i in range(300) if i % 3):
+        want |= {(f"t{i}", s, "heuristic", "inferred") for s in ("c", f"p{i % 7}", *[f"p{i}"] * (i < 19))}
+    assert got == sorted(want)
+    assert frame.rdd.getNumPartitions() >= 4  # not merged into one task because the rows are few or compress well
+
+
+def test_frequent_words_give_the_same_links(spark):
+    tests = spark.range(100).select(F.concat(F.lit("t"), "id").alias("test"), F.concat(F.lit("covers and part"), F.col("id") % 5).alias("title"))
+    calls = spark.createDataFrame([("t1", "s")], "test string, symbol string")
+    symbols = spark.createDataFrame([("c", "covers"), ("a", "and"), ("b", "and"), ("p1", "part1"), ("p2", "part2")], "symbol string, display_name string")
+    rows = lambda often: sorted(tuple(x) for x in resolve.linked_tests(tests, calls, symbols, often).collect())
+    assert rows(30) == rows(1) == rows(1000)
+    assert len(rows(30)) == 1 + 99 + 19 + 20
