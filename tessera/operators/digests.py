@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tessera import model
-from tessera.functions.shared import materialize
-from tessera.operators.diff import edge_diff, key_diff
+from tessera.functions.shared import materialize, packed, shuffles_freed
+from tessera.operators.diff import edge_diff, key_diff, named_edge_diff
 from tessera.operators.store import NamedStore, SnapshotStore
 
 #: Rows of a leaf, on average at most.
@@ -149,7 +149,8 @@ class ContentStore(SnapshotStore):
         by = ["snapshot_id", "bucket"] if name in self.KEYS else ["snapshot_id"]
         # one task a folder, so that a snapshot has a file a folder and not one a task and folder
         out = df.repartition(*by) if name in self.KEYS else df
-        out.write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        with shuffles_freed(self.spark):
+            out.write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(f"{self.root}/{name}")
 
     def tree(self, snapshot_id: int, table: str) -> DataFrame:
         return self.read("digests", snapshot_id).where(F.col("table") == table).select("prefix", "digest", "n")
@@ -202,6 +203,14 @@ def graph_diff(base: tuple[DataFrame, DataFrame], live: tuple[DataFrame, DataFra
     return n.unionByName(e, allowMissingColumns=True)
 
 
+def named_graph_diff(base: tuple[DataFrame, DataFrame], live: tuple[DataFrame, DataFrame], state: list[str]) -> DataFrame:
+    """graph_diff of nodes and edges by kinds and qualified names: both meet by plain keys, digests are made of what differs."""
+    plain = lambda n: n.select(model.plain_key(F.col("kind"), F.col("qualified_name")).alias("node_key"), *state)
+    n = packed(key_diff(plain(base[0]), plain(live[0]), "node_key", state), "node-diff").select(F.lit("node").alias("part"), model.key_of_plain(F.col("node_key")).alias("key"), "change")
+    e = named_edge_diff(base[1], packed(live[1], "live")).withColumnRenamed("edge_key", "key").withColumn("part", F.lit("edge"))
+    return n.unionByName(e, allowMissingColumns=True)
+
+
 def working_tree_changes(store: ContentStore, live: tuple[DataFrame, DataFrame], **more: DataFrame) -> tuple[int, int, DataFrame]:
     """Reconciles the live graph with the store and compares: (base, head, rows). The base is the served snapshot, the head what the live graph becomes, published by its content; equal content is the same snapshot and gives no rows. Rows are in order of change, source, relation and destination."""
     before = store.head()
