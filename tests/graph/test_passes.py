@@ -36,6 +36,6 @@ def test_passes_free_their_shuffles(spark):
     assert files() <= before + 8  # those of the count itself
 
 
-@pytest.mark.parametrize("name", ["edge_diff"])
+@pytest.mark.parametrize("name", ["edge_diff", "live_graph_diff"])
 def test_results_of_passes_have_no_shuffle(spark, name):
     assert "Exchange" not in plan(catalog.QUERIES[name](spark, SF))
