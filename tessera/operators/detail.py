@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import model
+from tessera.functions.shared import materialize, packed
 from tessera.operators.diff import key_diff
 
 WIRE_NODE = {"entityKey": "node_key", "kind": "kind", "qualifiedName": "qualified_name", "displayName": "display_name", "file": "file", "packageName": "package", "language": "language"}
@@ -41,11 +42,14 @@ def resolve_entity(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def node_detail(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
-    """query, status, node_key, direction (out, in), edge_key, relation, other: the edges at each resolved entity, and its fan_in; a row without an edge where there is none."""
-    asked = resolve_entity(nodes, wanted)
-    key = asked.where("node_key IS NOT NULL").select("node_key").distinct()
-    end = lambda here, there, name: edges.join(key.withColumnRenamed("node_key", here), here).select(F.col(here).alias("node_key"), F.lit(name).alias("direction"), "edge_key", "relation", F.col(there).alias("other"))
-    both = end("src", "dst", "out").unionByName(end("dst", "src", "in"))
+    """query, status, node_key, direction (out, in), edge_key, relation, other: the edges (keyed, or by plain keys) at each resolved entity, and its fan_in; a row without an edge where there is none."""
+    # the size of what is written is known: few names go to the nodes and edges, not these to them
+    asked = packed(resolve_entity(nodes, materialize(wanted.select("query").distinct(), "wanted")), "asked")
+    edge, digest = model.keys_of(edges)
+    end_key = F.col("node_key") if "edge_key" in edges.columns else model.plain_key(F.col("kind"), F.col("qualified_name"))
+    key = packed(nodes.join(asked.select("node_key").distinct(), "node_key").select("node_key", end_key.alias("end")).distinct(), "ends")
+    end = lambda here, there, name: edges.join(key.toDF("node_key", here), here).select("node_key", F.lit(name).alias("direction"), edge.alias("edge_key"), "relation", digest(F.col(there)).alias("other"))
+    both = packed(end("src", "dst", "out").unionByName(end("dst", "src", "in")), "at-node")
     fan = both.where((F.col("direction") == "in") & F.col("relation").isin(*model.FAN_IN_RELATIONS)).groupBy("node_key").agg(F.count("*").alias("fan_in"))
     return asked.join(both, "node_key", "left").join(fan, "node_key", "left").select("query", "status", "node_key", "direction", "edge_key", "relation", "other", F.coalesce("fan_in", F.lit(0)).alias("fan_in"))
 
