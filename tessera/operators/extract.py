@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import model
+from tessera.functions.shared import in_passes, packed
 from tessera.operators.review import unique_match
 from tessera.operators.textlines import lines_of
 
@@ -135,13 +136,24 @@ def diagnostics(rows: DataFrame) -> DataFrame:
     return rows.select("code", F.coalesce("severity", F.lit("warning")).alias("severity"), F.when(F.coalesce(F.trim("message"), F.lit("")) == "", F.col("code")).otherwise(F.col("message")).alias("message"), "file", "line", F.greatest(last, F.col("line")).alias("end_line")).distinct()
 
 
-def contract_faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """What an extractor's rows break: repeated keys, unknown kinds or relations, loose ends, unresolved edges without a reason."""
+def contract_faults(nodes: DataFrame, edges: DataFrame, node_digest: Callable[[Column], Column] = lambda k: k, edge_digest: Callable[[Column], Column] = lambda k: k) -> DataFrame:
+    """What an extractor's rows break: repeated keys, unknown kinds or relations, loose ends, unresolved edges without a reason.
+
+    Keys may be anything that tells nodes and edges apart; the digests make of `key` what is returned.
+    """
     fault = lambda df, key, what: df.select(F.col(key).alias("key"), F.lit(what).alias("fault"))
     twice = lambda df, key: fault(df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), key, f"repeated {key}")
-    out = twice(nodes, "node_key").union(twice(edges, "edge_key"))
-    out = out.union(fault(nodes.where(~F.col("kind").isin(*model.NODE_KINDS)), "node_key", "unknown kind")).union(fault(edges.where(~F.col("relation").isin(*model.RELATIONS)), "edge_key", "unknown relation"))
-    out = out.union(fault(model.dangling(edges, nodes), "edge_key", "dangling"))
-    if "reason" in edges.columns:
-        out = out.union(fault(edges.where("resolution = 'unresolved' AND reason IS NULL"), "edge_key", "no reason"))
-    return out.distinct()
+    known = nodes.select("node_key")
+    loose = packed(edges.select(F.explode(F.array("src", "dst")).alias("node_key")).distinct().join(known, "node_key", "left_anti"), "loose")
+    passes = model.with_pass(edges, "edge_key")
+
+    def broken(i: int) -> DataFrame:
+        e = passes.where(F.col("pass") == i)
+        at = e.join(loose.toDF("src"), "src", "left_semi").unionByName(e.join(loose.toDF("dst"), "dst", "left_semi")).unionByName(e.where("src IS NULL OR dst IS NULL"))
+        out = twice(e, "edge_key").union(fault(e.where(~F.col("relation").isin(*model.RELATIONS)), "edge_key", "unknown relation")).union(fault(at, "edge_key", "dangling"))
+        if "reason" in edges.columns:
+            out = out.union(fault(e.where("resolution = 'unresolved' AND reason IS NULL"), "edge_key", "no reason"))
+        return out.distinct()
+
+    own = packed(twice(nodes, "node_key").union(fault(nodes.where(~F.col("kind").isin(*model.NODE_KINDS)), "node_key", "unknown kind")).distinct(), "node-faults")
+    return own.select(node_digest(F.col("key")).alias("key"), "fault").union(in_passes(broken, "edge-faults").select(edge_digest(F.col("key")).alias("key"), "fault"))

@@ -39,3 +39,43 @@ def test_passes_free_their_shuffles(spark):
 @pytest.mark.parametrize("name", ["edge_diff", "live_graph_diff"])
 def test_results_of_passes_have_no_shuffle(spark, name):
     assert "Exchange" not in plan(catalog.QUERIES[name](spark, SF))
+
+
+def test_node_detail_by_plain_keys(spark):
+    from tessera.operators import detail
+
+    e = named(spark, ("a", "calls", "b|", "git"), ("b|", "calls", "c", "git"), ("x", "calls", "c", "git"))
+    n = spark.createDataFrame([("method", q, q) for q in ("a", "b|", "c", "x", "lone")], "kind string, qualified_name string, display_name string")
+    n = n.withColumn("node_key", model.node_key(n["kind"], n["qualified_name"]))
+    wanted = spark.createDataFrame([("b|",), ("lone",), ("nobody",)], "query string")
+    got, want = detail.node_detail(n, model.plain_ends(e), wanted), detail.node_detail(n, model.with_edge_keys(e), wanted)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 4
+
+
+def test_node_detail_deals_out_no_edges(spark):
+    assert "Exchange hashpartitioning(src" not in plan(catalog.QUERIES["node_detail"](spark, SF))
+
+
+def test_contract_faults_by_plain_keys(spark):
+    from tessera.operators import extract
+
+    e = named(spark, ("a", "calls", "b", "git"), ("a", "calls", "b", "git"), ("b", "odd", "z", "git"), ("y", "calls", "a", "git"))
+    n = spark.createDataFrame([("method", "a"), ("method", "b"), ("method", "b"), ("thing", "c")], "kind string, qualified_name string")
+    keyed, plain_nodes = n.withColumn("node_key", model.node_key(n["kind"], n["qualified_name"])), n.withColumn("node_key", model.plain_key(n["kind"], n["qualified_name"]))
+    want = extract.contract_faults(keyed, model.with_edge_keys(e))
+    got = extract.contract_faults(plain_nodes, model.passing(e).selectExpr("*", "struct(src, relation, dst) AS edge_key"), model.key_of_plain, lambda k: model.edge_key_of_plain("key.src", "key.relation", "key.dst"))
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 6
+    assert "Exchange" not in plan(got)
+
+
+def test_orphan_chain_by_ends(spark):
+    from tessera.operators import store
+
+    e = named(spark, *[(f"m{i}", "calls", f"m{i + 1}", "git" if i % 3 else "doc") for i in range(12)])
+    n = spark.createDataFrame([(f"m{i}", f"f{i // 4}") for i in range(16)], "q string, file string")
+    by = lambda edges, key, col: store.orphan_chain(edges, n.select(col.alias("node_key"), "file"), n.select("file").distinct(), edges.where("origin = 'git'"), n.limit(0).select(n["q"].alias("node_key")), n.limit(0).select("file"), key)
+    from pyspark.sql import functions as F
+
+    plain_, keyed = by(model.passing(e), ["src", "relation", "dst"], model.plain_key(F.lit("method"), F.col("q"))), by(model.with_edge_keys(e), ["edge_key"], model.node_key(F.lit("method"), F.col("q")))
+    assert [df.count() for df in plain_] == [df.count() for df in keyed] == [4, 4, 0]
+    assert "Exchange" not in plan(plain_[0])
