@@ -79,3 +79,17 @@ def test_orphan_chain_by_ends(spark):
     plain_, keyed = by(model.passing(e), ["src", "relation", "dst"], model.plain_key(F.lit("method"), F.col("q"))), by(model.with_edge_keys(e), ["edge_key"], model.node_key(F.lit("method"), F.col("q")))
     assert [df.count() for df in plain_] == [df.count() for df in keyed] == [4, 4, 0]
     assert "Exchange" not in plan(plain_[0])
+
+
+def test_merge_region_by_plain_keys(spark):
+    from tessera.operators import store
+
+    e = named(spark, *[(f"m{i}", "calls", f"m{i + 1}", "git") for i in range(8)], ("m1", "calls", "m2", "doc"))
+    n = spark.createDataFrame([("method", f"m{i}", f"f{i // 4}") for i in range(9)], "kind string, qualified_name string, file string")
+    files = spark.createDataFrame([("f1",)], "file string")
+    with_key = lambda key: n.withColumn("node_key", key(n["kind"], n["qualified_name"]))
+    merged = lambda nodes, edges: store.merge_region(nodes, edges, nodes.where("file = 'f1'"), edges.limit(0), files)[1]
+    got, want = merged(with_key(model.plain_key), model.passing(e)), merged(with_key(model.node_key), model.with_edge_keys(e))
+    keys = lambda df: sorted(x["edge_key"] for x in df.collect())
+    assert keys(got) == keys(want) and len(keys(got)) == 4  # those of m0 to m3; m8 has none
+    assert "Exchange" not in plan(got)
